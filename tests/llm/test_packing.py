@@ -83,3 +83,17 @@ def test_small_table_with_little_padding(spark):
 
 def test_empty_table(spark):
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_chunked_ids_are_the_tokenizers_ids():
+    import pyarrow as pa
+
+    r = random.Random(8)
+    bits = ["a", "Word", "'s", "'ll", "'", "\n", " ", "  ", "\t", "!!", ".", "-", "|", "9", "12", "é", "ß", "中", " ", " ", "😀", "don't", "<|endoftext|>", "\x1c", "\r\n", "_", "\x00"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    encoder = packing.Encoder(packing.tokenizer_path())
+    want = direct_ids(texts)
+    for _ in range(2):  # the second time from memory
+        ids, ends = encoder.encode(pa.array(texts))
+        got = [[*ids[a:b].tolist(), 0] for a, b in zip(ends, ends[1:], strict=False)]
+        assert got == want
