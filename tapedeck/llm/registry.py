@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from tapedeck.llm import decontaminate, near_dup, packing, pii, sharding
+from tapedeck.llm import ctw, decontaminate, near_dup, packing, pii, sharding, toxicity
 from tapedeck.llm.common import table
 
 
+def op1_ctw(spark, sf_dir):
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_decontamination(spark, sf_dir):
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,5 +35,5 @@ def op10_pii(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op5_near_dup, op8_packing, op9_sharding, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ctw, op2_toxicity, op3_decontamination, op5_near_dup, op8_packing, op9_sharding, op10_pii)}
 SQL: dict[str, str] = {}
