@@ -312,13 +312,14 @@ def score(docs: DataFrame, *, depth: int = DEPTH, most_grams: int = MOST_GRAMS,
     tokens, kinds = words + texts, kinds + (texts > 0)
     total = tokens + 0.5 * (kinds + 1)
     end_log = float(np.log10((texts + 0.5) / total))
-    hot = sc.broadcast({r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(hot_words).collect()})  # hot_words rows
+    top = counted.orderBy(F.desc("n"), "word").limit(hot_words).toArrow()  # hot_words rows
+    hot = sc.broadcast(dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)))
     small = probabilities.count() <= most_grams
     model, d = None, d.withColumn("row", F.monotonically_increasing_id())
     if small:
-        found = probabilities.toPandas()  # most_grams rows
-        order = np.argsort(found["gram"].to_numpy())
-        model = sc.broadcast((found["gram"].to_numpy()[order], found["log10p"].to_numpy()[order]))
+        found = probabilities.sort("gram").toArrow()  # most_grams rows
+        model = sc.broadcast((found["gram"].to_numpy(), found["log10p"].to_numpy()))
+        del found
     else:
         d = stored(d, "rows")
     scored = stored(d.mapInArrow(_scores(depth, model, hot, total, end_log, int(texts > 0)), SCORED), "scored")
