@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapedeck.llm import ctw, decontaminate, near_dup, packing, pii, sharding, toxicity
+from tapedeck.llm import ctw, decontaminate, lattice, near_dup, packing, pii, sharding, suffixes, toxicity, windows
 from tapedeck.llm.common import table
 
 
@@ -19,10 +19,22 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_passages(spark, sf_dir):
+    return windows.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op6_lattice(spark, sf_dir):
+    return lattice.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_suffixes(spark, sf_dir):
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,5 +47,5 @@ def op10_pii(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw, op2_toxicity, op3_decontamination, op5_near_dup, op8_packing, op9_sharding, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ctw, op2_toxicity, op3_decontamination, op4_passages, op5_near_dup, op6_lattice, op7_suffixes, op8_packing, op9_sharding, op10_pii)}
 SQL: dict[str, str] = {}
