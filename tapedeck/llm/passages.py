@@ -12,6 +12,10 @@ from tapedeck.llm.common import blocks, stored, token_hashes
 
 #: Document ids that may be broadcast (8 bytes each); beyond that the texts are joined by a shuffle.
 MOST_IDS = 2_000_000
+#: Signatures that may be broadcast (8 bytes each); beyond that the rows are joined by a shuffle.
+MOST_SIGS = 4_000_000
+#: Pairs that a task looks at together.
+TOGETHER = 128
 ORDER = ["sig", "next", "far", "doc_id", "pos"]
 ROWS = T.StructType([T.StructField(c, T.LongType()) for c in ORDER])
 PAIRS = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "a_pos", "b", "b_pos", "sig", "next", "far")])
@@ -52,7 +56,16 @@ def neighbours(rows: DataFrame, reach: int = 1) -> DataFrame:
     group of n rows gives fewer than n * reach pairs.
     """
     rows = stored(rows, "signed")
-    near = stored(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_adjacent(reach), PAIRS), "near")
+    shared = stored(rows.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sig"), "shared")
+    kept = stored(rows.join(F.broadcast(shared) if shared.count() <= MOST_SIGS else shared, "sig", "left_semi"), "kept")
+    # where what follows meets in no two rows, it doesn't order: then the documents do, and all rows of a passage
+    # that stands in many contexts pair the same documents
+    for c in ("far", "next"):
+        key = ORDER[: ORDER.index(c) + 1]
+        often = kept.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n").withColumn("often", F.lit(True))
+        kept = kept.join(often, key, "left").withColumn(c, F.when(F.col("often"), F.col(c)).otherwise(0)).select(*ORDER)
+    kept = stored(kept, "ordered")
+    near = stored(kept.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_adjacent(reach), PAIRS), "near")
     # 2 * reach rows from each part
     seams = near.where("sig is not null").select("sig", "next", "far", F.col("a").alias("doc_id"), F.col("a_pos").alias("pos")).distinct()
     across = seams.repartition(1).sortWithinPartitions(*ORDER).mapInArrow(_adjacent(reach), PAIRS)
@@ -66,6 +79,13 @@ def _words(batches):
         yield pa.record_batch([b.column("doc_id"), pa.array([low[x:y].tobytes() for x, y in zip(offsets, offsets[1:], strict=False)], pa.binary())], names=["doc_id", "words"])
 
 
+def few_at_a_time(batches):
+    """The rows of Arrow batches as dictionaries, a few at a time: each holds two whole documents."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(i, TOGETHER).to_pylist()
+
+
 def with_words(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with the word hashes (32 bits each) of both documents, as a_words and b_words."""
     pairs = stored(pairs, "pairs")

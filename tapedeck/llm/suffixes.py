@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapedeck.llm.common import blocks, mix, renamed, shingle_hashes, token_hashes
-from tapedeck.llm.passages import ROWS, neighbours, with_words
+from tapedeck.llm.passages import ROWS, few_at_a_time, neighbours, with_words
 
 LEAST_WORDS, WINDOW, SHINGLE = 50, 30, 5
 #: A suffix's sort key: hashes of its words up to these.
@@ -105,11 +105,12 @@ REPEATS = "doc_a long, start_a long, doc_b long, start_b long, n_words long"
 
 
 def _extended(batches):
-    for batch in batches:
+    for some in few_at_a_time(batches):
         rows = []
-        for a, b, shift, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shift", "a_words", "b_words")), strict=True):
-            for start, n in equal_runs(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), shift, LEAST_WORDS):
-                rows.append((a, start, b, start - shift, n))
+        for r in some:
+            x, y = np.frombuffer(r["a_words"], "<u4"), np.frombuffer(r["b_words"], "<u4")
+            for shift in r["shifts"]:
+                rows += [(r["a"], start, r["b"], start - shift, n) for start, n in equal_runs(x, y, shift, LEAST_WORDS)]
         if rows:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_a", "start_a", "doc_b", "start_b", "n_words"])
 
@@ -124,5 +125,5 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     d = renamed(docs, ["doc_id", "text"]).where("doc_id is not null and text is not null")
     near = neighbours(d.mapInArrow(_suffixes, ROWS))
-    aligned = near.select("a", "b", (F.col("a_pos") - F.col("b_pos")).alias("shift")).distinct()
+    aligned = near.groupBy("a", "b").agg(F.collect_set(F.col("a_pos") - F.col("b_pos")).alias("shifts"))
     return with_words(aligned, d).mapInArrow(_extended, REPEATS)
