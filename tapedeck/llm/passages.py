@@ -49,18 +49,18 @@ def _adjacent(reach: int):
     return run
 
 
-def neighbours(rows: DataFrame, reach: int = 1) -> DataFrame:
+def neighbours(rows: DataFrame, reach: int = 1, beyond: tuple[str, ...] = ("far", "next")) -> DataFrame:
     """a, a_pos, b, b_pos (a < b): rows at most `reach` apart in the order of all rows that share their sig.
 
     The order ends with document and position, so that rows of one sig, however many, are dealt over many parts. A
-    group of n rows gives fewer than n * reach pairs.
+    group of n rows gives fewer than n * reach pairs. `beyond`: the columns after sig that order, the last first.
     """
     rows = stored(rows, "signed")
     shared = stored(rows.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sig"), "shared")
-    kept = stored(rows.join(F.broadcast(shared) if shared.count() <= MOST_SIGS else shared, "sig", "left_semi"), "kept")
+    kept = rows.join(F.broadcast(shared) if shared.count() <= MOST_SIGS else shared, "sig", "left_semi")
     # where what follows meets in no two rows, it doesn't order: then the documents do, and all rows of a passage
     # that stands in many contexts pair the same documents
-    for c in ("far", "next"):
+    for c in beyond:
         key = ORDER[: ORDER.index(c) + 1]
         often = kept.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n").withColumn("often", F.lit(True))
         kept = kept.join(often, key, "left").withColumn(c, F.when(F.col("often"), F.col(c)).otherwise(0)).select(*ORDER)
