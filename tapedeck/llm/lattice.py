@@ -20,6 +20,8 @@ TABLES, BLOCKS, SCALE, PROBES = 16, 2, 0.55, 3
 COSINE = 0.9
 #: Rows of one cell that are compared at once; larger cells are cut, and their pieces meet in pairs.
 CELL_ROWS = 2048
+BUNDLE_ROWS = 8192
+BLOCK = ["table", "dims", "cell", "low", "high"]
 
 
 def _d8(y: np.ndarray) -> np.ndarray:
@@ -108,25 +110,32 @@ def _cells(batches):
 
 
 def _compare(cosine: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["embedding"].tolist(), np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        ids, home, left = pdf["vec_id"].to_numpy(), pdf["home"].to_numpy(), pdf["side"].to_numpy()
-        one = pdf["pieces_same"].iat[0]
-        out = []
-        rows = np.flatnonzero(left == 0)
-        others = rows if one else np.flatnonzero(left == 1)
+    def links(ids, x, home, side, same) -> np.ndarray:
+        """Pairs of one block of a cell: where it is one piece, of all its rows, else between its two sides."""
+        rows = np.flatnonzero(side == 0)
+        others = rows if same else np.flatnonzero(side == 1)
+        out = [np.zeros((0, 2), np.int64)]
         for i in range(0, len(rows), 512):
             r = rows[i : i + 512]
-            hit = x[r] @ x[others].T >= cosine
             # a pair meets where one of both is at home
-            hit &= home[r][:, None] | home[others][None, :]
-            p, q = np.nonzero(hit)
+            p, q = np.nonzero((x[r] @ x[others].T >= cosine) & (home[r][:, None] | home[others][None, :]))
             a, b = ids[r[p]], ids[others[q]]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            keep = low != high
-            out.append(np.unique(np.stack([low[keep], high[keep]], axis=1), axis=0))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b])
+        return np.concatenate(out)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All blocks of a bundle."""
+        pdf = pdf.sort_values(BLOCK, kind="stable")
+        keys = pdf[BLOCK].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        ids, home, side, same = (pdf[c].to_numpy() for c in ("vec_id", "home", "side", "pieces_same"))
+        vectors, out = pdf["embedding"].tolist(), [np.zeros((0, 2), np.int64)]
+        for i, j in zip(first, [*first[1:], len(pdf)], strict=True):
+            if home[i:j].any() and j - i > 1:
+                x = np.array(vectors[i:j], np.float64)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                out.append(links(ids[i:j], x, home[i:j], side[i:j], same[i]))
+        pairs = np.unique(np.concatenate(out), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
@@ -144,7 +153,10 @@ def similar_pairs(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     block = cut.select("vec_id", *key, "home", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), F.when(F.col("piece") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("piece") == F.col("other")).alias("pieces_same"))
     filled = block.join(vectors, "vec_id")
-    return filled.groupBy(*key, "low", "high").applyInPandas(_compare(cosine), "a long, b long").distinct()
+    # cells are mostly small: some go together, about BUNDLE_ROWS rows at a time
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bundle = F.pmod(F.xxhash64(*BLOCK), F.lit(1 + total // BUNDLE_ROWS))
+    return filled.groupBy(bundle.alias("bundle")).applyInPandas(_compare(cosine), "a long, b long").distinct()
 
 
 def near_duplicate_vectors(embeddings: DataFrame, *, cosine: float = COSINE) -> DataFrame:
