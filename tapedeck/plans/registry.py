@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tapedeck.operators import history as h
-from tapedeck.sources.bridge import PLAYS_SQL, plays
+from tapedeck.operators.sessions import sessionize
+from tapedeck.sources.bridge import PLAYS_SQL, plays, short_plays
 
 AS_OF = "2001-11-05"
 
@@ -40,5 +41,14 @@ JOBS = {
     "d30_skip_report": (_of(h.skip_report), "SELECT tkey, akey, count(*) AS plays, sum(CASE WHEN reason_end = 'fwdbtn' THEN 1 ELSE 0 END)::BIGINT AS skips, round(sum(CASE WHEN reason_end = 'fwdbtn' THEN 1 ELSE 0 END) / count(*), 6) AS skip_rate FROM plays GROUP BY ALL HAVING count(*) >= 20"),
     "f01_graph_nodes": (_of(h.graph_nodes), "SELECT akey, sum(n)::BIGINT AS plays, max((n, year))[2] AS peak_year, sum(CASE WHEN n >= 5 THEN 1 ELSE 0 END)::BIGINT AS active_years FROM (SELECT akey, year, count(*) AS n FROM plays GROUP BY ALL) GROUP BY akey HAVING sum(n) >= 300"),
 }
-QUERIES = {name: job for name, (job, _) in JOBS.items()}
-SQL = {name: PLAYS_SQL + sql for name, (_, sql) in JOBS.items()}
+SHORT_SQL = "WITH p AS (SELECT event_id AS play_id, ts, user_id, value / 60 AS minutes FROM events) "
+SHORT = {
+    "c06_sessions": (
+        lambda spark, sf_dir: sessionize(short_plays(spark, sf_dir), gap_minutes=720),
+        """SELECT user_id, session::BIGINT AS session, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS plays, round(sum(minutes), 4) AS minutes FROM (
+ SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, play_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+ SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, play_id)) <= 720 * 60000000::BIGINT THEN 0 ELSE 1 END AS new FROM p)) GROUP BY user_id, session""",
+    ),
+}
+QUERIES = {name: job for name, (job, _) in (JOBS | SHORT).items()}
+SQL = {name: PLAYS_SQL + sql for name, (_, sql) in JOBS.items()} | {name: SHORT_SQL + sql for name, (_, sql) in SHORT.items()}

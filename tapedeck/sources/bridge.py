@@ -34,3 +34,8 @@ PLAYS_SQL = """WITH plays AS (SELECT *, year(ts)::INT AS year, month(ts)::INT AS
  l_quantity::DOUBLE / 8 AS minutes, floor(l_quantity::DOUBLE * 7500)::BIGINT AS ms_played,
  CASE l_returnflag WHEN 'R' THEN 'fwdbtn' WHEN 'A' THEN 'trackdone' ELSE 'endplay' END AS reason_end, CASE l_linestatus WHEN 'O' THEN 'iOS' ELSE 'macOS' END AS platform
  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)) """
+
+
+def short_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A play for each event of one month."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("play_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("value") / 60).alias("minutes"))
