@@ -39,3 +39,79 @@ PLAYS_SQL = """WITH plays AS (SELECT *, year(ts)::INT AS year, month(ts)::INT AS
 def short_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A play for each event of one month."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("play_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("value") / 60).alias("minutes"))
+
+
+def _k(divisor: int):
+    return F.get_json_object("props", "$.k").cast("int") % divisor
+
+
+def named_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """short_plays with names and reasons."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_id").alias("play_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        "user_id",
+        F.concat(F.lit("spotify:track:"), _k(100)).alias("uri"),
+        F.concat(F.lit("Artist "), _k(25)).alias("artist_name"),
+        F.when(F.col("event_type") == "purchase", "trackdone").when(F.col("event_type") == "error", "fwdbtn").otherwise("endplay").alias("reason_end"),
+        (F.col("value") / 60).alias("minutes"),
+    )
+
+
+NAMED_SQL = """WITH plays AS (SELECT event_id AS play_id, ts, user_id, 'spotify:track:' || k AS uri, 'Artist ' || (k % 25) AS artist_name,
+ CASE event_type WHEN 'purchase' THEN 'trackdone' WHEN 'error' THEN 'fwdbtn' ELSE 'endplay' END AS reason_end, value / 60 AS minutes FROM (SELECT *, (props->>'$.k')::INT AS k FROM events)) """
+
+
+def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A poll of a listener's player for each event."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_id").alias("poll_id"),
+        F.col("ts").cast("timestamp").alias("observed_at"),
+        "user_id",
+        (F.col("event_type") != "error").alias("is_playing"),
+        _k(3).cast("string").alias("track_id"),
+        F.floor(F.col("value") * 1000).alias("progress_ms"),
+        F.when(F.col("event_id") % 10 != 0, 20_000).cast("long").alias("duration_ms"),
+    )
+
+
+POLLS_SQL = """WITH polls AS (SELECT event_id AS poll_id, ts AS observed_at, user_id, event_type <> 'error' AS is_playing, ((props->>'$.k')::INT % 3)::VARCHAR AS track_id,
+ floor(value * 1000)::BIGINT AS progress_ms, CASE WHEN event_id % 10 <> 0 THEN 20000 END AS duration_ms FROM events) """
+
+
+def play_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classified listen for each event; its session names an agent's session or is null."""
+    kinds = F.create_map(*[F.lit(v) for kv in _KINDS.items() for v in kv])
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_id").alias("event_id"),
+        F.col("ts").cast("timestamp").alias("ended_at"),
+        "user_id",
+        _k(100).cast("string").alias("track_id"),
+        F.array(_k(25).cast("string"), _k(7).cast("string")).alias("artist_ids"),
+        kinds[F.col("event_type")].alias("classification"),
+        F.floor(F.col("value") * 1000).alias("duration_listened_ms"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string"))).alias("session_id"),
+    )
+
+
+_KINDS = {"purchase": "completed", "click": "abandoned", "signup": "replayed", "error": "skipped", "view": "abandoned"}
+EVENTS_SQL = """WITH play_events AS (SELECT event_id, ts AS ended_at, user_id, k::VARCHAR AS track_id, [(k % 25)::VARCHAR, (k % 7)::VARCHAR] AS artist_ids,
+ CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'replayed' WHEN 'error' THEN 'skipped' ELSE 'abandoned' END AS classification,
+ floor(value * 1000)::BIGINT AS duration_listened_ms, CASE WHEN event_id % 3 = 0 THEN 's' || (user_id % 20) END AS session_id FROM (SELECT *, (props->>'$.k')::INT AS k FROM events)),
+ snapshots AS (SELECT event_id AS snapshot_id, ts AS captured_at, ['night', 'morning', 'midday'][k % 3 + 1] AS daylight_phase, CASE WHEN k % 5 > 0 THEN ['clear', 'rain', 'snow', 'fog'][k % 5] END AS weather_condition,
+ 'place ' || (k % 4) AS location_label FROM (SELECT *, (props->>'$.k')::INT AS k FROM events WHERE event_type = 'signup')) """
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was around at the time of each sign-up."""
+    return (
+        spark.read.parquet(f"{sf_dir}/events.parquet")
+        .where("event_type = 'signup'")
+        .select(
+            F.col("event_id").alias("snapshot_id"),
+            F.col("ts").cast("timestamp").alias("captured_at"),
+            F.element_at(F.array(*map(F.lit, ("night", "morning", "midday"))), _k(3) + 1).alias("daylight_phase"),
+            F.when(_k(5) > 0, F.get(F.array(*map(F.lit, ("clear", "rain", "snow", "fog"))), _k(5) - 1)).alias("weather_condition"),
+            F.concat(F.lit("place "), _k(4)).alias("location_label"),
+        )
+    )
