@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tapedeck.functions.columns import fold
@@ -46,7 +47,7 @@ def match_cache_key(track_id: Column, song: Column, artist: Column, album: Colum
     return F.when(track_id.isNotNull(), F.concat(F.lit("apple:"), track_id)).otherwise(F.concat(F.lit("text:"), F.sha1(text)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
@@ -64,7 +65,7 @@ def score_matches(pairs: DataFrame) -> DataFrame:
 
 def match_catalog(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
     """tracks (key, isrc, track, artist, duration_ms) with the catalog's best uri: the same ISRC, else the likeliest
-    text match among titles that share the rarest-first word block; matched from 0.9, review from 0.7, else unmatched."""
+    text match among titles whose sorted words start alike; matched from 0.9, review from 0.7, else unmatched."""
     by_isrc = tracks.where("isrc is not null").join(catalog.where("isrc is not null").groupBy("isrc").agg(F.min("uri").alias("uri")), "isrc").select("key", "uri", F.lit(1.0).alias("confidence"))
     rest = tracks.where("coalesce(artist, '') <> ''").join(by_isrc.select("key"), "key", "left_anti")
     block = F.substring(F.regexp_replace(F.array_join(F.array_sort(F.split(fold(F.col("track")), " ")), ""), "[^a-z0-9]", ""), 1, 4)

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("lineitem", "part", "orders", "events", "supplier", "documents", "embeddings", "labels", "pages"):
+    for t in ("lineitem", "part", "orders", "events", "supplier", "documents", "embeddings", "labels", "pages", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
