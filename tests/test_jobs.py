@@ -90,3 +90,21 @@ def test_streams_agree_with_batches(spark, tmp_path):
     once = run(spark, tmp_path, streams.stream_rolling(stream, "1 day", "1 day"), "rolling", "complete")
     assert rows(once, "plays", "skip_rate") == [(1, 0.0), (4, 0.25)]
     assert rows(run(spark, tmp_path, streams.stream_sessions(stream), "sessions", "complete"), "plays", "minutes") == [(1, 2.0), (1, 2.0), (3, 6.0)]
+
+
+def test_events_of_a_stream_of_polls_are_those_of_the_table(spark, tmp_path):
+    from tapedeck.operators.events import derive_play_events
+    from tapedeck.sources.bridge import polls
+    from tapedeck.streaming.events import stream_play_events
+
+    p = polls(spark, "/root/testdata/sf0.001")
+    days = [r[0] for r in p.select(F.to_date("observed_at")).distinct().orderBy(F.to_date("observed_at")).collect()]
+    for i, (a, b) in enumerate([(0, 10), (10, 20), (20, 99)]):
+        p.where(F.to_date("observed_at").isin(days[a:b])).coalesce(1).write.mode("append").parquet(str(tmp_path / "polls"))
+    late = spark.createDataFrame([(10**9, datetime(2024, 6, 1), 10**6, False)], "poll_id long, observed_at timestamp, user_id long, is_playing boolean")
+    p.limit(0).unionByName(late, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(str(tmp_path / "polls"))
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "polls"))
+    got = run(spark, tmp_path, stream_play_events(stream), "derived")
+    columns = got.columns
+    want = rows(derive_play_events(p), *columns)
+    assert want and rows(got, *columns) == want
