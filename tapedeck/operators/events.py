@@ -161,3 +161,21 @@ def daily_summary(events: DataFrame, *, as_of: str, hours: int = 24) -> DataFram
     end = F.lit(as_of).cast("timestamp")
     recent = events.where((F.col("ended_at") < end) & (F.col("ended_at") >= end - F.make_dt_interval(F.lit(0), F.lit(hours))))
     return recent.agg(F.count("*").alias("events"), *[F.coalesce(c, F.lit(0)).alias(o) for c, o in zip(_outcomes(), OUTCOMES, strict=True)], F.floor(F.coalesce(F.sum("duration_listened_ms"), F.lit(0)) / 60000).alias("minutes"), F.countDistinct("track_id").alias("tracks"))
+
+
+def recent_history(events: DataFrame, scores: DataFrame, n: int = 50) -> DataFrame:
+    """The latest n events with their track's score."""
+    latest = events.orderBy(F.desc("ended_at"), F.desc("event_id")).limit(n)
+    return latest.join(scores.select("track_id", "score").dropDuplicates(["track_id"]), "track_id", "left").select("event_id", "ended_at", "track_id", "classification", "session_id", "score")
+
+
+def context_maturity(affinities: DataFrame, least: int = 5) -> DataFrame:
+    """For each dimension the buckets seen, those with a track of enough samples, and the mean sample size."""
+    trained = F.countDistinct(F.when(F.col("sample_size") >= least, F.col("bucket")))
+    return affinities.groupBy("dimension").agg(F.countDistinct("bucket").alias("buckets"), trained.alias("trained"), F.round(F.avg("sample_size"), 6).alias("mean_samples"))
+
+
+def top_tracks(events: DataFrame, n: int = 10) -> DataFrame:
+    """Tracks with most completed or replayed events."""
+    good = events.where(F.col("classification").isin("completed", "replayed")).groupBy("track_id").agg(F.count("*").alias("plays"))
+    return good.orderBy(F.desc("plays"), "track_id").limit(n)

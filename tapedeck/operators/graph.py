@@ -84,3 +84,8 @@ def node_encodings(nodes: DataFrame, labelled: int = 8) -> DataFrame:
     best = nodes.orderBy(F.desc(F.col("plays") * F.col("active_years")), "akey").limit(labelled).select("akey", F.lit(True).alias("label"))
     out = n.select("akey", F.round(3 + 21 * share(F.sqrt("plays"), "p0", "p1"), 4).alias("radius"), F.round(0.4 + 0.6 * share(F.col("active_years"), "y0", "y1"), 4).alias("opacity"))
     return out.join(F.broadcast(best), "akey", "left").withColumn("label", F.coalesce("label", F.lit(False)))
+
+
+def graph_stats(plays: DataFrame) -> DataFrame:
+    """What the graph stands on: plays, artists, recordings and the first day."""
+    return plays.agg(F.count("*").alias("plays"), F.countDistinct("artist_name").alias("artists"), F.countDistinct("uri").alias("tracks"), F.min("ts").cast("date").alias("first_day"))

@@ -118,3 +118,25 @@ def stratified_sample(df: DataFrame, *, id: str, stratum: str, sizes: dict[int,
 def embedding_inputs(df: DataFrame, *, id: str, text: str, most: int = 8000) -> DataFrame:
     """The text that an embedding sees and its hash."""
     return df.select(id, F.substring(F.coalesce(text, F.lit("")), 1, most).alias("input")).withColumn("sha256", F.sha2("input", 256))
+
+
+def shared_writers(pairs: DataFrame, credits: DataFrame) -> DataFrame:
+    """How many people are credited for both recordings of each pair (a, b)."""
+    c = credits.select("uri", "person").distinct()
+    both = pairs.join(c.withColumnRenamed("uri", "a"), "a").join(c.withColumnRenamed("uri", "b"), ["b", "person"])
+    return pairs.join(both.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("shared"))
+
+
+def centroid_similarity(vectors: DataFrame, seeds: DataFrame, *, id: str, vector: str) -> DataFrame:
+    """Cosine of every vector with the mean of the seeds' vectors, which is one row."""
+    parts = vectors.join(seeds.select(id), id, "left_semi").select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    mean = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centroid"))
+    norm = F.sqrt(_dot(vector, vector)) * F.sqrt(_dot("centroid", "centroid"))
+    scored = vectors.join(F.broadcast(mean), how="cross").withColumn("norm", norm)
+    return scored.select(id, F.when(F.col("norm") > 0, F.round(_dot(vector, "centroid") / F.col("norm"), 6)).otherwise(0.0).alias("similarity"))
+
+
+def topk_overlap(df: DataFrame, *, id: str, a: str, b: str, k: int) -> DataFrame:
+    """How many ids are among the first k of two rankings."""
+    first = df.orderBy(a, id).limit(k).select(id)
+    return first.intersect(df.orderBy(b, id).limit(k).select(id)).agg(F.count("*").alias("both"))

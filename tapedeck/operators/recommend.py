@@ -90,7 +90,7 @@ def promote_submissions(submissions: DataFrame, catalog: DataFrame) -> DataFrame
     notified = F.col("status") == "notified"
     out = submissions.join(found, "track_id", "left")
     status = F.when(notified & F.coalesce("ok", F.lit(False)), "added_to_pool").when(notified, "rejected").otherwise(F.col("status"))
-    return out.withColumn("status", status).withColumn("score", F.when(notified & (F.col("status") == "added_to_pool"), 0.7)).drop("ok")
+    return out.withColumns({"status": status, "score": F.when(notified & F.coalesce("ok", F.lit(False)), 0.7)}).drop("ok")
 
 
 def generate_queue(plays: DataFrame, *, as_of: str, slots: int = 20, lost_share: float = 0.3, per_artist: int = 3, core: list[str] = (), boost: float = 1.15, min_plays: int = 20, years_gone: float = 2, skips: int = 3) -> DataFrame:

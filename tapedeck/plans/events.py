@@ -47,4 +47,8 @@ JOBS = {
     "j02_daily_summary": (lambda s, d: e.daily_summary(play_events(s, d), as_of="2024-01-20"), f"{EVENTS_SQL} SELECT count(*) AS events, {OUTCOMES}, floor(sum(duration_listened_ms) / 60000)::BIGINT AS minutes, count(DISTINCT track_id) AS tracks FROM play_events WHERE ended_at >= TIMESTAMP '2024-01-19' AND ended_at < TIMESTAMP '2024-01-20'"),
     "j05_session_performance": (lambda s, d: e.session_performance(play_events(s, d)), f"{EVENTS_SQL} SELECT *, {RATE}, round((completed + replayed) / events, 6) AS success FROM (SELECT session_id, count(*) AS events, {OUTCOMES} FROM play_events WHERE session_id IS NOT NULL GROUP BY 1)"),
     "j06_calibration": (lambda s, d: e.calibration(play_events(s, d), _track_taste(s, d)), f"{EVENTS_SQL} SELECT *, {RATE} FROM (SELECT CASE WHEN score >= 10 THEN 'high' WHEN score >= 5 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END AS tier, count(*) AS events, {OUTCOMES} FROM play_events JOIN (SELECT track_id, score FROM ({TRACK_TASTE})) USING (track_id) GROUP BY 1)"),
+    "j01_top_tracks": (lambda s, d: e.top_tracks(play_events(s, d)), f"{EVENTS_SQL} SELECT track_id, count(*) AS plays FROM play_events WHERE classification IN ('completed', 'replayed') GROUP BY 1 ORDER BY plays DESC, track_id LIMIT 10"),
+    "j03_by_listener": (lambda s, d: e.event_stats(play_events(s, d), ("user_id",)), f"{EVENTS_SQL} SELECT *, {RATE} FROM (SELECT user_id, count(*) AS events, {OUTCOMES} FROM play_events GROUP BY 1)"),
+    "j04_recent_history": (lambda s, d: e.recent_history(play_events(s, d), _track_taste(s, d)), f"{EVENTS_SQL} SELECT event_id, ended_at, track_id, classification, session_id, score FROM play_events LEFT JOIN (SELECT track_id, score FROM ({TRACK_TASTE})) USING (track_id) ORDER BY ended_at DESC, event_id DESC LIMIT 50"),
+    "j09_context_maturity": (lambda s, d: e.context_maturity(e.context_affinity(_linked(s, d))), f"{EVENTS_SQL}, {AFFINITY} SELECT dimension, count(DISTINCT bucket) AS buckets, count(DISTINCT CASE WHEN sample_size >= 5 THEN bucket END) AS trained, round(avg(sample_size), 6) AS mean_samples FROM affinities GROUP BY 1"),
 }

@@ -128,4 +128,15 @@ JOBS = {
     "i05_coverage": (lambda s, d: c.coverage_report(plays(s, d), _known(s, d)), f"{PLAYS_SQL}, {KNOWN} SELECT coalesce(status, 'none') AS status, count(*) AS recordings, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT DISTINCT uri FROM plays) p LEFT JOIN known USING (uri) GROUP BY 1"),
     "i06_top_credits": (lambda s, d: c.top_credits(plays(s, d), _credits(s, d)), PLAYS_SQL + "SELECT person, role, sum(n)::BIGINT AS plays FROM (SELECT DISTINCT 'spotify:track:' || l_partkey AS uri, l_suppkey AS person, l_returnflag AS role FROM lineitem) JOIN (SELECT uri, count(*) AS n FROM plays GROUP BY uri) USING (uri) GROUP BY ALL"),
     "j08_pool_by_source": (lambda s, d: c.pool_by_source(_pool(s, d)), "SELECT p_brand AS source, count(*) AS total, " + ", ".join(f"sum((p_size % 5 = {i})::INT)::BIGINT AS {k}" for i, k in enumerate(("fresh", "played", "liked", "skipped", "expired"))) + ", round(avg(p_retailprice), 6) AS mean_score FROM part GROUP BY 1"),
+    "h06_shared_writers": (
+        lambda s, d: ly.shared_writers(_table(s, d, "part").selectExpr("concat('spotify:track:', p_partkey) AS a", "concat('spotify:track:', p_partkey + 1) AS b"), _credits(s, d)),
+        """WITH c AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS person FROM lineitem), n AS (SELECT x.p, count(*) AS n FROM c x JOIN c y ON y.p = x.p + 1 AND x.person = y.person GROUP BY 1)
+ SELECT 'spotify:track:' || p_partkey AS a, 'spotify:track:' || (p_partkey + 1) AS b, coalesce(n, 0) AS shared FROM part LEFT JOIN n ON p = p_partkey""",
+    ),
+    "h09_centroid": (
+        lambda s, d: ly.centroid_similarity(_vectors(s, d), _vectors(s, d).where("label = 3"), id="vec_id", vector="embedding"),
+        """WITH m AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label = 3) GROUP BY i))
+ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 6) AS similarity FROM embeddings, m""",
+    ),
+    "h13_topk_overlap": (lambda s, d: ly.topk_overlap(_rated(s, d), id="doc_id", a="n_chars", b="quality", k=200), f"SELECT count(*) AS \"both\" FROM (SELECT doc_id FROM {RATED} ORDER BY n_chars, doc_id LIMIT 200) JOIN (SELECT doc_id FROM {RATED} ORDER BY quality, doc_id LIMIT 200) USING (doc_id)"),
 }

@@ -114,6 +114,7 @@ LONG = {
         """SELECT i AS bucket, start_year, end_year FROM (WITH RECURSIVE y AS (SELECT list(year ORDER BY year) AS ys FROM (SELECT uri, max((n, year))[2] AS year FROM (SELECT uri, year, count(*) AS n FROM plays GROUP BY ALL) GROUP BY uri)),
  b AS (SELECT 0 AS i, ys[1] AS start_year, greatest(ys[len(ys) * 1 // 5 + 1], ys[1]) AS end_year, ys FROM y UNION ALL SELECT i + 1, end_year + 1, greatest(CASE WHEN i < 3 THEN ys[len(ys) * (i + 2) // 5 + 1] ELSE ys[len(ys)] END, end_year + 1), ys FROM b WHERE i < 4) SELECT * FROM b)""",
     ),
+    "f09_graph_stats": (_of(g.graph_stats), "SELECT count(*) AS plays, count(DISTINCT artist_name) AS artists, count(DISTINCT uri) AS tracks, min(ts)::DATE AS first_day FROM plays"),
     "g01_ripple_scores": (_of(r.ripple_scores, as_of=AS_OF), f"SELECT * FROM {RIPPLES}"),
     "g02_familiarity": (_familiar, FAMILIAR + "SELECT * FROM fam"),
     "g03_split_ripples": (lambda s, d: r.split_ripples(_familiar(s, d), as_of=AS_OF).select("uri", "wave", "score"), FAMILIAR + f"SELECT uri, score, CASE WHEN floor(epoch(first_play)) >= epoch({END}) - 21 * 86400 THEN 'new arrival' ELSE 'returning' END AS wave FROM fam"),

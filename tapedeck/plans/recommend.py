@@ -58,7 +58,16 @@ def _queue_sql() -> str:
  SELECT uri, kind, (CASE WHEN kind = 'lost' THEN least((i + 1) * 3, (SELECT count(*) FROM regular) + i) WHEN i < 3 THEN i ELSE i + least((SELECT count(*) FROM lost), (i - 3) // 2 + 1) END)::INT AS position FROM ranked"""
 
 
+def _signals(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS track_id", "p_name AS track_name", "p_size")
+    return r.track_signals([("liked", p.where("p_size < 10")), ("top_short", p.where("p_size % 4 = 0").withColumn("track_name", F.upper("track_name"))), ("played", p.where("p_size > 5"))])
+
+
 JOBS = {
+    "e01_track_signals": (
+        _signals,
+        """SELECT p_partkey AS track_id, CASE WHEN p_size % 4 = 0 AND p_size >= 10 THEN upper(p_name) ELSE p_name END AS track_name, p_size < 10 AS liked, p_size % 4 = 0 AS top_short, p_size > 5 AS played FROM part WHERE p_size < 10 OR p_size % 4 = 0 OR p_size > 5""",
+    ),
     "c03_backfill": (
         lambda s, d: r.backfill_recent(_recent(s, d), polls(s, d)),
         POLLS_SQL

@@ -108,3 +108,26 @@ def test_events_of_a_stream_of_polls_are_those_of_the_table(spark, tmp_path):
     columns = got.columns
     want = rows(derive_play_events(p), *columns)
     assert want and rows(got, *columns) == want
+
+
+def test_the_pool(spark):
+    from tapedeck.operators import recommend
+
+    c = spark.createDataFrame([("1", "A", "X", 1), ("1", "A", "X", 2), ("2", "a", "x", 3), ("3", "B", "Y", 4), ("4", "C", "Z", 5), ("5", "D", "Z", 6)], "track_id string, track_name string, artist_name string, arrival int")
+    known = spark.createDataFrame([("5",)], "track_id string")
+    pool = spark.createDataFrame([("9", "c", "z", "fresh", 1.0, datetime(2024, 1, 1)), ("8", "q", "z", "fresh", 2.0, datetime(2025, 1, 1)), ("7", "r", "z", "liked", 3.0, datetime(2024, 1, 1))], "track_id string, track_name string, artist_name string, status string, score double, expires_at timestamp")
+    assert rows(recommend.new_candidates(c, known, pool), "track_id") == [("1",), ("3",)]
+    assert rows(recommend.pool_expire(pool, as_of="2024-06-01"), "track_id", "status") == [("7", "liked"), ("8", "fresh"), ("9", "expired")]
+    assert rows(recommend.pool_top(recommend.pool_expire(pool, as_of="2024-06-01")), "track_id") == [("8",)]
+    s = spark.createDataFrame([("1", "notified"), ("2", "notified"), ("3", "new"), ("x", "notified")], "track_id string, status string")
+    catalog = spark.createDataFrame([("1", "X"), ("2", None), ("3", "Y")], "track_id string, artist_name string")
+    assert rows(recommend.promote_submissions(s, catalog), "track_id", "status", "score") == [("1", "added_to_pool", 0.7), ("2", "rejected", None), ("3", "new", None), ("x", "rejected", None)]
+
+
+def test_daylight_and_weather(spark):
+    from tapedeck.operators.events import add_context_columns
+
+    t = [(h, code) for h, code in ((4, 0), (6, 2), (8, 45), (12, 55), (18, 61), (19, 75), (23, 99))]
+    df = spark.createDataFrame([(datetime(2024, 6, 1, h, 10), datetime(2024, 6, 1, 7), datetime(2024, 6, 1, 19), c) for h, c in t], "at timestamp, sunrise timestamp, sunset timestamp, weather_code int")
+    got = [(r.daylight_phase, r.condition) for r in add_context_columns(df).orderBy("at").collect()]
+    assert got == [("night", "clear"), ("pre_dawn", "partly_cloudy"), ("morning", "fog"), ("midday", "overcast"), ("golden_hour", "rain"), ("dusk", "snow"), ("night", "thunderstorm")]
