@@ -10,10 +10,10 @@ from tapedeck.functions.columns import fold
 
 
 def shingles(df: DataFrame, id: str, text: str, n: int = 5) -> DataFrame:
-    """id, shingles: the different runs of n words (letters, digits and _) of the lower-cased text."""
+    """id, shingles: 64-bit hashes of the different runs of n words (letters, digits and _) of the lower-cased text."""
     words = F.filter(F.split(F.regexp_replace(fold(F.col(text)), r"[^a-z0-9_]+", " "), " "), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-    return df.select(id, words.alias("w")).select(id, F.when(F.size("w") >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>")).alias("shingles"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))
+    return df.select(id, words.alias("w")).select(id, F.when(F.size("w") >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>")).alias("shingles"))
 
 
 def jaccard_pairs(pairs: DataFrame, sets: DataFrame, *, id: str, least: float = 0.05) -> DataFrame:
