@@ -69,7 +69,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, k:
 
 
 def hybrid_rank(scores: DataFrame, *, id: str, a: str, b: str) -> DataFrame:
-    """Mean of the z-scores of two columns, and ranks by each and by the mean; the mean and spread come from one small aggregate."""
+    """Mean of the z-scores of two columns; means and spreads come from one row."""
     stats = scores.agg(*[f(c).alias(f"{n}_{c}") for c in (a, b) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
 
     def z(c: str) -> Column:
