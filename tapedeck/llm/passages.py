@@ -12,8 +12,6 @@ from tapedeck.llm.common import blocks, stored, token_hashes
 
 #: Document ids that may be broadcast (8 bytes each); beyond that the texts are joined by a shuffle.
 MOST_IDS = 2_000_000
-#: Signatures that may be broadcast (8 bytes each); beyond that the rows are joined by a shuffle.
-MOST_SIGS = 4_000_000
 #: Pairs that a task looks at together.
 TOGETHER = 128
 ORDER = ["sig", "next", "far", "doc_id", "pos"]
@@ -49,22 +47,44 @@ def _adjacent(reach: int):
     return run
 
 
-def neighbours(rows: DataFrame, reach: int = 1, beyond: tuple[str, ...] = ("far", "next")) -> DataFrame:
+def _meeting(batches):
+    """Of rows in order, those whose sig another document has too. Where what follows meets in no two rows, it doesn't
+    order: then the documents do, and all rows of a passage that stands in many contexts pair the same documents.
+
+    A part's first and last row stay as they are, for what is beside them lies in other parts.
+    """
+    held = np.zeros((len(ORDER), 0), np.int64)  # the last row that is out and the one after it
+
+    def out(rows, first, last):
+        n = rows.shape[1]
+        same = np.cumprod(rows[:3, 1:] == rows[:3, :-1], axis=0).astype(bool)  # sig; sig, next; sig, next, far
+        edge = np.ones((3, 1), bool)
+        meets = np.concatenate([edge, same], axis=1) | np.concatenate([same, edge], axis=1)
+        begins = np.flatnonzero(np.concatenate([[True], ~same[0]]))
+        alone = np.minimum.reduceat(rows[3], begins) == np.maximum.reduceat(rows[3], begins)
+        alone[[0, -1]] = False  # such runs may go on outside
+        keep = meets[0] & ~np.repeat(alone, np.diff(np.append(begins, n)))
+        rows = np.concatenate([rows[:1], np.where(meets[1:], rows[1:3], 0), rows[3:]])[:, first:last]
+        return pa.record_batch([pa.array(r) for r in rows[:, keep[first:last]]], names=ORDER)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ORDER])], axis=1)
+        if rows.shape[1] > 1:
+            yield out(rows, int(held.shape[1] > 1), rows.shape[1] - 1)
+        held = rows[:, -2:]
+    if held.shape[1]:
+        yield out(held, held.shape[1] - 1, held.shape[1])
+
+
+def neighbours(rows: DataFrame, reach: int = 1) -> DataFrame:
     """a, a_pos, b, b_pos (a < b): rows at most `reach` apart in the order of all rows that share their sig.
 
     The order ends with document and position, so that rows of one sig, however many, are dealt over many parts. A
-    group of n rows gives fewer than n * reach pairs. `beyond`: the columns after sig that order, the last first.
+    group of n rows gives fewer than n * reach pairs. All rows are shuffled once; those that meet, once more.
     """
-    rows = stored(rows, "signed")
-    shared = stored(rows.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sig"), "shared")
-    kept = rows.join(F.broadcast(shared) if shared.count() <= MOST_SIGS else shared, "sig", "left_semi")
-    # where what follows meets in no two rows, it doesn't order: then the documents do, and all rows of a passage
-    # that stands in many contexts pair the same documents
-    for c in beyond:
-        key = ORDER[: ORDER.index(c) + 1]
-        often = kept.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n").withColumn("often", F.lit(True))
-        kept = kept.join(often, key, "left").withColumn(c, F.when(F.col("often"), F.col(c)).otherwise(0)).select(*ORDER)
-    kept = stored(kept, "ordered")
+    kept = stored(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_meeting, ROWS), "ordered")
     near = stored(kept.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_adjacent(reach), PAIRS), "near")
     # 2 * reach rows from each part
     seams = near.where("sig is not null").select("sig", "next", "far", F.col("a").alias("doc_id"), F.col("a_pos").alias("pos")).distinct()
