@@ -44,6 +44,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of `stored` that no later stage reads, once what came of it is stored itself."""
+    files = df.inputFiles()
+    if files:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
     """Slices of Arrow batches of about `limit` text bytes each; a longer text is a slice of its own."""
     for batch in batches:

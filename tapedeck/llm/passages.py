@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapedeck.llm.common import blocks, stored, token_hashes
+from tapedeck.llm.common import blocks, discard, stored, token_hashes
 
 #: Document ids that may be broadcast (8 bytes each); beyond that the texts are joined by a shuffle.
 MOST_IDS = 2_000_000
@@ -84,8 +84,11 @@ def neighbours(rows: DataFrame, reach: int = 1) -> DataFrame:
     The order ends with document and position, so that rows of one sig, however many, are dealt over many parts. A
     group of n rows gives fewer than n * reach pairs. All rows are shuffled once; those that meet, once more.
     """
+    rows = stored(rows, "signed")
     kept = stored(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_meeting, ROWS), "ordered")
+    discard(rows)
     near = stored(kept.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_adjacent(reach), PAIRS), "near")
+    discard(kept)
     # 2 * reach rows from each part
     seams = near.where("sig is not null").select("sig", "next", "far", F.col("a").alias("doc_id"), F.col("a_pos").alias("pos")).distinct()
     across = seams.repartition(1).sortWithinPartitions(*ORDER).mapInArrow(_adjacent(reach), PAIRS)
@@ -99,18 +102,40 @@ def _words(batches):
         yield pa.record_batch([b.column("doc_id"), pa.array([low[x:y].tobytes() for x, y in zip(offsets, offsets[1:], strict=False)], pa.binary())], names=["doc_id", "words"])
 
 
-def few_at_a_time(batches):
-    """The rows of Arrow batches as dictionaries, a few at a time: each holds two whole documents."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, TOGETHER):
-            yield batch.slice(i, TOGETHER).to_pylist()
-
-
 def with_words(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with the word hashes (32 bits each) of both documents, as a_words and b_words."""
+    """The longer document of each pair (a, b, ...) as `home`, with its word hashes (32 bits each), before its pairs.
+
+    A row without `guest` holds home's words; the rows after it are its pairs, each with the words of the shorter
+    document, the guest. So a text is sent once for itself and once for each pair in which it is the shorter.
+    """
     pairs = stored(pairs, "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    words = stored(docs.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_words, "doc_id long, words binary"), "words")
-    left, right = (words.select(F.col("doc_id").alias(c), F.col("words").alias(f"{c}_words")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b")
+    small = ids.count() <= MOST_IDS
+    few = F.broadcast(ids) if small else ids
+    words = docs.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_words, "doc_id long, words binary")
+    words = stored(words.withColumn("n", F.length("words")), "words")
+    sized = pairs
+    for c in "ab":
+        n = words.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"))
+        sized = sized.join(F.broadcast(n) if small else n, c)
+    longer = F.col("a_n") >= F.col("b_n")
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    home, guest = F.when(longer, F.col("a")).otherwise(F.col("b")), F.when(longer, F.col("b")).otherwise(F.col("a"))
+    guests = sized.select(home.alias("home"), guest.alias("guest"), *rest).join(words.select(F.col("doc_id").alias("guest"), "words"), "guest")
+    hosts = words.select(F.col("doc_id").alias("home"), "words")
+    return hosts.unionByName(guests, allowMissingColumns=True).repartition("home").sortWithinPartitions("home", F.asc_nulls_first("guest"))
+
+
+def visits(batches):
+    """Of the rows of `with_words`, a few at a time: lists of (pair, home's words, guest's words)."""
+    own = None
+    for batch in batches:
+        for i in range(0, batch.num_rows, TOGETHER):
+            out = []
+            for r in batch.slice(i, TOGETHER).to_pylist():
+                words = np.frombuffer(r.pop("words"), "<u4")
+                if r["guest"] is None:
+                    own = words
+                else:
+                    out.append((r, own, words))
+            yield out

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapedeck.llm.common import blocks, mix, renamed, shingle_hashes, token_hashes
-from tapedeck.llm.passages import ROWS, few_at_a_time, neighbours, with_words
+from tapedeck.llm.passages import ROWS, neighbours, visits, with_words
 
 LEAST_WORDS, WINDOW, SHINGLE = 50, 30, 5
 #: A suffix's sort key: hashes of its words up to these.
@@ -105,12 +105,12 @@ REPEATS = "doc_a long, start_a long, doc_b long, start_b long, n_words long"
 
 
 def _extended(batches):
-    for some in few_at_a_time(batches):
+    for some in visits(batches):
         rows = []
-        for r in some:
-            x, y = np.frombuffer(r["a_words"], "<u4"), np.frombuffer(r["b_words"], "<u4")
+        for r, own, other in some:
+            a, b, x, y = (r["home"], r["guest"], own, other) if r["home"] < r["guest"] else (r["guest"], r["home"], other, own)
             for shift in r["shifts"]:
-                rows += [(r["a"], start, r["b"], start - shift, n) for start, n in equal_runs(x, y, shift, LEAST_WORDS)]
+                rows += [(a, start, b, start - shift, n) for start, n in equal_runs(x, y, shift, LEAST_WORDS)]
         if rows:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_a", "start_a", "doc_b", "start_b", "n_words"])
 
