@@ -112,8 +112,11 @@ def with_words(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     small = ids.count() <= MOST_IDS
     few = F.broadcast(ids) if small else ids
-    words = docs.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_words, "doc_id long, words binary")
+    words = docs.join(few, "doc_id", "left_semi").mapInArrow(_words, "doc_id long, words binary")
     words = stored(words.withColumn("n", F.length("words")), "words")
+    # whole texts are shuffled to tell repeated ids apart only where there are some
+    if words.count() > words.select("doc_id").distinct().count():
+        words = stored(words.dropDuplicates(["doc_id"]), "words")
     sized = pairs
     for c in "ab":
         n = words.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"))
