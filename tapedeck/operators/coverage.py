@@ -40,3 +40,11 @@ def pool_by_source(pool: DataFrame) -> DataFrame:
     """Rows by status and mean score of each source of a pool."""
     kinds = ("fresh", "played", "liked", "skipped", "expired")
     return pool.groupBy("source").agg(F.count("*").alias("total"), *[F.sum((F.col("status") == k).cast("int")).alias(k) for k in kinds], F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+def audio_queue(taste: DataFrame, features: DataFrame, *, as_of: str, days: int = 30, n: int = 50) -> DataFrame:
+    """The best-liked tracks (track_id, score) to fetch features (track_id, found, fetched_at) of: never fetched, or not found
+    more than `days` days ago."""
+    t = taste.join(features.select("track_id", "found", "fetched_at"), "track_id", "left")
+    again = ~F.col("found") & (F.col("fetched_at") < F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
+    return t.where(F.col("found").isNull() | again).select("track_id", "score").orderBy(F.desc("score"), "track_id").limit(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapedeck.operators import recommend as r
+from tapedeck.operators.coverage import audio_queue
 from tapedeck.sources.bridge import EVENTS_SQL, PLAYS_SQL, POLLS_SQL, play_events, plays, polls
 
 AS_OF = "2001-11-05"
@@ -63,7 +64,19 @@ def _signals(spark, sf_dir):
     return r.track_signals([("liked", p.where("p_size < 10")), ("top_short", p.where("p_size % 4 = 0").withColumn("track_name", F.upper("track_name"))), ("played", p.where("p_size > 5"))])
 
 
+def _audio_queue(spark, sf_dir):
+    taste = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS track_id", "p_retailprice AS score")
+    sold = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_partkey").alias("track_id")).agg(F.max(F.col("l_shipdate").cast("timestamp")).alias("fetched_at"))
+    features = sold.where("track_id % 3 > 0").withColumn("found", F.col("track_id") % 3 == 1)
+    return audio_queue(taste, features, as_of=AS_OF)
+
+
 JOBS = {
+    "i02_audio_queue": (
+        _audio_queue,
+        f"""SELECT p_partkey AS track_id, p_retailprice AS score FROM part LEFT JOIN (SELECT l_partkey, max(l_shipdate)::TIMESTAMP AS fetched_at FROM lineitem WHERE l_partkey % 3 > 0 GROUP BY l_partkey) f ON l_partkey = p_partkey
+ WHERE l_partkey IS NULL OR (l_partkey % 3 = 2 AND fetched_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) ORDER BY score DESC, track_id LIMIT 50""",
+    ),
     "e01_track_signals": (
         _signals,
         """SELECT p_partkey AS track_id, CASE WHEN p_size % 4 = 0 AND p_size >= 10 THEN upper(p_name) ELSE p_name END AS track_name, p_size < 10 AS liked, p_size % 4 = 0 AS top_short, p_size > 5 AS played FROM part WHERE p_size < 10 OR p_size % 4 = 0 OR p_size > 5""",
