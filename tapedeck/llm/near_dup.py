@@ -5,6 +5,11 @@ signatures in sorted order, each tree starting at other levels. Candidates are n
 their common prefix must reach follows the region: in sparse regions TREE_DEPTH levels do, in crowded ones neighbours
 share more by themselves, and only the nearest are compared. A candidate pair whose signatures agree in too few
 levels is dropped; the others are confirmed on their full sets.
+
+The forest finds most links cheaply, not all: an exact join then looks for links between its components. Two sets that
+are alike enough share a shingle among the first few of each, in any order of all shingles (here the rare ones come
+first), at places that leave room for the rest. Pairs that meet so are confirmed on bitmaps, which reject no true
+pair, and on their full sets.
 """
 
 from __future__ import annotations
@@ -24,6 +29,11 @@ TREE_DEPTH = 2
 NEIGHBOURS = 3
 #: Levels that must agree before sets are compared: 0.58 of all; a pair at similarity 0.8 falls short once in 10^5.
 AGREE = 37
+#: Counters of the sketch by which shingles are ordered, the one in so many documents that it counts, and the parts in
+#: which it is summed up. They steer the cost alone: any order gives the same links.
+COUNTERS, COUNTED, PARTS = 1 << 20, 8, 64
+#: Rows of one shingle that a task pairs at once; more are cut into blocks, and pairs of blocks are dealt out.
+BLOCK = 4096
 #: Document ids that may be broadcast (8 bytes each); beyond that the texts are joined by a shuffle.
 MOST_IDS = 2_000_000
 
@@ -117,6 +127,206 @@ def candidates(signatures: DataFrame) -> DataFrame:
     return near.where("tree is null").unionByName(seams.where("tree is null")).select("a", "b").where("a != b").distinct()
 
 
+def _counts(n: int):
+    """Of the documents of a part: in how many a shingle of each counter stands, cut into PARTS."""
+
+    def run(batches):
+        counts = np.zeros(COUNTERS, np.int64)
+        for b in blocks(batches):
+            tokens, offsets = token_hashes(b.column("text"))
+            for i in range(b.num_rows):
+                s = np.unique(shingle_hashes(tokens[offsets[i] : offsets[i + 1]], n))
+                np.add.at(counts, (s % np.uint64(COUNTERS)).astype(np.int64), 1)
+        yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(PARTS, -1)], pa.binary())], names=["part", "counts"])
+
+    return run
+
+
+def _summed(batches):
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, counts in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int64)
+    if sums:
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+
+def shingle_counts(d: DataFrame, words: int) -> np.ndarray:
+    """About how many documents hold the shingles of each counter, in steps of a factor of 1.2."""
+    some = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED)) == 0)
+    rows = some.mapInArrow(_counts(words), "part int, counts binary").repartition(PARTS, "part").mapInArrow(_summed, "part int, counts binary").collect()  # 8 MB
+    out = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
+    for r in rows:
+        out[r["part"]] += np.frombuffer(r["counts"], np.int64)
+    return (np.log1p(out.ravel()) / np.log(1.2)).astype(np.uint8)
+
+
+def bitmap(shingles: np.ndarray) -> bytes:
+    """The parity of the shingles that fall on each of 2 bits a shingle or more, a power of two of bits.
+
+    Bits in which two bitmaps differ are at most the shingles in which the sets differ.
+    """
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """In how many bits two bitmaps differ, the longer one folded."""
+    x, y, n = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a)
+    if len(a) < len(b):
+        x, y, a, b, n = y, x, b, a, 8 * len(b)
+    while n > 8 * len(b):
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return (x ^ y).bit_count()
+
+
+FIRSTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("component", T.LongType())])
+MEETING = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "key", "block", "n", "pos", "component")])
+
+
+def _firsts(words: int, percent: int, counts):
+    """The first shingles of each set, of which a set as like shares at least one."""
+
+    def run(batches):
+        often = counts.value
+        for batch in batches:
+            for b in blocks([batch]):
+                tokens, offsets = token_hashes(b.column("text"))
+                out = []
+                for i, (doc, component) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("component").to_pylist(), strict=True)):
+                    s = np.unique(shingle_hashes(tokens[offsets[i] : offsets[i + 1]], words))
+                    if k := len(s) and len(s) + (-percent * len(s)) // 100 + 1:
+                        key = s[np.lexsort((s, often[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:k]].view(np.int64)
+                        out.append(np.stack([key, np.full(k, len(s)), np.full(k, doc), np.arange(k), np.full(k, component)]))
+                if out:
+                    yield pa.record_batch([pa.array(c) for c in np.concatenate(out, axis=1)], names=FIRSTS.names)
+
+    return run
+
+
+def _bitmaps(words: int):
+    def run(batches):
+        for b in blocks(batches):
+            tokens, offsets = token_hashes(b.column("text"))
+            sets = [np.unique(shingle_hashes(tokens[offsets[i] : offsets[i + 1]], words)) for i in range(b.num_rows)]
+            yield pa.record_batch([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary())], names=["doc_id", "n", "bits"])
+
+    return run
+
+
+def _met(rows: np.ndarray, percent: int):
+    """Pairs (a, b) of rows (key, n, doc_id, pos, component; in this order) with one key, of two components, whose
+    sizes and places let them be alike enough."""
+    begins = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+    mixed = np.minimum.reduceat(rows[4], begins) != np.maximum.reduceat(rows[4], begins)
+    rows = rows[:, np.repeat(mixed, np.diff(np.append(begins, rows.shape[1])))]
+    key, n, doc, pos, component = rows
+    at, step, out = np.arange(rows.shape[1]), 0, []
+    while len(at):
+        step += 1
+        at = at[: np.searchsorted(at, rows.shape[1] - step)]
+        to = at + step
+        # rows of a key go by size: behind one that is too large there are only larger ones
+        close = (key[at] == key[to]) & (100 * n[at] >= percent * n[to])
+        at, to = at[close], to[close]
+        room = np.minimum(n[at] - pos[at], n[to] - pos[to])
+        fit = (component[at] != component[to]) & (room * (100 + percent) >= (n[at] + n[to]) * percent)
+        if fit.any():
+            x, y = doc[at[fit]], doc[to[fit]]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+            if sum(o.shape[1] for o in out) > 500_000:
+                yield np.unique(np.concatenate(out, axis=1), axis=1)
+                out = []
+    if out:
+        yield np.unique(np.concatenate(out, axis=1), axis=1)
+
+
+def _meetings(percent: int, block: int | None):
+    """Pairs that meet in a part sorted by key and n; keys of more than `block` rows go out as rows of numbered blocks."""
+
+    def pairs(rows):
+        for p in _met(rows, percent) if rows.shape[1] > 1 else ():
+            yield pa.record_batch([pa.array(p[0]), pa.array(p[1])] + [pa.nulls(p.shape[1], pa.int64())] * 5, names=MEETING.names)
+
+    def cut(rows, number):
+        m = rows.shape[1]
+        return pa.record_batch([pa.array(rows[2]), pa.nulls(m, pa.int64()), pa.array(rows[0]), pa.array(np.full(m, number)), pa.array(rows[1]), pa.array(rows[3]), pa.array(rows[4])], names=MEETING.names)
+
+    def run(batches):
+        held, number = np.zeros((5, 0), np.int64), 0  # rows of the last key, and blocks of it that are out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in FIRSTS.names])], axis=1)
+            if number:
+                end = int(np.searchsorted(rows[0] != rows[0, 0], True))
+                if end < rows.shape[1]:
+                    yield cut(rows[:, :end], number)
+                    rows, number = rows[:, end:], 0
+            last = int(np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))[-1])
+            yield from pairs(rows[:, :last])
+            held = rows[:, last:]
+            while block and held.shape[1] > block:
+                yield cut(held[:, :block], number)
+                held, number = held[:, block:], number + 1
+        if number:
+            yield cut(held, number)
+        else:
+            yield from pairs(held)
+
+    return run
+
+
+def _alike(percent: int):
+    def run(batches):
+        for b in batches:
+            n, a, c = (b.column(x).to_pylist() for x in ("sizes", "bits_a", "bits_b"))
+            # both >= percent / (100 + percent) of the sizes, so they differ in the rest at most
+            keep = [differ(x, y) * (100 + percent) <= k * (100 - percent) for k, x, y in zip(n, a, c, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def missing_pairs(d: DataFrame, of: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of two components that may be alike enough; all that are so are among them. of: doc_id, component."""
+    spark = d.sparkSession
+    counts = spark.sparkContext.broadcast(shingle_counts(d, words))
+    few = F.broadcast if of.count() <= MOST_IDS else (lambda x: x)
+    texts = d.join(few(of), "doc_id")
+    order = ["key", "n", "doc_id"]
+    firsts = texts.mapInArrow(_firsts(words, percent, counts), FIRSTS)
+    met = stored(firsts.repartition("key").sortWithinPartitions(*order).mapInArrow(_meetings(percent, BLOCK), MEETING), "met")
+    # keys of many rows: each pair of their blocks whose sizes and components let rows link is a key of its own
+    rows = met.where("key is not null")
+    spans = rows.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("least"), F.max("component").alias("most"))
+    x, y = (spans.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high", "least", "most")]) for s in "xy")
+    cells = x.join(y, "key").where(F.col("block_x") <= F.col("block_y")).where(F.col("high_x") * 100 >= F.col("low_y") * percent)
+    cells = cells.where(F.least("least_x", "least_y") != F.greatest("most_x", "most_y")).select("key", "block_x", "block_y")
+    cell = cells.select("key", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"), F.xxhash64("key", "block_x", "block_y").alias("cell"))
+    dealt = rows.join(cell, ["key", "block"]).select(F.col("cell").alias("key"), "n", F.col("a").alias("doc_id"), "pos", "component")
+    across = dealt.repartition("key").sortWithinPartitions(*order).mapInArrow(_meetings(percent, None), MEETING)
+    pairs = stored(met.where("key is null").select("a", "b").unionByName(across.select("a", "b")).distinct(), "meeting")
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    bits = stored(d.join(few, "doc_id", "left_semi").mapInArrow(_bitmaps(words), "doc_id long, n long, bits binary").dropDuplicates(["doc_id"]), "bits")
+    left, right = (bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"), "bits_a", "bits_b")
+    return both.mapInArrow(_alike(percent), "a long, b long")
+
+
+def confirmed(d: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike enough."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    sets = stored(d.join(few, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
+    return both.where(F.col("both") * (100 + percent) >= F.col("sizes") * percent).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents whose sets of distinct word shingles have 100 * intersection >= percent * union.
 
@@ -131,13 +341,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     key = ["n_shingles", "set_a", "set_b"]
     classes = stored(signed.where("sig is not null and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     pairs = stored(candidates(classes.select(F.col("rep").alias("doc_id"), "sig")), "pairs")
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    sets = stored(d.join(few, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
-    links = both.where(F.col("both") * (100 + percent) >= F.col("sizes") * percent)
-    found = components(links)
+    links = stored(confirmed(d, pairs, words, percent), "confirmed")
+    first = components(links)
+    of = stored(classes.select("rep").join(first, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component")), "first")
+    more = stored(missing_pairs(d, of, words, percent), "missing")
+    found = components(links.unionByName(confirmed(d, more, words, percent)))
     out = signed.join(classes.drop("sig"), key, "left").join(found, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tapedeck.llm import near_dup
 from tapedeck.llm.components import components
 from tests.llm.fixtures import SF, awkward, edited, frame, prose
@@ -81,3 +83,32 @@ def test_components_long_path_and_star(spark):
     star = [(1000, 1000 + i) for i in range(1, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(path + star + [(7, 7), (None, 3)], "a long, b long")).collect()}
     assert got == {i: 0 for i in range(501)} | {1000 + i: 1000 for i in range(300)}
+
+
+def star(n, seed=31, words=200, edits=8):
+    """n copies, each alike enough to the original (in the middle) and too unlike each other."""
+    r, base = random.Random(seed), [f"w{i}" for i in range(words)]
+    rows = [(i, " ".join(f"e{i}x{k}" if k in at else w for k, w in enumerate(base))) for i in range(n) for at in [set(r.sample(range(1, words - 1, 3), edits))]]
+    rows[n // 2] = (n // 2, " ".join(base))
+    return rows
+
+
+def test_star_of_edited_copies(spark):
+    rows = star(1000)
+    got = near_dup.near_duplicates(frame(spark, rows, False), words=2).collect()
+    assert len(got) == 1000 and {r.component_id for r in got} == {0}
+
+
+def test_many_rows_of_a_shingle_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "NEIGHBOURS", 1)
+    rows = star(150)
+    assert {r.component_id for r in near_dup.near_duplicates(frame(spark, rows, False), words=2).collect()} == {0}
+
+
+def test_bitmaps_never_differ_more_than_sets():
+    r = np.random.default_rng(2)
+    for n, m, k in ((1, 1, 0), (40, 45, 30), (200, 160, 150), (900, 90, 90)):
+        x = r.integers(0, 2**63, n + m - k).astype(np.uint64)
+        a, b = x[:n], x[n - k :]
+        assert near_dup.differ(near_dup.bitmap(a), near_dup.bitmap(b)) <= n + m - 2 * k
