@@ -19,32 +19,48 @@ ROWS = T.StructType([T.StructField(c, T.LongType()) for c in ORDER])
 PAIRS = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "a_pos", "b", "b_pos", "sig", "next", "far")])
 
 
-def _adjacent(reach: int):
-    def run(batches):
-        """Pairs of rows at most `reach` apart with the same sig, from two documents; then the first and last rows, for the seams."""
-        head = tail = np.zeros((len(ORDER), 0), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ORDER])
-            head = np.concatenate([head, new[:, : reach - head.shape[1]]], axis=1)
-            rows, old = np.concatenate([tail, new], axis=1), tail.shape[1]
-            tail = rows[:, -reach:]
-            for k in range(1, reach + 1):
-                first = max(k, old)  # rows before it have had their turn
-                x, y = rows[:, first - k : rows.shape[1] - k], rows[:, first:]
-                hit = (x[0] == y[0]) & (x[3] != y[3])
-                if hit.any():
-                    x, y = x[:, hit], y[:, hit]
-                    swap = x[3] > y[3]
-                    a, b = np.where(swap, y, x), np.where(swap, x, y)
-                    yield pa.record_batch([pa.array(v) for v in (a[3], a[4], b[3], b[4])] + [pa.nulls(a.shape[1], pa.int64())] * 3, names=PAIRS.names)
-        seam = np.concatenate([head, tail], axis=1)
-        if n := seam.shape[1]:
-            none = pa.nulls(n, pa.int64())
-            yield pa.record_batch([pa.array(seam[3]), pa.array(seam[4]), none, none, *[pa.array(seam[i]) for i in range(3)]], names=PAIRS.names)
-
-    return run
+def _paired(rows: np.ndarray, begins: np.ndarray, first: int, last: int):
+    """Rows of the runs first..last (one sig, one document each; they begin at `begins`), each with the last row of the
+    run before and the first one of the run behind, where these have its sig."""
+    ends = np.append(begins[1:], rows.shape[1])
+    run = np.repeat(np.arange(len(begins)), ends - begins)
+    at = np.arange(rows.shape[1])[(run >= first) & (run <= last)]
+    for other, there in ((begins[run[at]] - 1, run[at] > 0), (ends[run[at]], run[at] < len(begins) - 1)):
+        x, y = rows[:, at[there]], rows[:, other[there]]
+        hit = x[0] == y[0]
+        if hit.any():
+            x, y = x[:, hit], y[:, hit]
+            swap = x[3] > y[3]
+            a, b = np.where(swap, y, x), np.where(swap, x, y)
+            yield pa.record_batch([pa.array(v) for v in (a[3], a[4], b[3], b[4])] + [pa.nulls(a.shape[1], pa.int64())] * 3, names=PAIRS.names)
+
+
+def _adjacent(batches):
+    """Pairs of each row with the nearest ones of another document, before and behind it, that have its sig; then, for
+    the seams, the first and the last run of one document whole, and the rows beside them."""
+    none = np.zeros((len(ORDER), 0), np.int64)
+    held, before = none, 0  # the last run, after the row before it (if there is one: before = 1)
+    head = none  # the first run and the row behind it
+
+    def begin(rows):
+        return np.flatnonzero(np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[3, 1:] != rows[3, :-1])]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ORDER])], axis=1)
+        begins = begin(rows)
+        if not head.shape[1] and len(begins) > 1:
+            head = rows[:, : begins[1] + 1]
+        # the last run may go on; a row before the first one has had its turn
+        yield from _paired(rows, begins, before, len(begins) - 2)
+        before = int(len(begins) > 1)
+        held = rows[:, begins[-1] - before :]
+    if held.shape[1]:
+        yield from _paired(held, begin(held), before, before)
+        seam = np.concatenate([head, held], axis=1)
+        nulls = pa.nulls(seam.shape[1], pa.int64())
+        yield pa.record_batch([pa.array(seam[3]), pa.array(seam[4]), nulls, nulls, *[pa.array(seam[i]) for i in range(3)]], names=PAIRS.names)
 
 
 def _meeting(batches):
@@ -78,20 +94,21 @@ def _meeting(batches):
         yield out(held, held.shape[1] - 1, held.shape[1])
 
 
-def neighbours(rows: DataFrame, reach: int = 1) -> DataFrame:
-    """a, a_pos, b, b_pos (a < b): rows at most `reach` apart in the order of all rows that share their sig.
+def neighbours(rows: DataFrame) -> DataFrame:
+    """a, a_pos, b, b_pos (a < b): of all rows that share a sig, in order, each with the nearest of another document on
+    either side.
 
     The order ends with document and position, so that rows of one sig, however many, are dealt over many parts. A
-    group of n rows gives fewer than n * reach pairs. All rows are shuffled once; those that meet, once more.
+    group of n rows gives at most 2 * n pairs. All rows are shuffled once; those that meet, once more.
     """
     rows = stored(rows, "signed")
     kept = stored(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_meeting, ROWS), "ordered")
     discard(rows)
-    near = stored(kept.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_adjacent(reach), PAIRS), "near")
+    near = stored(kept.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_adjacent, PAIRS), "near")
     discard(kept)
-    # 2 * reach rows from each part
+    # the rows of two documents from each part, and two more
     seams = near.where("sig is not null").select("sig", "next", "far", F.col("a").alias("doc_id"), F.col("a_pos").alias("pos")).distinct()
-    across = seams.repartition(1).sortWithinPartitions(*ORDER).mapInArrow(_adjacent(reach), PAIRS)
+    across = seams.repartition(1).sortWithinPartitions(*ORDER).mapInArrow(_adjacent, PAIRS)
     return near.where("sig is null").unionByName(across.where("sig is null")).select("a", "a_pos", "b", "b_pos").distinct()
 
 
