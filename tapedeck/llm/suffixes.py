@@ -119,8 +119,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """Passages of LEAST_WORDS words or more that two documents share: doc_a, start_a, doc_b, start_b, n_words.
 
     Words are compared with A-Z lower-cased; starts count words from 0; a passage is as long as it goes on both sides.
-    Of n occurrences of a passage, neighbours in the suffix order are paired, so that every occurrence has a row but
-    not every pair has one. Null and empty texts and null ids have none; of repeated rows one is looked at; passages
+    Of n occurrences of a passage, neighbours in the suffix order are paired: not every pair has a row, and where many
+    other documents share the passage's first words, an occurrence may have none. Null and empty texts and null ids have none; of repeated rows one is looked at; passages
     within one document are not reported; other columns are not looked at.
     """
     d = renamed(docs, ["doc_id", "text"]).where("doc_id is not null and text is not null")
