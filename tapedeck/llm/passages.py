@@ -1,4 +1,4 @@
-"""What both ways to find repeated passages share: neighbours in a sorted list, and the words of both documents of a pair."""
+"""What both ways to find repeated passages share: one text for each document, and the words of both documents of a pair."""
 
 from __future__ import annotations
 
@@ -6,144 +6,66 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tapedeck.llm.common import blocks, discard, stored, token_hashes
+from tapedeck.llm.common import blocks, renamed, stored, token_hashes
 
-#: Document ids that may be broadcast (8 bytes each); beyond that the texts are joined by a shuffle.
-MOST_IDS = 2_000_000
+#: Document ids and lengths that may be broadcast (16 bytes each); beyond that they are joined by a shuffle.
+MOST_IDS = 1_000_000
 #: Pairs that a task looks at together.
 TOGETHER = 128
-ORDER = ["sig", "next", "far", "doc_id", "pos"]
-ROWS = T.StructType([T.StructField(c, T.LongType()) for c in ORDER])
-PAIRS = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "a_pos", "b", "b_pos", "sig", "next", "far")])
-
-
-def _paired(rows: np.ndarray, begins: np.ndarray, first: int, last: int):
-    """Rows of the runs first..last (one sig, one document each; they begin at `begins`), each with the last row of the
-    run before and the first one of the run behind, where these have its sig."""
-    ends = np.append(begins[1:], rows.shape[1])
-    run = np.repeat(np.arange(len(begins)), ends - begins)
-    at = np.arange(rows.shape[1])[(run >= first) & (run <= last)]
-    for other, there in ((begins[run[at]] - 1, run[at] > 0), (ends[run[at]], run[at] < len(begins) - 1)):
-        x, y = rows[:, at[there]], rows[:, other[there]]
-        hit = x[0] == y[0]
-        if hit.any():
-            x, y = x[:, hit], y[:, hit]
-            swap = x[3] > y[3]
-            a, b = np.where(swap, y, x), np.where(swap, x, y)
-            yield pa.record_batch([pa.array(v) for v in (a[3], a[4], b[3], b[4])] + [pa.nulls(a.shape[1], pa.int64())] * 3, names=PAIRS.names)
-
-
-def _adjacent(batches):
-    """Pairs of each row with the nearest ones of another document, before and behind it, that have its sig; then, for
-    the seams, the first and the last run of one document whole, and the rows beside them."""
-    none = np.zeros((len(ORDER), 0), np.int64)
-    held, before = none, 0  # the last run, after the row before it (if there is one: before = 1)
-    head = none  # the first run and the row behind it
-
-    def begin(rows):
-        return np.flatnonzero(np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[3, 1:] != rows[3, :-1])]))
+#: Bytes of a word's hash: two words look equal once in 2^24 times.
+WORD = 3
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ORDER])], axis=1)
-        begins = begin(rows)
-        if not head.shape[1] and len(begins) > 1:
-            head = rows[:, : begins[1] + 1]
-        # the last run may go on; a row before the first one has had its turn
-        yield from _paired(rows, begins, before, len(begins) - 2)
-        before = int(len(begins) > 1)
-        held = rows[:, begins[-1] - before :]
-    if held.shape[1]:
-        yield from _paired(held, begin(held), before, before)
-        seam = np.concatenate([head, held], axis=1)
-        nulls = pa.nulls(seam.shape[1], pa.int64())
-        yield pa.record_batch([pa.array(seam[3]), pa.array(seam[4]), nulls, nulls, *[pa.array(seam[i]) for i in range(3)]], names=PAIRS.names)
-
-
-def _meeting(batches):
-    """Of rows in order, those whose sig another document has too. Where what follows meets in no two rows, it doesn't
-    order: then the documents do, and all rows of a passage that stands in many contexts pair the same documents.
-
-    A part's first and last row stay as they are, for what is beside them lies in other parts.
-    """
-    held = np.zeros((len(ORDER), 0), np.int64)  # the last row that is out and the one after it
-
-    def out(rows, first, last):
-        n = rows.shape[1]
-        same = np.cumprod(rows[:3, 1:] == rows[:3, :-1], axis=0).astype(bool)  # sig; sig, next; sig, next, far
-        edge = np.ones((3, 1), bool)
-        meets = np.concatenate([edge, same], axis=1) | np.concatenate([same, edge], axis=1)
-        begins = np.flatnonzero(np.concatenate([[True], ~same[0]]))
-        alone = np.minimum.reduceat(rows[3], begins) == np.maximum.reduceat(rows[3], begins)
-        alone[[0, -1]] = False  # such runs may go on outside
-        keep = meets[0] & ~np.repeat(alone, np.diff(np.append(begins, n)))
-        rows = np.concatenate([rows[:1], np.where(meets[1:], rows[1:3], 0), rows[3:]])[:, first:last]
-        return pa.record_batch([pa.array(r) for r in rows[:, keep[first:last]]], names=ORDER)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ORDER])], axis=1)
-        if rows.shape[1] > 1:
-            yield out(rows, int(held.shape[1] > 1), rows.shape[1] - 1)
-        held = rows[:, -2:]
-    if held.shape[1]:
-        yield out(held, held.shape[1] - 1, held.shape[1])
-
-
-def neighbours(rows: DataFrame) -> DataFrame:
-    """a, a_pos, b, b_pos (a < b): of all rows that share a sig, in order, each with the nearest of another document on
-    either side.
-
-    The order ends with document and position, so that rows of one sig, however many, are dealt over many parts. A
-    group of n rows gives at most 2 * n pairs. All rows are shuffled once; those that meet, once more.
-    """
-    rows = stored(rows, "signed")
-    kept = stored(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_meeting, ROWS), "ordered")
-    discard(rows)
-    near = stored(kept.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_adjacent, PAIRS), "near")
-    discard(kept)
-    # the rows of two documents from each part, and two more
-    seams = near.where("sig is not null").select("sig", "next", "far", F.col("a").alias("doc_id"), F.col("a_pos").alias("pos")).distinct()
-    across = seams.repartition(1).sortWithinPartitions(*ORDER).mapInArrow(_adjacent, PAIRS)
-    return near.where("sig is null").unionByName(across.where("sig is null")).select("a", "a_pos", "b", "b_pos").distinct()
+def one_text_each(docs: DataFrame) -> DataFrame:
+    """doc_id and text of rows that have both; of rows with one id, the greatest text."""
+    d = renamed(docs, ["doc_id", "text"]).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    again = stored(d.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return d
+    few = F.broadcast(again) if again.count() <= MOST_IDS else again
+    return d.join(few, "doc_id", "left_anti").unionByName(d.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
 
 
 def _words(batches):
     for b in blocks(batches):
         tokens, offsets = token_hashes(b.column("text"))
-        low = (tokens >> np.uint64(32)).astype("<u4")
-        yield pa.record_batch([b.column("doc_id"), pa.array([low[x:y].tobytes() for x, y in zip(offsets, offsets[1:], strict=False)], pa.binary())], names=["doc_id", "words"])
+        low = np.ascontiguousarray((tokens >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :WORD])
+        kept = [pa.scalar(low[x:y].tobytes(), pa.binary()) for x, y in zip(offsets, offsets[1:], strict=False)]
+        yield pa.record_batch([b.column("doc_id"), pa.array(kept, pa.binary())], names=["doc_id", "words"])
+
+
+def unpacked(words: bytes) -> np.ndarray:
+    out = np.zeros((len(words) // WORD, 4), np.uint8)
+    out[:, :WORD] = np.frombuffer(words, np.uint8).reshape(-1, WORD)
+    return out.view("<u4").ravel()
 
 
 def with_words(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The longer document of each pair (a, b, ...) as `home`, with its word hashes (32 bits each), before its pairs.
+    """The longer document of each pair (a, b, ...) as `home`, with its word hashes, before its pairs.
 
     A row without `guest` holds home's words; the rows after it are its pairs, each with the words of the shorter
     document, the guest. So a text is sent once for itself and once for each pair in which it is the shorter.
+    docs: one row for each doc_id.
     """
     pairs = stored(pairs, "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    small = ids.count() <= MOST_IDS
-    few = F.broadcast(ids) if small else ids
-    words = docs.join(few, "doc_id", "left_semi").mapInArrow(_words, "doc_id long, words binary")
-    words = stored(words.withColumn("n", F.length("words")), "words")
-    # whole texts are shuffled to tell repeated ids apart only where there are some
-    if words.count() > words.select("doc_id").distinct().count():
-        words = stored(words.dropDuplicates(["doc_id"]), "words")
+    few = F.broadcast if ids.count() <= MOST_IDS else (lambda x: x)
+    sizes = stored(docs.join(few(ids), "doc_id", "left_semi").select("doc_id", F.length("text").alias("n")), "sizes")
     sized = pairs
     for c in "ab":
-        n = words.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"))
-        sized = sized.join(F.broadcast(n) if small else n, c)
+        sized = sized.join(few(sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"))), c)
     longer = F.col("a_n") >= F.col("b_n")
     rest = [c for c in pairs.columns if c not in ("a", "b")]
     home, guest = F.when(longer, F.col("a")).otherwise(F.col("b")), F.when(longer, F.col("b")).otherwise(F.col("a"))
-    guests = sized.select(home.alias("home"), guest.alias("guest"), *rest).join(words.select(F.col("doc_id").alias("guest"), "words"), "guest")
-    hosts = words.select(F.col("doc_id").alias("home"), "words")
-    return hosts.unionByName(guests, allowMissingColumns=True).repartition("home").sortWithinPartitions("home", F.asc_nulls_first("guest"))
+    sized = stored(sized.select(home.alias("home"), guest.alias("guest"), *rest), "sized")
+
+    def words(side):
+        of = few(sized.select(F.col(side).alias("doc_id")).distinct())
+        return docs.join(of, "doc_id", "left_semi").mapInArrow(_words, "doc_id long, words binary").withColumnRenamed("doc_id", side)
+
+    guests = sized.join(words("guest"), "guest")
+    return words("home").unionByName(guests, allowMissingColumns=True).repartition("home").sortWithinPartitions("home", F.asc_nulls_first("guest"))
 
 
 def visits(batches):
@@ -153,7 +75,7 @@ def visits(batches):
         for i in range(0, batch.num_rows, TOGETHER):
             out = []
             for r in batch.slice(i, TOGETHER).to_pylist():
-                words = np.frombuffer(r.pop("words"), "<u4")
+                words = unpacked(r.pop("words"))
                 if r["guest"] is None:
                     own = words
                 else:

@@ -1,9 +1,10 @@
-"""Repeated passages by a sparse suffix array: suffixes at minimiser positions, sorted, neighbours compared and extended.
+"""Repeated passages by a sparse suffix array: suffixes at minimiser positions, sorted, compared and extended.
 
 A position is kept if its run of SHINGLE words has the least hash among WINDOW runs in a row, which the words around
-it alone decide: a passage of LEAST_WORDS words keeps a position among its first WINDOW, wherever it stands. A suffix
-sorts by hashes of its first words, of more words and of still more; the alphabet's order is of no use here, only that
-equal beginnings meet.
+it alone decide: a passage of LEAST_WORDS words keeps a position among its first WINDOW, wherever it stands. Suffixes
+that begin with the same FIRST words are sorted by the words that follow, then by those before them; equal ones are
+neighbours, and different ones are linked by how many words they share in both directions, so that the occurrences of
+a passage stay linked whatever other documents share only its beginning. Links are extended on the full texts.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapedeck.llm.common import blocks, mix, renamed, shingle_hashes, token_hashes
-from tapedeck.llm.passages import ROWS, neighbours, visits, with_words
+from tapedeck.llm.common import blocks, mix, shingle_hashes, token_hashes
+from tapedeck.llm.groups import linked
+from tapedeck.llm.passages import one_text_each, visits, with_words
 
 LEAST_WORDS, WINDOW, SHINGLE = 50, 30, 5
-#: A suffix's sort key: hashes of its words up to these.
-FIRST, NEXT, FAR = LEAST_WORDS - WINDOW, 60, 200
+#: Words of a suffix's key, and words behind them and before the suffix of which it carries FOUR bits each.
+FIRST, CARRIED, FOUR = LEAST_WORDS - WINDOW, 32, 4
+PAYLOAD = ["after", "later", "before", "earlier"]
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -72,23 +75,63 @@ def backs(n: int) -> np.ndarray:
     return _backs[:n]
 
 
+def separated(tokens: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words of many texts in a row; 0, the least value, for runs that leave their text."""
+    x = shingle_hashes(tokens, n)
+    for k in range(1, n):
+        at = offsets[1:] - k
+        x[at[(at >= 0) & (at < len(x))]] = 0
+    return x
+
+
+def packed(words: np.ndarray) -> np.ndarray:
+    """FOUR bits of each of the 16 words from each place on, the first one lowest; past the end, of nothing."""
+    x = np.concatenate([words >> np.uint64(64 - FOUR), np.zeros(CARRIED, np.uint64)])
+    for k in (1, 2, 4, 8):
+        x = x | (np.concatenate([x[k:], np.zeros(k, np.uint64)]) << np.uint64(FOUR * k))
+    return x
+
+
 def _suffixes(batches):
     for b in blocks(batches):
         tokens, offsets = token_hashes(b.column("text"))
-        out = []
-        for i, doc in enumerate(b.column("doc_id").to_pylist()):
-            own = tokens[offsets[i] : offsets[i + 1]]
-            n = len(own)
-            if doc is None or n < LEAST_WORDS:
-                continue
-            at = minimisers(shingle_hashes(own, SHINGLE), WINDOW)
-            at = at[at + FIRST <= n]
-            sums, back = prefix_hashes(own), backs(n + 1)
-            keys = [mix((sums[np.minimum(at + k, n)] - sums[at]) * back[at]).view(np.int64) for k in (FIRST, NEXT, FAR)]
-            out.append(np.stack([*keys, np.full(len(at), doc), at]))
-        if out:
-            rows = np.concatenate(out, axis=1)
-            yield pa.record_batch([pa.array(r) for r in rows], names=ROWS.names)
+        if len(tokens) < LEAST_WORDS:
+            continue
+        x = separated(tokens, offsets, SHINGLE)
+        at = minimisers(x, WINDOW)
+        of = np.searchsorted(offsets, at, side="right") - 1
+        keep = (x[at] != 0) & (at + FIRST <= offsets[of + 1]) & (offsets[of + 1] - offsets[of] >= LEAST_WORDS)
+        at, of = at[keep], of[keep]
+        start, end, n = offsets[of], offsets[of + 1], len(tokens)
+        sums, back = prefix_hashes(tokens), backs(n + 1)
+        key = mix((sums[at + FIRST] - sums[at]) * back[at])
+        ahead, behind = packed(tokens), packed(tokens[::-1])
+        # past the ends of a text stands what its length says: it is the same in copies, and seldom in other texts
+        beyond = mix((end - start).astype(np.uint64))
+        rows = [key.view(np.int64), b.column("doc_id").to_numpy()[of], at - start]
+        for way, place, there in ((ahead, at + FIRST, end - at - FIRST), (ahead, at + FIRST + 16, end - at - FIRST - 16), (behind, n - at, at - start), (behind, n - at + 16, at - start - 16)):
+            bits = (FOUR * np.clip(there, 0, 16)).astype(np.uint64)
+            mask = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << (bits % np.uint64(64))) - np.uint64(1))
+            rows.append(((way[place] & mask) | (beyond & ~mask)).view(np.int64))
+        yield pa.record_batch([pa.array(r) for r in rows], names=["key", "doc_id", "pos", *PAYLOAD])
+
+
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of 16 packed words agree from the first one on."""
+    v = x.view(np.uint64) ^ y.view(np.uint64)
+    return (np.bitwise_count((v & (~v + np.uint64(1))) - np.uint64(1)) // FOUR).astype(np.int64)
+
+
+def shared_words(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Words that suffixes of one key share, ahead and behind, as far as they carry them; 0 if too few for a passage.
+
+    It is never less than what they share, and now and then some words more.
+    """
+    n = np.full(np.broadcast_shapes(x.shape, y.shape)[1], FIRST, np.int64)
+    for near in (0, 2):
+        some = _equal(x[near], y[near])
+        n += some + np.where(some == 16, _equal(x[near + 1], y[near + 1]), 0)
+    return np.where(n >= LEAST_WORDS, n, 0)
 
 
 def equal_runs(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
@@ -101,29 +144,34 @@ def equal_runs(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tup
     return [(low + int(x), int(y - x)) for x, y in zip(edge[::2], edge[1::2], strict=True) if y - x >= least]
 
 
-REPEATS = "doc_a long, start_a long, doc_b long, start_b long, n_words long"
+REPEATS = "doc_id long, start long, other_doc_id long, other_start long, n_words long"
 
 
 def _extended(batches):
     for some in visits(batches):
         rows = []
         for r, own, other in some:
-            a, b, x, y = (r["home"], r["guest"], own, other) if r["home"] < r["guest"] else (r["guest"], r["home"], other, own)
-            for shift in r["shifts"]:
-                rows += [(a, start, b, start - shift, n) for start, n in equal_runs(x, y, shift, LEAST_WORDS)]
+            shifts = sorted({p["a_pos"] - p["b_pos"] for p in r["seeds"]})
+            if r["home"] > r["guest"]:
+                shifts = [-s for s in shifts]
+            for shift in shifts:
+                for start, n in equal_runs(own, other, shift, LEAST_WORDS):
+                    rows += [(r["home"], start, r["guest"], start - shift, n), (r["guest"], start - shift, r["home"], start, n)]
         if rows:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_a", "start_a", "doc_b", "start_b", "n_words"])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "other_doc_id", "other_start", "n_words"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Passages of LEAST_WORDS words or more that two documents share: doc_a, start_a, doc_b, start_b, n_words.
+    """Passages of LEAST_WORDS words or more that a document shares with another: doc_id, start, other_doc_id,
+    other_start, n_words.
 
     Words are compared with A-Z lower-cased; starts count words from 0; a passage is as long as it goes on both sides.
-    Of n occurrences of a passage, neighbours in the suffix order are paired: not every pair has a row, and where many
-    other documents share the passage's first words, an occurrence may have none. Null and empty texts and null ids have none; of repeated rows one is looked at; passages
-    within one document are not reported; other columns are not looked at.
+    Each pair has a row for either document. Not every pair of the occurrences of a passage has rows, but each
+    occurrence has one, and rows lead from each to all others. Null and empty texts and null ids have no rows; of rows
+    with one id the greatest text counts; passages within one document are not reported; other columns are not looked
+    at; an empty table gives no rows.
     """
-    d = renamed(docs, ["doc_id", "text"]).where("doc_id is not null and text is not null")
-    near = neighbours(d.mapInArrow(_suffixes, ROWS))
-    aligned = near.groupBy("a", "b").agg(F.collect_set(F.col("a_pos") - F.col("b_pos")).alias("shifts"))
-    return with_words(aligned, d).mapInArrow(_extended, REPEATS)
+    d = one_text_each(docs)
+    near = linked(d, _suffixes, shared_words, PAYLOAD)
+    pairs = near.withColumn("shift", F.col("a_pos") - F.col("b_pos")).groupBy("a", "b", "shift").agg(F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos"))
+    return with_words(pairs.groupBy("a", "b").agg(F.collect_list(F.struct("a_pos", "b_pos")).alias("seeds")), d).mapInArrow(_extended, REPEATS)
