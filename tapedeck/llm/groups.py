@@ -2,9 +2,11 @@
 
 A row is (key, doc_id, pos) and a payload that says how alike two rows are. Rows of equal payload hang on the first of
 them; different payloads are joined by a spanning forest of the largest likeness, which connects whatever any chain of
-alike pairs connects. A group of n rows gives about n links. Groups of more than BLOCK rows are cut into blocks; each
-two blocks meet in a task of their own, and since a spanning tree of the whole group lies in the trees of its pairs of
-blocks, none of its links is lost.
+alike pairs connects. A group of n rows gives about n links.
+
+Keys that a sample shows to be hot are refined where their rows are made: each row goes under several narrower keys, of
+which rows that are alike enough share one. Groups that are still larger than BLOCK rows are cut into blocks by the
+task that streams them. A block is linked and reduced to what stands for it, and what stands for two blocks meets.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapedeck.llm.common import ODD, discard, mix, stored
+from tapedeck.llm.common import discard, stored
 
 #: Rows of a key that are linked at once, rows that are held until they are linked, and payloads of a key of which all pairs are looked at.
 BLOCK, HELD, SMALL = 4096, 100_000, 12
-#: One in SAMPLED documents is looked at for keys with more than a HOT-th of all rows; there are less than HOT such keys.
+#: One in SAMPLED documents is looked at for keys of more than BLOCK and a HOT-th of all rows; there are less than HOT such keys.
 SAMPLED, HOT = 64, 10_000
 LINKS = ["a", "a_pos", "b", "b_pos"]
 
@@ -107,37 +109,50 @@ def links(rows: np.ndarray, alike: Alike) -> np.ndarray:
     return np.stack([rows[1, i], rows[2, i], rows[1, j], rows[2, j]])
 
 
-def _spread(rows_of, hot: dict[int, int]):
-    """rows_of with a column `block`: -1, or the block of a row of a hot key."""
+def first_of_kinds(rows: np.ndarray) -> np.ndarray:
+    """The first row of each payload (and, lest they be of one document, the first of another document too)."""
+    rows = rows[:, np.lexsort((rows[2], rows[1], *rows[:2:-1], rows[0]))]
+    kind = changes(rows[0], *rows[3:])
+    node = kind | changes(rows[1])
+    second = np.zeros(rows.shape[1], bool)
+    at = np.flatnonzero(node)
+    second[at[1:]] = kind[at[:-1]] & ~kind[at[1:]]
+    return rows[:, kind | second]
+
+
+def _refined(rows_of, hot: list[int], refine, columns: list[str]):
+    """rows_of, with rows of hot keys under narrower keys."""
     keys = np.array(sorted(hot), np.int64)
-    blocks = np.array([hot[k] for k in keys.tolist()], np.uint64)
 
     def run(batches):
         for b in rows_of(batches):
-            block = np.full(b.num_rows, -1)
             if len(keys):
                 key = b.column("key").to_numpy()
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                is_hot = keys[at] == key
-                dealt = mix(b.column("doc_id").to_numpy().view(np.uint64) * ODD[0] + b.column("pos").to_numpy().view(np.uint64))
-                block[is_hot] = (dealt[is_hot] % blocks[at[is_hot]]).astype(np.int64)
-            yield b.append_column("block", pa.array(block))
+                is_hot = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+                if is_hot.any():
+                    rows = np.stack([b.column(c).to_numpy() for c in columns])
+                    rows = np.concatenate([rows[:, ~is_hot], refine(rows[:, is_hot])], axis=1)
+                    b = pa.record_batch([pa.array(r) for r in rows], names=columns)
+            yield b
 
     return run
 
 
-def _linked(alike: Alike, payload: list[str], cut: bool):
-    """Links within a part in order of its keys; rows of hot keys, and of others of more than BLOCK rows (if `cut`), go
-    out as rows of numbered blocks."""
+def _linked(alike: Alike, payload: list[str], reduce=None):
+    """Links within a part in order of its keys. Keys of more than BLOCK rows are linked in blocks, and what `reduce`
+    makes of a block goes out as rows of numbered blocks; without `reduce`, keys are linked whole."""
     columns = ["key", "doc_id", "pos", *payload]
 
     def out(found):
         return pa.record_batch([*map(pa.array, found), *[pa.nulls(found.shape[1], pa.int64())] * (2 + len(payload))], names=[*LINKS, "key", "block", *payload])
 
     def blocks(rows, number):
+        found, rows, number = reduce(rows, number)
+        if found.shape[1]:
+            yield out(found)
         none = pa.nulls(rows.shape[1], pa.int64())
         number = np.broadcast_to(np.int64(number), rows.shape[1])
-        return pa.record_batch([pa.array(rows[1]), pa.array(rows[2]), none, none, pa.array(rows[0]), pa.array(number), *map(pa.array, rows[3:])], names=[*LINKS, "key", "block", *payload])
+        yield pa.record_batch([pa.array(rows[1]), pa.array(rows[2]), none, none, pa.array(rows[0]), pa.array(number), *map(pa.array, rows[3:])], names=[*LINKS, "key", "block", *payload])
 
     def run(batches):
         held, number = [], 0  # rows that wait, and blocks of the first key among them that are out
@@ -145,11 +160,6 @@ def _linked(alike: Alike, payload: list[str], cut: bool):
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
-            if cut:
-                block = batch.column("block").to_numpy()
-                if (block >= 0).any():
-                    yield blocks(rows[:, block >= 0], block[block >= 0])
-                    rows = rows[:, block < 0]
             held.append(rows)
             if sum(h.shape[1] for h in held) < HELD:
                 continue
@@ -157,52 +167,51 @@ def _linked(alike: Alike, payload: list[str], cut: bool):
             if number:
                 end = int(np.searchsorted(rows[0], rows[0, 0], side="right"))
                 if end < rows.shape[1]:
-                    yield blocks(rows[:, :end], number)
+                    yield from blocks(rows[:, :end], number)
                     rows, number = rows[:, end:], 0
             last = 0 if number else int(np.searchsorted(rows[0], rows[0, -1], side="left"))
             if last and (found := links(rows[:, :last], alike)).shape[1]:
                 yield out(found)
             rows = rows[:, last:]
-            while cut and rows.shape[1] > 2 * BLOCK:
-                yield blocks(rows[:, :BLOCK], number)
+            while reduce and rows.shape[1] > 2 * BLOCK:
+                yield from blocks(rows[:, :BLOCK], number)
                 rows, number = rows[:, BLOCK:], number + 1
             held = [rows]
         if held and (rows := np.concatenate(held, axis=1)).shape[1]:
             end = int(np.searchsorted(rows[0], rows[0, 0], side="right")) if number else 0
             if end:
-                yield blocks(rows[:, :end], number)
+                yield from blocks(rows[:, :end], number)
             if end < rows.shape[1] and (found := links(rows[:, end:], alike)).shape[1]:
                 yield out(found)
 
     return run
 
 
-def hot_keys(sample: DataFrame) -> dict[int, int]:
-    """Keys that hold more than a HOT-th of the rows (of one in SAMPLED documents), with their blocks: less than HOT of them."""
+def hot_keys(sample: DataFrame) -> list[int]:
+    """Keys that hold more than BLOCK rows and a HOT-th of all (of one in SAMPLED documents): less than HOT of them."""
     counts = sample.groupBy("key").agg(F.count("*").alias("n"))
     found = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") > max(BLOCK // SAMPLED, found // HOT)).collect()
-    return {r["key"]: -(-r["n"] * SAMPLED // BLOCK) for r in rows}
+    return [r["key"] for r in counts.where(F.col("n") > max(BLOCK // SAMPLED, found // HOT)).collect()]
 
 
-def linked(docs: DataFrame, rows_of, alike: Alike, payload: list[str]) -> DataFrame:
+def linked(docs: DataFrame, rows_of, alike: Alike, payload: list[str], refine, reduce) -> DataFrame:
     """a, a_pos, b, b_pos (a < b): links between the rows that `rows_of` makes of docs, as stored.
 
-    All rows are shuffled once, by their keys. Keys that a sample shows to be hot are dealt out in blocks at once;
-    what the sample misses is cut into blocks by the task that reads it.
+    refine(rows): rows under narrower keys. reduce(rows, number): of a block of a key, links, rows that stand for the
+    block, and its number (0 if the rows have keys under which they need no blocks). All rows are shuffled once.
     """
     columns = ["key", "doc_id", "pos", *payload]
     kind = T.StructType([T.StructField(c, T.LongType()) for c in columns])
     result = T.StructType([T.StructField(c, T.LongType()) for c in (*LINKS, "key", "block", *payload)])
     hot = hot_keys(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(rows_of, kind).select("key"))
-    rows = docs.mapInArrow(_spread(rows_of, hot), T.StructType([*kind.fields, T.StructField("block", T.LongType())]))
-    met = stored(rows.repartition("key", "block").sortWithinPartitions("key").mapInArrow(_linked(alike, payload, True), result), "met")
+    rows = docs.mapInArrow(_refined(rows_of, hot, refine, columns), kind)
+    met = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(alike, payload, reduce), result), "met")
     cut = met.where("key is not null").select(*[F.col(c) for c in ("key", "block", *payload)], F.col("a").alias("doc_id"), F.col("a_pos").alias("pos"))
     cut = cut.join(cut.groupBy("key").agg((F.max("block") + 1).alias("blocks")), "key")
     # a block meets each other one, and itself if it is alone
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where((F.col("other") != F.col("block")) | (F.col("blocks") == 1))
     cells = cut.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).select(*columns)
-    across = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(alike, payload, False), result)
-    out = stored(met.where("key is null").select(*LINKS).unionByName(across.select(*LINKS)), "links")
+    across = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(alike, payload), result)
+    out = stored(met.where("key is null").select(*LINKS).unionByName(across.select(*LINKS)).distinct(), "links")
     discard(met)
     return out

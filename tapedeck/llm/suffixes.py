@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapedeck.llm.common import blocks, mix, shingle_hashes, token_hashes
-from tapedeck.llm.groups import linked
+from tapedeck.llm.groups import linked, links
 from tapedeck.llm.passages import one_text_each, visits, with_words
 
 LEAST_WORDS, WINDOW, SHINGLE = 50, 30, 5
 #: Words of a suffix's key, and words behind them and before the suffix of which it carries FOUR bits each.
 FIRST, CARRIED, FOUR = LEAST_WORDS - WINDOW, 32, 4
 PAYLOAD = ["after", "later", "before", "earlier"]
+#: Bits of a key that say which of the narrower keys it is; 0 for a suffix's own.
+LEVEL = np.uint64(31)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -104,7 +106,7 @@ def _suffixes(batches):
         at, of = at[keep], of[keep]
         start, end, n = offsets[of], offsets[of + 1], len(tokens)
         sums, back = prefix_hashes(tokens), backs(n + 1)
-        key = mix((sums[at + FIRST] - sums[at]) * back[at])
+        key = mix((sums[at + FIRST] - sums[at]) * back[at]) & ~LEVEL
         ahead, behind = packed(tokens), packed(tokens[::-1])
         # past the ends of a text stands what its length says: it is the same in copies, and seldom in other texts
         beyond = mix((end - start).astype(np.uint64))
@@ -144,6 +146,47 @@ def equal_runs(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tup
     return [(low + int(x), int(y - x)) for x, y in zip(edge[::2], edge[1::2], strict=True) if y - x >= least]
 
 
+#: Rows of a hot key share a run of LEAST_WORDS words only if they share one of GRID words less that begins a multiple
+#: of GRID + 1 words before the suffix.
+GRID = 4
+
+
+def _narrower(rows: np.ndarray, words: int, steps) -> np.ndarray:
+    """Rows under keys of `words` words: those that begin with so many words before the suffix, for each of steps."""
+    key, after, later, before, earlier = (r.view(np.uint64) for r in rows[[0, 3, 4, 5, 6]])
+    out = []
+    for k in steps:
+        k_left, k_right = k, words - FIRST - k
+
+        def part(near, far, n):
+            low = np.uint64((1 << (FOUR * min(n, 16))) - 1)
+            high = np.uint64((1 << (FOUR * min(max(n - 16, 0), 16))) - 1)
+            return (near & low) * np.uint64(0x9E3779B97F4A7C15) + mix((far & high) + np.uint64(n))
+
+        new = rows.copy()
+        hashed = mix(key + np.uint64(words * 64 + k) + mix(part(after, later, k_right)) * np.uint64(0xC2B2AE3D27D4EB4F) + mix(part(before, earlier, k_left) ^ np.uint64(0x165667B19E3779F9)))
+        new[0] = ((hashed & ~LEVEL) | np.uint64(1 + k // (GRID + 1))).view(np.int64)
+        out.append(new)
+    return np.concatenate(out, axis=1)
+
+
+def _refine(rows: np.ndarray) -> np.ndarray:
+    return _narrower(rows, LEAST_WORDS - GRID, range(0, LEAST_WORDS - FIRST - GRID + 1, GRID + 1))
+
+
+def _reduce(rows: np.ndarray, number: int):
+    """Rows of a large key under each run of LEAST_WORDS words that they may share: all that share one are alike, so the
+    first row stands for its block."""
+    level = int(rows[0, 0]) & int(LEVEL)
+    steps = range((level - 1) * (GRID + 1), level * (GRID + 1)) if level else range(LEAST_WORDS - FIRST + 1)
+    every = _narrower(rows, LEAST_WORDS, [k for k in steps if k <= LEAST_WORDS - FIRST])
+    every[3:] = 0
+    every = every[:, np.lexsort((every[2], every[1], every[0]))]
+    new = np.concatenate([[True], every[0, 1:] != every[0, :-1]])
+    found = links(every, shared_words)
+    return (np.unique(found, axis=1) if found.shape[1] else found), every[:, new], 0
+
+
 REPEATS = "doc_id long, start long, other_doc_id long, other_start long, n_words long"
 
 
@@ -172,6 +215,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     at; an empty table gives no rows.
     """
     d = one_text_each(docs)
-    near = linked(d, _suffixes, shared_words, PAYLOAD)
+    near = linked(d, _suffixes, shared_words, PAYLOAD, _refine, _reduce)
     pairs = near.withColumn("shift", F.col("a_pos") - F.col("b_pos")).groupBy("a", "b", "shift").agg(F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos"))
     return with_words(pairs.groupBy("a", "b").agg(F.collect_list(F.struct("a_pos", "b_pos")).alias("seeds")), d).mapInArrow(_extended, REPEATS)
