@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapedeck.llm.common import discard, stored
+from tapedeck.llm.common import discard, mix, stored
 
 #: Rows of a key that are linked at once, rows that are held until they are linked, and payloads of a key of which all pairs are looked at.
 BLOCK, HELD, SMALL = 4096, 100_000, 12
@@ -109,6 +109,15 @@ def links(rows: np.ndarray, alike: Alike) -> np.ndarray:
     return np.stack([rows[1, i], rows[2, i], rows[1, j], rows[2, j]])
 
 
+def once_each(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (key, doc_id, pos, payload...), of those of one document that are alike in all but pos the first one."""
+    with np.errstate(over="ignore"):
+        whole = sum(mix(r.view(np.uint64) + np.uint64(i)) * np.uint64(2 * i + 1) for i, r in enumerate(rows) if i != 2)
+    at = np.lexsort((rows[2], whole))
+    at = np.sort(at[changes(whole[at])])
+    return [r[at] for r in rows]
+
+
 def first_of_kinds(rows: np.ndarray) -> np.ndarray:
     """The first row of each payload (and, lest they be of one document, the first of another document too)."""
     rows = rows[:, np.lexsort((rows[2], rows[1], *rows[:2:-1], rows[0]))]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapedeck.llm.common import blocks, mix, shingle_hashes, token_hashes
-from tapedeck.llm.groups import linked, links
+from tapedeck.llm.groups import linked, links, once_each
 from tapedeck.llm.passages import one_text_each, visits, with_words
 
 LEAST_WORDS, WINDOW, SHINGLE = 50, 30, 5
@@ -115,7 +115,7 @@ def _suffixes(batches):
             bits = (FOUR * np.clip(there, 0, 16)).astype(np.uint64)
             mask = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << (bits % np.uint64(64))) - np.uint64(1))
             rows.append(((way[place] & mask) | (beyond & ~mask)).view(np.int64))
-        yield pa.record_batch([pa.array(r) for r in rows], names=["key", "doc_id", "pos", *PAYLOAD])
+        yield pa.record_batch([pa.array(r) for r in once_each(rows)], names=["key", "doc_id", "pos", *PAYLOAD])
 
 
 def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -210,7 +210,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     Words are compared with A-Z lower-cased; starts count words from 0; a passage is as long as it goes on both sides.
     Each pair has a row for either document. Not every pair of the occurrences of a passage has rows, but each
-    occurrence has one, and rows lead from each to all others. Null and empty texts and null ids have no rows; of rows
+    occurrence has one, and rows lead from each to all others; of occurrences in one document that stand in the same
+    words for CARRIED words around, as in a line said over and over, one has rows. Null and empty texts and null ids have no rows; of rows
     with one id the greatest text counts; passages within one document are not reported; other columns are not looked
     at; an empty table gives no rows.
     """
