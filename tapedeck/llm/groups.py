@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from tapedeck.llm.common import discard, mix, stored
 
-#: Rows of a key that are linked at once, rows that are held until they are linked, and payloads of a key of which all pairs are looked at.
-BLOCK, HELD, SMALL = 4096, 100_000, 12
+#: Rows of a key that are linked at once, rows that are held until they are linked, and payloads of a key that are linked together with those of other keys.
+BLOCK, HELD, SMALL = 4096, 100_000, 24
 #: One in SAMPLED documents is looked at for keys of more than BLOCK and a HOT-th of all rows; there are less than HOT such keys.
 SAMPLED, HOT = 64, 10_000
 LINKS = ["a", "a_pos", "b", "b_pos"]
@@ -41,11 +41,11 @@ def changes(*rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest(payload: np.ndarray, alike: Alike) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the largest likeness, by growing one tree after the other."""
+def forest(payload: np.ndarray, alike: Alike) -> np.ndarray:
+    """A spanning forest of the largest likeness over columns of payloads, by growing one tree after the other."""
     n = payload.shape[1]
     best, parent, outside = np.zeros(n, np.int64), np.full(n, -1), np.ones(n, bool)
-    at, x, y = 0, [], []
+    at, out = 0, []
     for _ in range(n - 1):
         outside[at], best[at] = False, -1
         w = alike(payload[:, at : at + 1], payload)
@@ -53,9 +53,25 @@ def forest(payload: np.ndarray, alike: Alike) -> tuple[np.ndarray, np.ndarray]:
         best[better], parent[better] = w[better], at
         at = int(best.argmax())
         if best[at] > 0:
-            x.append(parent[at])
-            y.append(at)
-    return np.array(x, np.int64), np.array(y, np.int64)
+            out.append((parent[at], at))
+    return np.array(out, np.int64).reshape(-1, 2).T
+
+
+def forests(payload: np.ndarray, alike: Alike) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many small groups of one size: payload is (columns, groups, size); the groups of links and their ends."""
+    _, many, size = payload.shape
+    w = alike(payload[:, :, :, None], payload[:, :, None, :])
+    best, parent, outside = np.zeros((many, size), np.int64), np.full((many, size), -1), np.ones((many, size), bool)
+    each, at, out = np.arange(many), np.zeros(many, np.int64), [np.zeros((3, 0), np.int64)]
+    for _ in range(size - 1):
+        outside[each, at], best[each, at] = False, -1
+        now = w[each, at]
+        better = (now > best) & outside
+        best, parent = np.where(better, now, best), np.where(better, at[:, None], parent)
+        at = best.argmax(axis=1)
+        ok = best[each, at] > 0
+        out.append(np.stack([each[ok], parent[each, at][ok], at[ok]]))
+    return tuple(np.concatenate(out, axis=1))
 
 
 def links(rows: np.ndarray, alike: Alike) -> np.ndarray:
@@ -70,26 +86,30 @@ def links(rows: np.ndarray, alike: Alike) -> np.ndarray:
     every = np.arange(len(nodes))
     hang = every != kinds[kind]
     pairs = [np.stack([kinds[kind[hang]], every[hang]])]
-    # kinds of one key, by their first nodes
+    # kinds of one key, by their first documents, lest each key picks others to hang the rest on
+    count = np.diff(np.append(kinds, len(nodes)))
+    order = np.lexsort((rows[1, nodes[kinds]], rows[0, nodes[kinds]]))
+    kinds, count = kinds[order], count[order]
     first, key = nodes[kinds], rows[0, nodes[kinds]]
     begins = np.flatnonzero(changes(key))
-    ends = np.append(begins[1:], len(kinds))
-    size = np.repeat(ends - begins, ends - begins)
+    size = np.diff(np.append(begins, len(kinds)))
     found = []
-    at = np.flatnonzero((size > 1) & (size <= SMALL))
-    for step in range(1, SMALL):
-        at = at[at + step < len(kinds)]
-        at = at[key[at] == key[at + step]]
-        if not len(at):
-            break
-        ok = alike(rows[3:, first[at]], rows[3:, first[at + step]]) > 0
-        found.append(np.stack([at[ok], at[ok] + step]))
-    for i, j in zip(begins, ends, strict=True):
-        if j - i > SMALL:
-            found.append(np.stack(forest(rows[3:, first[i:j]], alike)) + i)
+    # kinds that one and the same document has alone are not alike
+    held = np.concatenate([rows[3:, first], [rows[1, first], count == 1]])
+
+    def apart(x, y):
+        return np.where((x[-2] == y[-2]) & (x[-1] & y[-1] > 0), 0, alike(x[:-2], y[:-2]))
+
+    for n in range(2, SMALL + 1):
+        some = begins[size == n]
+        for i in range(0, len(some), 1 + HELD // n**2):
+            at = some[i : i + 1 + HELD // n**2, None] + np.arange(n)
+            of, x, y = forests(held[:, at], apart)
+            found.append(np.stack([at[of, x], at[of, y]]))
+    for i, n in zip(begins[size > SMALL], size[size > SMALL], strict=True):
+        found.append(forest(held[:, i : i + n], apart) + i)
     if found:
         x, y = np.concatenate(found, axis=1)
-        count = np.diff(np.append(kinds, len(nodes)))
         p, q, doc = kinds[x], kinds[y], rows[1, nodes]
         # where both first ones are of one document, the next node of either kind is of another
         same = doc[p] == doc[q]

@@ -129,7 +129,7 @@ def shared_words(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
     It is never less than what they share, and now and then some words more.
     """
-    n = np.full(np.broadcast_shapes(x.shape, y.shape)[1], FIRST, np.int64)
+    n = np.full(np.broadcast_shapes(x.shape, y.shape)[1:], FIRST, np.int64)
     for near in (0, 2):
         some = _equal(x[near], y[near])
         n += some + np.where(some == 16, _equal(x[near + 1], y[near + 1]), 0)
