@@ -124,3 +124,9 @@ def shingle_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
 def renamed(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only the named columns: extra ones, whatever their names, can't clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of the ids in gone (doc_id); other columns stay, whatever their names."""
+    gone = gone.select(F.col("doc_id").alias("gone_doc_id"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_doc_id"], "left_anti")
