@@ -156,7 +156,8 @@ def differ(a: bytes, b: bytes) -> int:
 
 
 MET = ["key", "n", "doc_id", "component", "sketch_a", "sketch_b"]
-MEETING = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "key", "block", "n", "component", "sketch_a", "sketch_b")])
+ROWS = T.StructType([T.StructField(c, T.LongType()) for c in MET])
+MEETING = T.StructType([*[T.StructField(c, T.LongType()) for c in ("a", "b", "key", "block", "n", "component", "sketch_a", "sketch_b")], T.StructField("bits", T.BinaryType())])
 
 
 def _bitmaps(words: int):
@@ -169,87 +170,107 @@ def _bitmaps(words: int):
     return run
 
 
-def _met(rows: np.ndarray, percent: int):
-    """Pairs (a, b) of rows (MET; in order of key and n) with one key, of two components, whose sizes and sketches let
-    them be alike enough."""
-    begins = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
-    mixed = np.minimum.reduceat(rows[3], begins) != np.maximum.reduceat(rows[3], begins)
-    rows = rows[:, np.repeat(mixed, np.diff(np.append(begins, rows.shape[1])))]
-    key, n, doc, component, *sketches = rows
-    at, step, out = np.arange(rows.shape[1]), 0, []
+def _close(rows: np.ndarray, percent: int):
+    """Pairs of places of rows (MET; in order of key and n) with one key, of two components, whose sizes and sketches
+    let them be alike enough."""
+    key, n, _, component, *sketches = rows
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    mixed = np.minimum.reduceat(component, begins) != np.maximum.reduceat(component, begins)
+    own, step = np.flatnonzero(np.repeat(mixed, np.diff(np.append(begins, len(key))))), 0
+    at = np.arange(len(own))
     while len(at):
         step += 1
-        at = at[: np.searchsorted(at, rows.shape[1] - step)]
-        to = at + step
+        at = at[: np.searchsorted(at, len(own) - step)]
+        x, y = own[at], own[at + step]
         # rows of a key go by size: behind one that is too large there are only larger ones
-        close = (key[at] == key[to]) & (100 * n[at] >= percent * n[to])
-        at, to = at[close], to[close]
-        fit = component[at] != component[to]
-        at_, to_ = at[fit], to[fit]
-        fit[fit] = LEVELS - sum(np.bitwise_count(x[at_] ^ x[to_]).astype(np.int64) for x in sketches) >= SAME_BITS
-        if fit.any():
-            x, y = doc[at[fit]], doc[to[fit]]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-            if sum(o.shape[1] for o in out) > 500_000:
-                yield np.unique(np.concatenate(out, axis=1), axis=1)
-                out = []
-    if out:
-        yield np.unique(np.concatenate(out, axis=1), axis=1)
-
-
-def _meetings(percent: int, block: int | None):
-    """Pairs that meet in a part sorted by key and n; keys of more than `block` rows go out as rows of numbered blocks."""
-
-    def pairs(rows):
-        for p in _met(rows, percent) if rows.shape[1] > 1 else ():
-            yield pa.record_batch([pa.array(p[0]), pa.array(p[1])] + [pa.nulls(p.shape[1], pa.int64())] * 6, names=MEETING.names)
-
-    def cut(rows, number):
-        m = rows.shape[1]
-        return pa.record_batch([pa.array(rows[2]), pa.nulls(m, pa.int64()), pa.array(rows[0]), pa.array(np.full(m, number)), pa.array(rows[1]), *map(pa.array, rows[3:])], names=MEETING.names)
+        near = (key[x] == key[y]) & (100 * n[x] >= percent * n[y])
+        at, x, y = at[near], x[near], y[near]
+        fit = component[x] != component[y]
+        x, y = x[fit], y[fit]
+        fit = LEVELS - sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in sketches) >= SAME_BITS
+        yield x[fit], y[fit]
+
+
+def _groups(batches, more: bool, whole: bool = False):
+    """(rows, bitmaps, whether it is cut) of whole keys in order; if not `whole`, keys of many rows by themselves, in blocks of BLOCK."""
+    held, bits, cut = np.zeros((len(MET), 0), np.int64), np.zeros(0, object), False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in MET])], axis=1)
+        if more:
+            bits = np.concatenate([bits, batch.column("bits").to_numpy(zero_copy_only=False)])
+        if cut and held[0, 0] != held[0, -1]:
+            end = int(np.searchsorted(held[0] != held[0, 0], True))
+            yield held[:, :end], bits[:end], True
+            held, bits, cut = held[:, end:], bits[end:], False
+        last = int(np.flatnonzero(np.concatenate([[True], held[0, 1:] != held[0, :-1]]))[-1])
+        if last:
+            yield held[:, :last], bits[:last], False
+            held, bits = held[:, last:], bits[last:]
+        while not whole and held.shape[1] > 2 * BLOCK:
+            yield held[:, :BLOCK], bits[:BLOCK], True
+            held, bits, cut = held[:, BLOCK:], bits[BLOCK:], True
+    if held.shape[1]:
+        yield held, bits, cut
+
+
+def _not_alone(percent: int):
+    """Rows that meet another one; of a key of many blocks, all."""
 
     def run(batches):
-        held, number = np.zeros((len(MET), 0), np.int64), 0  # rows of the last key, and blocks of it that are out
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in MET])], axis=1)
-            if number:
-                end = int(np.searchsorted(rows[0] != rows[0, 0], True))
-                if end < rows.shape[1]:
-                    yield cut(rows[:, :end], number)
-                    rows, number = rows[:, end:], 0
-            last = int(np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))[-1])
-            yield from pairs(rows[:, :last])
-            held = rows[:, last:]
-            while block and held.shape[1] > block:
-                yield cut(held[:, :block], number)
-                held, number = held[:, block:], number + 1
-        if number:
-            yield cut(held, number)
-        else:
-            yield from pairs(held)
+        for rows, _, cut in _groups(batches, False):
+            keep = np.full(rows.shape[1], cut)
+            if not cut:
+                for x, y in _close(rows, percent):
+                    keep[x] = keep[y] = True
+            if keep.any():
+                yield pa.record_batch([pa.array(r) for r in rows[:, keep]], names=MET)
 
     return run
 
 
-def _alike(percent: int):
+def _meetings(percent: int, whole: bool):
+    """Pairs of rows with bitmaps that meet and that their bitmaps let be alike enough; keys of more than BLOCK rows go
+    out as rows of numbered blocks, if not `whole`."""
+
+    def pairs(parts):
+        for rows, bits in parts:
+            found = set()
+            for x, y in _close(rows, percent):
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    # both >= percent / (100 + percent) of the sizes, so they differ in the rest at most
+                    if differ(bits[i], bits[j]) * (100 + percent) <= int(rows[1, i] + rows[1, j]) * (100 - percent):
+                        found.add((min(rows[2, i], rows[2, j]), max(rows[2, i], rows[2, j])))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(len(a), pa.int64())] * 6, pa.nulls(len(a), pa.binary())], names=MEETING.names)
+
     def run(batches):
-        for b in batches:
-            n, a, c = (b.column(x).to_pylist() for x in ("sizes", "bits_a", "bits_b"))
-            # both >= percent / (100 + percent) of the sizes, so they differ in the rest at most
-            keep = [differ(x, y) * (100 + percent) <= k * (100 - percent) for k, x, y in zip(n, a, c, strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        key, number = None, 0
+        for rows, bits, cut in _groups(batches, True, whole):
+            if not cut:
+                yield from pairs([(rows, bits)])
+                continue
+            key, number = (key, number + 1) if key == rows[0, 0] else (rows[0, 0], 0)
+            m = rows.shape[1]
+            yield pa.record_batch([pa.array(rows[2]), pa.nulls(m, pa.int64()), pa.array(rows[0]), pa.array(np.full(m, number)), pa.array(rows[1]), *map(pa.array, rows[3:]), pa.array(bits, pa.binary())], names=MEETING.names)
 
     return run
 
 
 def climbed(d: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of two components that share a prefix and may be alike enough. classes: doc_id, n, component, sig, sketches."""
+    """Pairs (a, b) of documents of two components that share a prefix and may be alike enough. classes: doc_id, n,
+    component, sig, sketches. Rows go twice through the trees: without bitmaps to see which meet any other, then these with them."""
     prefixes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * TREE_DEPTH * t + 1, 2 * TREE_DEPTH)) for t in range(LEVELS // TREE_DEPTH)])
     order = ["key", "n", "doc_id"]
     trees = classes.select(F.explode(prefixes).alias("key"), *MET[1:])
-    met = stored(trees.repartition("key").sortWithinPartitions(*order).mapInArrow(_meetings(percent, BLOCK), MEETING), "met")
+    some = stored(trees.repartition("key").sortWithinPartitions(*order).mapInArrow(_not_alone(percent), ROWS), "some")
+    ids = stored(some.select("doc_id").distinct(), "ids")
+    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    bits = stored(d.join(few, "doc_id", "left_semi").mapInArrow(_bitmaps(words), "doc_id long, n long, bits binary").drop("n"), "bits")
+    full = some.join(bits, "doc_id").select(*MET, "bits")
+    met = stored(full.repartition("key").sortWithinPartitions(*order).mapInArrow(_meetings(percent, False), MEETING), "met")
     # keys of many rows: each pair of their blocks whose sizes and components let rows link is a key of its own
     rows = met.where("key is not null")
     spans = rows.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("least"), F.max("component").alias("most"))
@@ -257,15 +278,9 @@ def climbed(d: DataFrame, classes: DataFrame, words: int, percent: int) -> DataF
     cells = x.join(y, "key").where(F.col("block_x") <= F.col("block_y")).where(F.col("high_x") * 100 >= F.col("low_y") * percent)
     cells = cells.where(F.least("least_x", "least_y") != F.greatest("most_x", "most_y")).select("key", "block_x", "block_y")
     cell = cells.select("key", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"), F.xxhash64("key", "block_x", "block_y").alias("cell"))
-    dealt = rows.join(cell, ["key", "block"]).select(F.col("cell").alias("key"), "n", F.col("a").alias("doc_id"), *MET[3:])
-    across = dealt.repartition("key").sortWithinPartitions(*order).mapInArrow(_meetings(percent, None), MEETING)
-    pairs = stored(met.where("key is null").select("a", "b").unionByName(across.select("a", "b")).distinct(), "meeting")
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    bits = stored(d.join(few, "doc_id", "left_semi").mapInArrow(_bitmaps(words), "doc_id long, n long, bits binary").dropDuplicates(["doc_id"]), "bits")
-    left, right = (bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"), "bits_a", "bits_b")
-    return both.mapInArrow(_alike(percent), "a long, b long")
+    dealt = rows.join(cell, ["key", "block"]).select(F.col("cell").alias("key"), "n", F.col("a").alias("doc_id"), *MET[3:], "bits")
+    across = dealt.repartition("key").sortWithinPartitions(*order).mapInArrow(_meetings(percent, True), MEETING)
+    return met.where("key is null").select("a", "b").unionByName(across.select("a", "b")).distinct()
 
 
 def confirmed(d: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
