@@ -230,18 +230,25 @@ def _not_alone(percent: int):
     return run
 
 
-def _meetings(percent: int, whole: bool):
-    """Pairs of rows with bitmaps that meet and that their bitmaps let be alike enough; keys of more than BLOCK rows go
-    out as rows of numbered blocks, if not `whole`."""
+def _meetings(percent: int, nearest: bool, whole: bool):
+    """Pairs of rows with bitmaps that meet and that their bitmaps let be alike enough, or of each row only the pair of
+    the nearest bitmaps; keys of more than BLOCK rows go out as rows of numbered blocks, if not `whole`."""
 
     def pairs(parts):
         for rows, bits in parts:
-            found = set()
+            found, best = set(), {}
             for x, y in _close(rows, percent):
                 for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    apart, n = differ(bits[i], bits[j]), int(rows[1, i] + rows[1, j])
                     # both >= percent / (100 + percent) of the sizes, so they differ in the rest at most
-                    if differ(bits[i], bits[j]) * (100 + percent) <= int(rows[1, i] + rows[1, j]) * (100 - percent):
-                        found.add((min(rows[2, i], rows[2, j]), max(rows[2, i], rows[2, j])))
+                    if apart * (100 + percent) <= n * (100 - percent):
+                        pair = (min(rows[2, i], rows[2, j]), max(rows[2, i], rows[2, j]))
+                        if nearest:
+                            for k in (i, j):
+                                best[k] = min(best.get(k, (2.0, pair)), (apart / n, pair))
+                        else:
+                            found.add(pair)
+            found |= {pair for _, pair in best.values()}
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(len(a), pa.int64())] * 6, pa.nulls(len(a), pa.binary())], names=MEETING.names)
@@ -259,9 +266,9 @@ def _meetings(percent: int, whole: bool):
     return run
 
 
-def climbed(d: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of two components that share a prefix and may be alike enough. classes: doc_id, n,
-    component, sig, sketches. Rows go twice through the trees: without bitmaps to see which meet any other, then these with them."""
+def climbed(d: DataFrame, classes: DataFrame, words: int, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of documents of two components that share a prefix and may be alike enough: all, or of each document
+    under each prefix the nearest. classes: doc_id, n, component, sig, sketches. Rows go twice through the trees: without bitmaps to see which meet any other, then these with them."""
     prefixes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * TREE_DEPTH * t + 1, 2 * TREE_DEPTH)) for t in range(LEVELS // TREE_DEPTH)])
     order = ["key", "n", "doc_id"]
     trees = classes.select(F.explode(prefixes).alias("key"), *MET[1:])
@@ -270,7 +277,7 @@ def climbed(d: DataFrame, classes: DataFrame, words: int, percent: int) -> DataF
     few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
     bits = stored(d.join(few, "doc_id", "left_semi").mapInArrow(_bitmaps(words), "doc_id long, n long, bits binary").drop("n"), "bits")
     full = some.join(bits, "doc_id").select(*MET, "bits")
-    met = stored(full.repartition("key").sortWithinPartitions(*order).mapInArrow(_meetings(percent, False), MEETING), "met")
+    met = stored(full.repartition("key").sortWithinPartitions(*order).mapInArrow(_meetings(percent, nearest, False), MEETING), "met")
     # keys of many rows: each pair of their blocks whose sizes and components let rows link is a key of its own
     rows = met.where("key is not null")
     spans = rows.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("least"), F.max("component").alias("most"))
@@ -279,7 +286,7 @@ def climbed(d: DataFrame, classes: DataFrame, words: int, percent: int) -> DataF
     cells = cells.where(F.least("least_x", "least_y") != F.greatest("most_x", "most_y")).select("key", "block_x", "block_y")
     cell = cells.select("key", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"), F.xxhash64("key", "block_x", "block_y").alias("cell"))
     dealt = rows.join(cell, ["key", "block"]).select(F.col("cell").alias("key"), "n", F.col("a").alias("doc_id"), *MET[3:], "bits")
-    across = dealt.repartition("key").sortWithinPartitions(*order).mapInArrow(_meetings(percent, True), MEETING)
+    across = dealt.repartition("key").sortWithinPartitions(*order).mapInArrow(_meetings(percent, nearest, True), MEETING)
     return met.where("key is null").select("a", "b").unionByName(across.select("a", "b")).distinct()
 
 
@@ -310,10 +317,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     classes = stored(signed.where("sig is not null and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("sig", "sketch_a", "sketch_b")]), "classes")
     pairs = stored(candidates(classes.select(F.col("rep").alias("doc_id"), "sig")), "pairs")
     links = stored(confirmed(d, pairs, words, percent), "confirmed")
-    first = components(links)
-    of = classes.join(first, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"), "sig", "sketch_a", "sketch_b")
-    more = stored(climbed(d, of, words, percent), "climbed")
-    found = components(links.unionByName(confirmed(d, more, words, percent)))
+    found = components(links)
+    # first the nearest of other components, which leaves few of them, then all that are left apart
+    for nearest in (True, False):
+        of = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"), "sig", "sketch_a", "sketch_b")
+        more = stored(climbed(d, of, words, percent, nearest), "climbed")
+        links = stored(links.unionByName(confirmed(d, more, words, percent)), "confirmed")
+        found = components(links)
     out = signed.join(classes.drop("sig", "sketch_a", "sketch_b"), key, "left").join(found, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
