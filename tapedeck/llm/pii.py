@@ -44,17 +44,35 @@ KINDS = (
 )
 
 
+#: Matches of a text that are placed in one go: adding to an array copies it, so long lists are placed in pieces.
+PIECE = 128
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def located(text: Column, pattern: str) -> Column:
     """All matches, left to right: start and end in code points, and value."""
     gaps = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
+    none = F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("found"))
 
-    none = F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")
-    return F.aggregate(F.filter(gaps, lambda x: x["value"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    def placed(pieces):
+        lengths = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["value"])))
+        starts = F.slice(F.aggregate(lengths, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n))), 1, F.size(pieces))
+        return F.flatten(F.zip_with(pieces, starts, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), none.alias("found")), step, lambda acc: acc["found"])))
+
+    def cut(found):
+        last = F.floor((F.size(found) - 1) / PIECE).cast("int")
+        return F.when(F.size(found) > 0, _let(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(found, i * PIECE + 1, PIECE)), placed)).otherwise(none)
+
+    return _let(F.filter(gaps, lambda x: x["value"].isNotNull()), cut)
 
 
 def luhn(digits: Column) -> Column:
@@ -128,21 +146,28 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs with each span replaced by its kind in brackets, and n_chars, if there, counted anew; null texts stay null."""
+    """docs with each span replaced by its kind in brackets, and n_chars, if there, counted anew.
+
+    Null texts stay null, empty ones empty; all other columns stay as they are, whatever their names; rows are masked
+    one by one, repeated or not; an empty table stays empty.
+    """
+    # the whole row is one struct, so that no column of it can clash with those added here
+    d = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce(F.col("row").getField("text"), F.lit(""))
+    found = d.select("row", text.alias("plain"), *[spans_of(text, k).alias(f"_{k.name}") for k in KINDS])
     spans = F.array_sort(F.concat(*[F.transform(f"_{k.name}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.upper(x["kind"]).alias("kind"))) for k in KINDS]))
-    text = F.col("text")
+    plain = F.col("plain")
 
     def step(acc, x):
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
+        gap = F.substring(plain, acc["at"] + 1, x["start"] - acc["at"])
         new = x["start"] >= acc["at"]
         out = F.when(new, F.concat(acc["out"], gap, F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = find(docs.withColumn("_was_null", F.col("text").isNull()), *rest, "_was_null").withColumn("_spans", spans)
-    masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = F.when(~F.col("_was_null"), F.when(F.size("_spans") > 0, masked).otherwise(text))
-    done = found.withColumn("text", out)
+    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(plain, acc["at"] + 1, F.length(plain))))
+    done = found.select("row", "plain", spans.alias("spans")).select("row", "spans", F.when(F.size("spans") > 0, masked).otherwise(plain).alias("masked"))
+    row, types = F.col("row"), dict(docs.dtypes)
+    put = {"text": F.when(row.getField("text").isNotNull(), F.col("masked"))}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+        put["n_chars"] = F.when(row.getField("text").isNotNull() & (F.size("spans") > 0), F.length("masked").cast(types["n_chars"])).otherwise(row.getField("n_chars"))
+    return done.select(*[put.get(c, row.getField(c)).alias(c) for c in docs.columns])

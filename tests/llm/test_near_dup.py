@@ -112,3 +112,9 @@ def test_bitmaps_never_differ_more_than_sets():
         x = r.integers(0, 2**63, n + m - k).astype(np.uint64)
         a, b = x[:n], x[n - k :]
         assert near_dup.differ(near_dup.bitmap(a), near_dup.bitmap(b)) <= n + m - 2 * k
+
+
+def test_drop_with_columns_of_any_name(spark):
+    df = frame(spark, [(1, prose(3, 40)), (2, prose(3, 40))]).selectExpr("*", "'m' as `a.b`", "5L as gone_doc_id")
+    out = near_dup.drop_near_duplicates(df)
+    assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [1]

@@ -85,3 +85,21 @@ def test_mask(spark):
 
 def test_empty_table(spark):
     assert pii.personal_data(frame(spark, [])).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    df = frame(spark, [(1, "mail a@b.co now"), (2, None)]).selectExpr("*", "'k' as _spans", "'l' as _email", "'m' as `a.b`", "'n' as spans", "'o' as plain", "'p' as masked", "'q' as _was_null", "'r' as row")
+    out = pii.mask(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == "mail [EMAIL] now" and got[2].text is None
+    for r in got.values():
+        assert (r["_spans"], r["_email"], r["a.b"], r["spans"], r["plain"], r["masked"], r["_was_null"], r["row"]) == tuple("klmnopqr")
+
+
+def test_many_spans_of_one_text(spark):
+    text = " ".join(f"u{i}@host.org" for i in range(20_000))
+    df = frame(spark, [(1, text)])
+    got = pii.personal_data(df).collect()[0]
+    assert got.n_email == 20_000
+    assert got.base_sha256 == hashlib.sha256(",".join(plain(text)["email"]).encode()).hexdigest()
