@@ -18,10 +18,11 @@ def seed_queue(plays: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
     return done.join(known.select("uri").distinct(), "uri", "left_anti")
 
 
-def obsession_tier(plays: DataFrame, scores: DataFrame, *, top: int = 500, least: int = 10) -> DataFrame:
-    """The best scored recordings and those played often."""
+def obsession_tier(plays: DataFrame, scores: DataFrame, lyrics: DataFrame, *, top: int = 500, least: int = 10) -> DataFrame:
+    """The best scored recordings and those played often, as far as their lyrics are there (uri, status: ok)."""
     often = plays.groupBy("uri").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("uri")
-    return scores.orderBy(F.desc("score"), "uri").limit(top).select("uri").union(often).distinct()
+    tier = scores.orderBy(F.desc("score"), "uri").limit(top).select("uri").union(often).distinct()
+    return tier.join(lyrics.where("status = 'ok'").select("uri").distinct(), "uri", "left_semi")
 
 
 def coverage_report(plays: DataFrame, known: DataFrame) -> DataFrame:

@@ -19,18 +19,39 @@ def _latest(c: str):
     return F.max_by(c, F.struct("ts", c)).alias(c)
 
 
-def period_stats(plays: DataFrame) -> DataFrame:
-    """Plays, hours, songs and artists of each year."""
-    return keyed(plays).groupBy("year").agg(F.count("*").alias("plays"), js_round(F.sum("minutes") / 60, 1).alias("hours"), F.countDistinct(*SONG).alias("songs"), F.countDistinct("akey").alias("artists"))
+def load_plays(plays: DataFrame, *, year: int | None = None, month: int | None = None, artist: str | None = None, ios_only: bool = False, limit: int | None = None) -> DataFrame:
+    """Plays of a year, a month, an artist (folded) or the phone only, newest first; a filter that is None holds for all."""
+    for c, v in (("year", year), ("month", month)):
+        if v is not None:
+            plays = plays.where(F.col(c) == v)
+    if artist is not None:
+        plays = plays.where(fold(F.col("artist_name")) == fold(F.lit(artist)))
+    if ios_only:
+        plays = plays.where("platform = 'iOS'")
+    # with a limit, a top list of each part; without one, a sort over ranges
+    plays = plays.orderBy(F.desc("ts"), "uri", "user_id")
+    return plays if limit is None else plays.limit(limit)
 
 
-def top_songs(plays: DataFrame, limit: int = 20) -> DataFrame:
-    songs = keyed(plays).groupBy(*SONG).agg(F.count("*").alias("plays"), F.sum("minutes").alias("minutes"))
-    return songs.orderBy(F.desc("plays"), *SONG).limit(limit)
+def period_stats(plays: DataFrame, by: tuple[str, ...] = ("year",)) -> DataFrame:
+    """Plays, hours, songs and artists of each year, or of other keys, such as ("user_id", "year", "month")."""
+    return keyed(plays).groupBy(*by).agg(F.count("*").alias("plays"), js_round(F.sum("minutes") / 60, 1).alias("hours"), F.countDistinct(*SONG).alias("songs"), F.countDistinct("akey").alias("artists"))
 
 
-def top_artists(plays: DataFrame, limit: int = 20) -> DataFrame:
-    return keyed(plays).groupBy("akey").agg(F.count("*").alias("plays"), F.sum("minutes").alias("minutes")).orderBy(F.desc("plays"), "akey").limit(limit)
+def _first(counts: DataFrame, limit: int, by: tuple[str, ...], keys: list[str]) -> DataFrame:
+    """The most played of all, or of each group, with its rank."""
+    order = [F.desc("plays"), *keys]
+    if not by:
+        return counts.orderBy(*order).limit(limit)
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= limit)
+
+
+def top_songs(plays: DataFrame, limit: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    return _first(keyed(plays).groupBy(*by, *SONG).agg(F.count("*").alias("plays"), F.sum("minutes").alias("minutes")), limit, by, SONG)
+
+
+def top_artists(plays: DataFrame, limit: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    return _first(keyed(plays).groupBy(*by, "akey").agg(F.count("*").alias("plays"), F.sum("minutes").alias("minutes")), limit, by, ["akey"])
 
 
 def monthly_top(plays: DataFrame, n: int = 5) -> DataFrame:
@@ -63,7 +84,7 @@ def track_affinity(plays: DataFrame, *, as_of: str) -> DataFrame:
     return plays.groupBy("uri").agg(F.count("*").alias("plays"), _affinity(as_of))
 
 
-def skip_penalized(plays: DataFrame, *, as_of: str, days: int = 90, least: int = 2, under_ms: int = 200_000) -> DataFrame:
+def skip_penalized(plays: DataFrame, *, as_of: str, days: int = 30, least: int = 3, under_ms: int = 30_000) -> DataFrame:
     recent = plays.where((F.col("ts") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))) & is_skip(F.col("reason_end")) & (F.col("ms_played") < under_ms))
     return recent.groupBy("uri").agg(F.count("*").alias("skips")).where(F.col("skips") >= least)
 
@@ -94,7 +115,7 @@ def day_of_week(plays: DataFrame) -> DataFrame:
     return plays.groupBy((F.dayofweek("ts") - 1).alias("day")).agg(F.count("*").alias("plays"))
 
 
-def never_stale_core(plays: DataFrame, top: int = 10, years: int = 3) -> DataFrame:
+def never_stale_core(plays: DataFrame, top: int = 50, years: int = 8) -> DataFrame:
     """Artists among the year's most played in so many years."""
     counts = keyed(plays).groupBy("year", "akey").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), "akey"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,6 +70,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, k:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def knn_table(vectors: DataFrame, *, id: str, vector: str, k: int = 10, block_rows: int = 2048) -> DataFrame:
+    """The k vectors most alike (cosine) to each vector of a table: query, match, cosine, rank.
+
+    Vectors are dealt into blocks; each two blocks meet in a task of their own, which keeps k matches of each query, so
+    no task holds more than two blocks and a query's final ranking has k rows for each block. A zero vector is like nothing (0).
+    """
+    blocks = 1 + vectors.count() // block_rows
+    placed = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id), F.lit(blocks)).alias("block"))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    sides = other.select(F.col("block").alias("x"), F.col("other").alias("y"), F.lit(True).alias("asks"), "id", "v").unionByName(other.select(F.col("other").alias("x"), F.col("block").alias("y"), F.lit(False).alias("asks"), "id", "v"))
+
+    def best(pdf):
+        q, m = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
+        if q.empty or m.empty:
+            return pd.DataFrame({"query": [], "match": [], "cosine": []})
+        a, b = (np.array(x["v"].tolist(), np.float64) for x in (q, m))
+        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
+        ids, out = m["id"].to_numpy(), []
+        for query, row in zip(q["id"].to_numpy(), a, strict=True):
+            cosine = np.round(b @ row, 6)
+            cosine[ids == query] = -2
+            first = np.argsort(-cosine, kind="stable")[:k]
+            first = first[cosine[first] >= -1.5]
+            out.append(pd.DataFrame({"query": query, "match": ids[first], "cosine": cosine[first]}))
+        return pd.concat(out)
+
+    kind = dict(vectors.dtypes)[id]
+    found = sides.groupBy("x", "y").applyInPandas(best, f"query {kind}, match {kind}, cosine double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "match"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def hybrid_rank(scores: DataFrame, *, id: str, a: str, b: str) -> DataFrame:
     """Mean of the z-scores of two columns; means and spreads come from one row."""
     stats = scores.agg(*[f(c).alias(f"{n}_{c}") for c in (a, b) for n, f in (("m", F.avg), ("s", F.stddev_pop))])

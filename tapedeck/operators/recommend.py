@@ -80,6 +80,36 @@ def pool_expire(pool: DataFrame, *, as_of: str) -> DataFrame:
     return pool.withColumn("status", F.when(gone, "expired").otherwise(F.col("status")))
 
 
+def pool_upsert(pool: DataFrame, found: DataFrame, *, now: str, days: int = 21) -> DataFrame:
+    """pool (track_id, source, score, status, expires_at) after found (track_id, source, score) came in.
+
+    The higher score stays, with its source (the pool's on a tie; of several found, the best). A track that was liked or
+    skipped keeps its status and expiry; any other is fresh again for so many days.
+    """
+    new = found.groupBy("track_id").agg(F.max(F.struct("score", "source")).alias("n")).withColumn("came", F.lit(True))
+    both = pool.join(new, "track_id", "full")
+    came, stays = F.coalesce("came", F.lit(False)), F.coalesce(F.col("status").isin("liked", "skipped"), F.lit(False))
+    fresh = came & ~stays
+    return both.select(
+        "track_id",
+        F.when(came & (F.col("score").isNull() | (F.col("n.score") > F.col("score"))), F.col("n.source")).otherwise(F.col("source")).alias("source"),
+        F.greatest("score", "n.score").alias("score"),
+        F.when(fresh, "fresh").otherwise(F.col("status")).alias("status"),
+        F.when(fresh, F.lit(now).cast("timestamp") + F.make_dt_interval(F.lit(days))).otherwise(F.col("expires_at")).alias("expires_at"),
+    )
+
+
+def pool_mark(pool: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """pool with the status that the latest outcome (track_id, at, status: played, liked or skipped) gives each track, and when."""
+    last = outcomes.groupBy("track_id").agg(F.max(F.struct("at", "status")).alias("o"))
+    return pool.join(last, "track_id", "left").withColumns({"status": F.coalesce("o.status", "status"), "status_changed_at": F.col("o.at")}).drop("o")
+
+
+def top_by_taste(scores: DataFrame, id: str, n: int = 30) -> DataFrame:
+    """The n rows with the highest taste score."""
+    return scores.orderBy(F.desc("score"), id).limit(n)
+
+
 def pool_top(pool: DataFrame, n: int = 50) -> DataFrame:
     return pool.where("status = 'fresh'").orderBy(F.desc("score"), "track_id").limit(n)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tapedeck.operators import events as e
+from tapedeck.operators import recommend as r
 from tapedeck.sources.bridge import EVENTS_SQL, POLLS_SQL, play_events, polls, snapshots
 
 AS_OF = "2024-01-31"
@@ -40,6 +41,7 @@ JOBS = {
     "e02_track_play_stats": (lambda s, d: e.track_play_stats(play_events(s, d)), f"{EVENTS_SQL} SELECT * EXCLUDE (abandoned) FROM ({TRACKS})"),
     "e03_artist_play_stats": (lambda s, d: e.artist_play_stats(play_events(s, d)), EVENTS_SQL + ARTISTS),
     "e04_artist_taste": (lambda s, d: e.artist_taste(e.artist_play_stats(play_events(s, d))), f"{EVENTS_SQL} SELECT *, floor((log2(1 + plays) * 0.5 + least(tracks, 10) * 0.3) * 100 + 0.5) / 100 AS score FROM ({ARTISTS})"),
+    "j11_top_artists_by_taste": (lambda s, d: r.top_by_taste(e.artist_taste(e.artist_play_stats(play_events(s, d))), "artist_id"), f"{EVENTS_SQL} SELECT *, floor((log2(1 + plays) * 0.5 + least(tracks, 10) * 0.3) * 100 + 0.5) / 100 AS score FROM ({ARTISTS}) ORDER BY score DESC, artist_id LIMIT 30"),
     "e05_track_taste": (_track_taste, f"{EVENTS_SQL} {TRACK_TASTE}"),
     "e06_context_affinity": (lambda s, d: e.context_affinity(_linked(s, d)), f"{EVENTS_SQL}, {AFFINITY} SELECT * FROM affinities"),
     "e07_top_affinities": (lambda s, d: e.top_affinities(e.context_affinity(_linked(s, d))), f"{EVENTS_SQL}, {AFFINITY} SELECT *, row_number() OVER (PARTITION BY dimension, bucket ORDER BY affinity DESC, sample_size DESC, track_id)::INT AS rank FROM affinities WHERE sample_size >= 5 AND abs(affinity - 1) > 0.1 QUALIFY rank <= 5"),

@@ -102,6 +102,11 @@ JOBS = {
         lambda s, d: ly.nearest(_vectors(s, d), _vectors(s, d).where("vec_id % 100 = 0"), id="vec_id", vector="embedding"),
         """SELECT query, match, cosine, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, match)::INT AS rank FROM (SELECT q.vec_id AS query, v.vec_id AS match, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS cosine
  FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) QUALIFY rank <= 10""",
+    ),
+    "h08_knn_table": (
+        lambda s, d: ly.knn_table(_vectors(s, d), id="vec_id", vector="embedding", k=5),
+        """SELECT query, match, cosine, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, match)::INT AS rank FROM (SELECT q.vec_id AS query, v.vec_id AS match, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS cosine
+ FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id) QUALIFY rank <= 5""",
     ),
     "h09_hybrid_rank": (
         lambda s, d: ly.hybrid_rank(_table(s, d, "part").selectExpr("p_partkey", "p_retailprice AS taste", "cast(p_size AS double) AS similarity"), id="p_partkey", a="taste", b="similarity"),
@@ -124,7 +129,7 @@ JOBS = {
     "h15_embedding_inputs": (lambda s, d: ly.embedding_inputs(_table(s, d, "documents"), id="doc_id", text="text", most=2**31 - 1).drop("input"), "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents"),
     "i01_lookup_queue": (lambda s, d: c.missing(plays(s, d), _known(s, d), retry=("error",)), f"{PLAYS_SQL}, {KNOWN} SELECT uri, count(*) AS plays FROM plays WHERE uri NOT IN (SELECT uri FROM known WHERE status = 'ok') GROUP BY uri"),
     "i03_seed_queue": (lambda s, d: c.seed_queue(plays(s, d), _known(s, d)), f"{PLAYS_SQL}, {KNOWN} SELECT uri, count(*) AS completed FROM plays WHERE reason_end = 'trackdone' AND uri NOT IN (SELECT uri FROM known) GROUP BY uri HAVING count(*) >= 2"),
-    "i04_obsession_tier": (lambda s, d: c.obsession_tier(plays(s, d), _scores(s, d), least=40), PLAYS_SQL + "SELECT uri FROM (SELECT 'spotify:track:' || p_partkey AS uri FROM part ORDER BY p_retailprice DESC, uri LIMIT 500) UNION SELECT uri FROM plays GROUP BY uri HAVING count(*) >= 40"),
+    "i04_obsession_tier": (lambda s, d: c.obsession_tier(plays(s, d), _scores(s, d), _known(s, d), least=40), f"{PLAYS_SQL}, {KNOWN} SELECT uri FROM (SELECT uri FROM (SELECT 'spotify:track:' || p_partkey AS uri FROM part ORDER BY p_retailprice DESC, uri LIMIT 500) UNION SELECT uri FROM plays GROUP BY uri HAVING count(*) >= 40) WHERE uri IN (SELECT uri FROM known WHERE status = 'ok')"),
     "i05_coverage": (lambda s, d: c.coverage_report(plays(s, d), _known(s, d)), f"{PLAYS_SQL}, {KNOWN} SELECT coalesce(status, 'none') AS status, count(*) AS recordings, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT DISTINCT uri FROM plays) p LEFT JOIN known USING (uri) GROUP BY 1"),
     "i06_top_credits": (lambda s, d: c.top_credits(plays(s, d), _credits(s, d)), PLAYS_SQL + "SELECT person, role, sum(n)::BIGINT AS plays FROM (SELECT DISTINCT 'spotify:track:' || l_partkey AS uri, l_suppkey AS person, l_returnflag AS role FROM lineitem) JOIN (SELECT uri, count(*) AS n FROM plays GROUP BY uri) USING (uri) GROUP BY ALL"),
     "j08_pool_by_source": (lambda s, d: c.pool_by_source(_pool(s, d)), "SELECT p_brand AS source, count(*) AS total, " + ", ".join(f"sum((p_size % 5 = {i})::INT)::BIGINT AS {k}" for i, k in enumerate(("fresh", "played", "liked", "skipped", "expired"))) + ", round(avg(p_retailprice), 6) AS mean_score FROM part GROUP BY 1"),
