@@ -6,14 +6,14 @@ the tree mixes the estimates of all depths with the weights that the training by
 mixture: at a context never seen in training, the deepest seen one on its path is the last that is mixed in.
 
 The block probability of a Krichevsky-Trofimov estimate depends on counts only, so training is counting: runs of
-DEPTH + 1 bytes are counted in parallel, subtrees are weighted in parallel, one for each pair of last bytes, and their
-roots join in the two upper levels.
+DEPTH + 1 bytes are counted in parallel, and subtrees are weighted in parallel, one for each branch, the last TOP bytes:
+below one lie at most 256 ** (DEPTH - TOP + 1) runs, however much text there is. Their roots are summed to the nodes of
+two bytes, those to the at most 65,536 nodes of one byte; weights come down again the same way.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from tapedeck.llm.common import blocks, renamed, stored, words_of
 
-DEPTH = 5
+DEPTH, TOP = 5, 3
 END = 0x0A
+#: Runs of one or more whole branches that are weighted in one call.
+CHUNK = 100_000
 #: Runs of bytes (16 bytes each) and words that may be broadcast; beyond that they are joined by a shuffle.
 MOST_GRAMS = 8_000_000
 HOT_WORDS = 100_000
@@ -129,6 +131,19 @@ def next_one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (ones + 0.5) / (zeros + ones + 1.0)
 
 
+def deeper(state: tuple, zeros: np.ndarray, ones: np.ndarray, kt: np.ndarray, weighted: np.ndarray) -> tuple:
+    """From above a level to below it, where it was seen in training: what is mixed so far, the weight left, the last
+    seen level's estimate, and the share of the weight left that it keeps if a deeper level is seen."""
+    mixed, rest, leaf, share = state
+    seen = zeros + ones > 0
+    return (
+        np.where(seen, mixed + rest * share * leaf, mixed),
+        np.where(seen, rest * (1 - share), rest),
+        np.where(seen, next_one(zeros, ones), leaf),
+        np.where(seen, np.exp(_HALF + kt - weighted), share),
+    )
+
+
 class Subtree:
     """The decision nodes below some contexts of `top` bytes: counts, block probabilities and weights at each depth.
 
@@ -168,24 +183,68 @@ class Subtree:
         return ids >> (8 * self.top), context, zeros, ones, weighted
 
     def log10_probabilities(self, mixed: np.ndarray, rest: np.ndarray, leaf: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """log10 P(byte | context) of each key. For each node at the full depth, from above the top: what is mixed so
-        far, the weight left, the last seen level's estimate, and the share of the weight left that it keeps if a deeper level is seen."""
+        """log10 P(byte | context) of each key, from the state above the top of each node at the full depth (see `deeper`)."""
+        state = mixed, rest, leaf, share
         for d in range(self.top, self.depth + 1):
             at, zeros, ones, kt, weighted, _ = self.level[d]
-            seen = (zeros + ones > 0)[at]
-            mixed = np.where(seen, mixed + rest * share * leaf, mixed)
-            rest = np.where(seen, rest * (1 - share), rest)
-            leaf = np.where(seen, next_one(zeros, ones)[at], leaf)
-            share = np.where(seen, np.exp(_HALF + kt - weighted)[at], share)
+            state = deeper(state, *(x[at] for x in (zeros, ones, kt, weighted)))
+        mixed, rest, leaf, _ = state
         one = (mixed + rest * leaf)[self.of]
         return np.log10(np.where(self.bit, one, 1 - one)).reshape(-1, 8).sum(axis=1)
 
 
+def whole_branches(batches, limit: int = CHUNK):
+    """Arrow tables of rows sorted by branch, each with all rows of the branches in it."""
+    held, rows, most = [], 0, limit
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows > most:
+            t = pa.Table.from_batches(held)
+            branch = t.column("branch").to_numpy()
+            cut = int(np.searchsorted(branch, branch[-1]))
+            if cut:
+                yield t.slice(0, cut)
+            held, rows = t.slice(cut).to_batches(), len(t) - cut
+            most = max(limit, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def _roots(depth: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("gram")
-        decision, context, zeros, ones, weighted = Subtree(pdf["gram"].to_numpy(), pdf["n"].to_numpy(), depth, 2).roots()
-        return pd.DataFrame({"last": context >> 8, "decision": decision, "zeros": zeros, "ones": ones, "weighted": weighted})
+    """Nodes at the top of each branch."""
+
+    def run(batches):
+        for t in whole_branches(batches):
+            found = Subtree(t.column("gram").to_numpy(), t.column("n").to_numpy(), depth, TOP).roots()
+            yield pa.record_batch([pa.array(x) for x in found], names=["decision", "context", "zeros", "ones", "weighted"])
+
+    return run
+
+
+def _node(t, below: str) -> tuple:
+    """zeros, ones, log of the estimate's and of the weighted probability of nodes with what is summed below them."""
+    zeros, ones = t.column("zeros").to_numpy(), t.column("ones").to_numpy()
+    kt = log_kt(zeros, ones)
+    return zeros, ones, kt, np.logaddexp(_HALF + kt, _HALF + t.column(below).to_numpy())
+
+
+def _weighted(batches):
+    for b in batches:
+        yield pa.record_batch([*(b.column(c) for c in ("decision", "context", "zeros", "ones")), pa.array(_node(b, "below")[3])], names=["decision", "context", "zeros", "ones", "weighted"])
+
+
+STATE = ["mixed", "rest", "leaf", "share"]
+
+
+def _states(upper: tuple):
+    """The state below each node of two bytes."""
+
+    def run(batches):
+        for b in batches:
+            decision, context = b.column("decision").to_numpy(), b.column("context").to_numpy()
+            state = deeper(tuple(x[context >> 8, decision] for x in upper), *_node(b, "below"))
+            yield pa.record_batch([b.column("decision"), b.column("context"), *map(pa.array, state)], names=["decision", "context", *STATE])
 
     return run
 
@@ -195,7 +254,7 @@ def upper_levels(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     the last seen estimate and its share, for each last byte and decision, of depths 0 and 1."""
     zeros, ones, below = np.zeros((256, 256), np.int64), np.zeros((256, 256), np.int64), np.zeros((256, 256))
     for r in rows:
-        zeros[r["last"], r["decision"]], ones[r["last"], r["decision"]], below[r["last"], r["decision"]] = r["zeros"], r["ones"], r["weighted"]
+        zeros[r["last"], r["decision"]], ones[r["last"], r["decision"]], below[r["last"], r["decision"]] = r["zeros"], r["ones"], r["below"]
     kt = log_kt(zeros, ones)
     weighted = np.logaddexp(_HALF + kt, _HALF + below)
     zeros0, ones0 = zeros.sum(axis=0), ones.sum(axis=0)
@@ -210,24 +269,39 @@ def upper_levels(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return mixed, rest, leaf, share
 
 
-def _probabilities(depth: int, upper: tuple):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("gram")
-        tree = Subtree(pdf["gram"].to_numpy(), pdf["n"].to_numpy(), depth, 2)
-        last, decision = (tree.nodes >> (8 * (depth - 1))) & 0xFF, tree.nodes >> (8 * depth)
-        logs = tree.log10_probabilities(*(x[last, decision] for x in upper))
-        return pd.DataFrame({"gram": pdf["gram"].to_numpy(), "log10p": logs})
+def _probabilities(depth: int):
+    """log10 P(byte | context) of each run, from rows of branches: first the states above their nodes, then their runs."""
+
+    def run(batches):
+        for t in whole_branches(batches):
+            runs = t.filter(pc.is_valid(t.column("n")))
+            nodes = t.filter(pc.is_null(t.column("n"))).sort_by("key")
+            keys = runs.column("key").to_numpy()
+            tree = Subtree(keys, runs.column("n").to_numpy(), depth, TOP)
+            above = nodes.column("state").combine_chunks().flatten()
+            logs = tree.log10_probabilities(*(x.to_numpy()[tree.level[TOP][0]] for x in above))
+            yield pa.record_batch([pa.array(keys), pa.array(logs)], names=["gram", "log10p"])
 
     return run
 
 
 def gram_probabilities(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """gram and log10p of each run of bytes in texts (text, held_out), learnt from those not held out."""
+    """gram and log10p of each run of bytes in texts (text, held_out), learnt from those not held out; depth is TOP or more."""
     counts = stored(texts.mapInArrow(_count_grams(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    subtrees = counts.withColumn("pair", F.shiftright("gram", 8 * (depth - 1))).groupBy("pair")
-    roots = subtrees.applyInPandas(_roots(depth), "last long, decision long, zeros long, ones long, weighted double")
-    upper = upper_levels(roots.groupBy("last", "decision").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")]).collect())
-    return stored(subtrees.applyInPandas(_probabilities(depth, upper), "gram long, log10p double"), "probabilities")
+    runs = counts.withColumn("branch", F.shiftright("gram", 8 * (depth - TOP + 1)))
+    node = "decision long, context long, zeros long, ones long, weighted double"
+    sums = [F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below")]
+    roots = stored(runs.repartition("branch").sortWithinPartitions("gram").mapInArrow(_roots(depth), node), "roots")
+    pairs = stored(roots.groupBy("decision", F.shiftright("context", 8).alias("context")).agg(*sums), "pairs")
+    single = pairs.mapInArrow(_weighted, node).groupBy("decision", F.shiftright("context", 8).alias("last")).agg(*sums)
+    upper = upper_levels(single.collect())  # at most 256 * 255 rows
+    states = pairs.mapInArrow(_states(upper), "decision long, context long, " + ", ".join(f"{c} double" for c in STATE))
+    above = roots.select("decision", F.col("context").alias("branch"), F.shiftright("context", 8).alias("context")).join(states, ["decision", "context"])
+    key = F.shiftleft("decision", 8 * TOP).bitwiseOR(F.col("branch"))
+    rows = above.select("branch", key.alias("key"), F.lit(None).cast("long").alias("n"), F.struct(*STATE).alias("state"))
+    rows = rows.unionByName(runs.select("branch", F.col("gram").alias("key"), "n"), allowMissingColumns=True)
+    found = rows.repartition("branch").sortWithinPartitions("branch", F.col("n").isNotNull(), "key").mapInArrow(_probabilities(depth), "gram long, log10p double")
+    return stored(found, "probabilities")
 
 
 def _word_counts(batches):
