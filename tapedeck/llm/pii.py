@@ -46,6 +46,8 @@ KINDS = (
 
 #: Matches of a text that are placed in one go: adding to an array copies it, so long lists are placed in pieces.
 PIECE = 128
+#: Code points of the blocks in which words nearby are looked up: finding a place in a text takes a walk from its start.
+BLOCK = 1024
 
 
 def _let(value: Column, then) -> Column:
@@ -108,14 +110,19 @@ def confirmed(kind: str, value: Column) -> Column:
 def spans_of(text: Column, kind: Kind) -> Column:
     """Confirmed spans of a kind with their scores; those that the method adds must reach LEAST."""
 
-    def scored(x):
-        before = F.lower(F.substring(text, F.greatest(x["start"] - NEARBY + 1, F.lit(1)), F.least(x["start"], F.lit(NEARBY))))
+    def scored(x, blocks):
+        own = F.floor(x["start"] / BLOCK).cast("int")
+        near = F.concat(F.coalesce(F.get(blocks, own - 1), F.lit("")), F.get(blocks, own))
+        ends = x["start"] - F.greatest(own - 1, F.lit(0)) * BLOCK
+        before = F.lower(F.substring(near, F.greatest(ends - NEARBY + 1, F.lit(1)), F.least(ends, F.lit(NEARBY))))
         score = F.lit(kind.score) + F.when(before.rlike(kind.raises), CONTEXT).otherwise(0.0)
         if kind.lowers:
             score = score - F.when(before.rlike(kind.lowers), CONTEXT).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
-    found = F.transform(F.filter(located(text, kind.pattern), lambda x: confirmed(kind.name, x["value"])), scored)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK).cast("int")), lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK)))
+    matches = F.filter(located(text, kind.pattern), lambda x: confirmed(kind.name, x["value"]))
+    found = _let(blocks, lambda b: F.transform(matches, lambda x: scored(x, b)))
     if not kind.base:
         found = F.filter(found, lambda x: x["score"] >= LEAST)
     test = F.contains(text, F.lit(kind.needs)) if kind.needs == "@" else text.rlike(kind.needs)
@@ -145,6 +152,33 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return find(docs).select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(KINDS).alias("spans"), scores.alias("scores"))
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """text with each of some sorted spans replaced by its kind in brackets (one that begins within another goes with
+    it). PIECE spans at a time are replaced in their own part of the text, so that no long text is copied for each span."""
+
+    def put(groups):
+        ends = F.transform(groups, lambda g: F.array_max(F.transform(g, lambda x: x["end"])))
+        return _let(F.aggregate(ends, F.array(F.lit(0)), lambda at, end: F.concat(at, F.array(F.greatest(F.element_at(at, -1), end)))), lambda bounds: parts(groups, bounds))
+
+    def parts(groups, bounds):
+        def part(group, i):
+            first = F.get(bounds, i)
+            return _let(F.substring(text, first + 1, F.get(bounds, i + 1) - first), lambda own: within(group, first, own))
+
+        return F.concat(F.array_join(F.transform(groups, part), ""), F.substring(text, F.element_at(bounds, -1) + 1, F.length(text)))
+
+    def within(group, first, own):
+        def step(acc, x):
+            gap = F.substring(own, acc["at"] - first + 1, x["start"] - acc["at"])
+            out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(group, F.struct(first.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    last = F.floor((F.size(spans) - 1) / PIECE).cast("int")
+    return _let(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(spans, i * PIECE + 1, PIECE)), put)
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in brackets, and n_chars, if there, counted anew.
 
@@ -157,15 +191,7 @@ def mask(docs: DataFrame) -> DataFrame:
     found = d.select("row", text.alias("plain"), *[spans_of(text, k).alias(f"_{k.name}") for k in KINDS])
     spans = F.array_sort(F.concat(*[F.transform(f"_{k.name}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.upper(x["kind"]).alias("kind"))) for k in KINDS]))
     plain = F.col("plain")
-
-    def step(acc, x):
-        gap = F.substring(plain, acc["at"] + 1, x["start"] - acc["at"])
-        new = x["start"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], gap, F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(plain, acc["at"] + 1, F.length(plain))))
-    done = found.select("row", "plain", spans.alias("spans")).select("row", "spans", F.when(F.size("spans") > 0, masked).otherwise(plain).alias("masked"))
+    done = found.select("row", "plain", spans.alias("spans")).select("row", "spans", F.when(F.size("spans") > 0, replaced(plain, F.col("spans"))).otherwise(plain).alias("masked"))
     row, types = F.col("row"), dict(docs.dtypes)
     put = {"text": F.when(row.getField("text").isNotNull(), F.col("masked"))}
     if "n_chars" in docs.columns:

@@ -103,3 +103,9 @@ def test_many_spans_of_one_text(spark):
     got = pii.personal_data(df).collect()[0]
     assert got.n_email == 20_000
     assert got.base_sha256 == hashlib.sha256(",".join(plain(text)["email"]).encode()).hexdigest()
+
+
+def test_many_spans_are_masked_in_pieces(spark):
+    text = " ".join(f"é u{i}@host.org, ip 10.0.0.{i % 300}" for i in range(1_000))
+    want = re.sub(r"10\.0\.0\.(\d+)", lambda m: "[IP]" if int(m[1]) < 256 else m[0], re.sub(r"u\d+@host\.org", "[EMAIL]", text))
+    assert pii.mask(frame(spark, [(1, text)], extra=False)).first().text == want
