@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapedeck.llm import ctw, decontaminate, lattice, near_dup, packing, pii, sharding, sql, suffixes, toxicity, windows
+from tapedeck.llm import collocations, ctw, decontaminate, lattice, near_dup, packing, pii, sharding, sql, suffixes, toxicity, windows
 from tapedeck.llm.common import table
 
 
@@ -47,5 +47,9 @@ def op10_pii(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw, op2_toxicity, op3_decontamination, op4_passages, op5_near_dup, op6_lattice, op7_suffixes, op8_packing, op9_sharding, op10_pii)}
-SQL: dict[str, str] = {"op5_near_dup": sql.NEAR_DUP}
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ctw, op2_toxicity, op3_decontamination, op4_passages, op5_near_dup, op6_lattice, op7_suffixes, op8_packing, op9_sharding, op10_pii, op11_collocations)}
+SQL: dict[str, str] = {"op5_near_dup": sql.NEAR_DUP, "op11_collocations": sql.COLLOCATIONS}

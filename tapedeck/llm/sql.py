@@ -18,3 +18,28 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM texts UNION SELECT r.a, l.b FROM
 SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, t.doc_id = r.component_id AS kept
 FROM texts t LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = t.doc_id
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Collocations: all phrases of one to five words counted, then cuts, scores and phrases inside longer ones.
+COLLOCATIONS = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({_LOWER}, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+lengths AS (SELECT unnest(range(1, 6)) AS k),
+starts AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, lengths WHERE len(w) >= k),
+counted AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM starts GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+often AS (SELECT * FROM counted WHERE f >= 100),
+cuts AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM often WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, n, ((1000 * a::HUGEINT * n) // (l.f::HUGEINT * r.f))::BIGINT AS score,
+    row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000 * a::HUGEINT * n) // (l.f::HUGEINT * r.f), cut) AS best
+  FROM cuts c JOIN totals t ON t.lang = c.lang JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+longer AS (SELECT lang, f, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM often WHERE k > 2),
+inner_parts AS (SELECT lang, f, m, w, unnest(range(1, k - m + 2)) AS i FROM longer),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS f FROM inner_parts GROUP BY ALL),
+whole AS (
+  SELECT s.lang, s.phrase, a, l, r, n, score, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase WHERE best = 1 AND (i.f IS NULL OR i.f < a))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM whole WHERE rank <= 2000
+"""
