@@ -43,3 +43,19 @@ whole AS (
   FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase WHERE best = 1 AND (i.f IS NULL OR i.f < a))
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM whole WHERE rank <= 2000
 """
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Ranked search: all documents that share a term with an item are scored.
+SEARCH = rf"""
+WITH texts AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+sizes AS (SELECT doc_id, len(w)::BIGINT AS n FROM texts WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS length FROM sizes),
+sought AS (SELECT item_id, term, count(*)::BIGINT AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+tfs AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM texts) WHERE term IN (SELECT term FROM sought) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY term, total),
+worth AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * total) // length))) AS x FROM tfs JOIN sizes USING (doc_id) JOIN weights USING (term), totals),
+scored AS (SELECT item_id, doc_id, sum(q * x)::BIGINT AS score FROM sought JOIN worth USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
