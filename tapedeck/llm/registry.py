@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapedeck.llm import collocations, ctw, decontaminate, lattice, near_dup, packing, pii, search, sharding, sql, suffixes, toxicity, windows
+from tapedeck.llm import collocations, ctw, decontaminate, lattice, licenses, near_dup, packing, pii, search, sharding, sql, suffixes, toxicity, windows
 from tapedeck.llm.common import table
 
 
@@ -51,9 +51,13 @@ def op11_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_dual_tree(spark, sf_dir):
     return search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw, op2_toxicity, op3_decontamination, op4_passages, op5_near_dup, op6_lattice, op7_suffixes, op8_packing, op9_sharding, op10_pii, op11_collocations, op13_dual_tree)}
-SQL: dict[str, str] = {"op5_near_dup": sql.NEAR_DUP, "op11_collocations": sql.COLLOCATIONS, "op13_dual_tree": sql.SEARCH}
+QUERIES = {f.__name__: f for f in (op1_ctw, op2_toxicity, op3_decontamination, op4_passages, op5_near_dup, op6_lattice, op7_suffixes, op8_packing, op9_sharding, op10_pii, op11_collocations, op12_licenses, op13_dual_tree)}
+SQL: dict[str, str] = {"op5_near_dup": sql.NEAR_DUP, "op11_collocations": sql.COLLOCATIONS, "op12_licenses": sql.licenses(), "op13_dual_tree": sql.SEARCH}

@@ -59,3 +59,28 @@ scored AS (SELECT item_id, doc_id, sum(q * x)::BIGINT AS score FROM sought JOIN
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+def licenses() -> str:
+    """License scans: grams of all words met with those of the templates, hits summed by beginning, beginnings joined."""
+    from tapedeck.llm import licenses as of
+
+    gram_rows = ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in g) + ")" for g in of.grams(of.PHRASES, of.TEMPLATES))
+    sizes = ", ".join(f"({i}, {len(t.split())}, '{label}', {i < len(of.PHRASES)})" for i, (t, label) in enumerate([*of.PHRASES, *of.TEMPLATES]))
+    return rf"""
+WITH grams(template, tpos, w1, w2, w3) AS (VALUES {gram_rows}), sizes(template, length, label, exact) AS (VALUES {sizes}),
+texts AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM texts),
+votes AS (SELECT doc_id, template, pos - tpos AS start, bit_or(1::BIGINT << tpos) AS hit, min(tpos) AS low, max(tpos) AS high FROM placed JOIN grams ON w[pos + 1] = w1 AND w[pos + 2] = w2 AND (w3 IS NULL OR w[pos + 3] = w3) GROUP BY ALL),
+sized AS (SELECT *, CASE WHEN length <= 3 THEN 2 ELSE 3 END AS n FROM votes JOIN sizes USING (template)),
+shares AS (SELECT *, bit_count(hit | (hit << 1) | (CASE WHEN n = 3 THEN hit << 2 ELSE 0 END)) / length AS alone, start + low AS first_word, start + high + n AS end_word,
+  CASE WHEN exact OR start - lag(start) OVER (PARTITION BY doc_id, template ORDER BY start) > {of.SLACK} THEN 1 ELSE 0 END AS apart FROM sized),
+numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY start ROWS UNBOUNDED PRECEDING) AS place FROM shares),
+places AS (SELECT doc_id, template, place, length, label, exact, n, bit_or(hit) AS hit, max(alone) AS alone, min(first_word) AS first_word, max(end_word) AS end_word FROM numbered GROUP BY ALL),
+judged AS (SELECT *, bit_count(hit | (hit << 1) | (CASE WHEN n = 3 THEN hit << 2 ELSE 0 END)) / length AS share FROM places),
+spans AS (SELECT *, CASE WHEN exact THEN share = 1 ELSE alone >= {of.LEAST_SHARE} OR (share >= {of.LEAST_SHARE} AND end_word - first_word <= 2 * length) END AS found FROM judged),
+summed AS (SELECT doc_id, count(*) FILTER (WHERE found AND exact) AS n_base, min(first_word) FILTER (WHERE found AND exact) AS first_word, max(first_word) FILTER (WHERE found AND exact) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found AND exact), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found), '') AS labels, max(share) FILTER (WHERE NOT exact) AS partly FROM spans GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(partly, 0.0)::DOUBLE END AS score
+FROM texts LEFT JOIN summed USING (doc_id)
+"""
