@@ -50,8 +50,8 @@ def test_notices_with_changes(spark):
     got = {r.doc_id: r for r in licenses.scan(frame(spark, DOCS)).where("doc_id is not null").collect()}
     assert {d for d, r in got.items() if "bsd" in r.labels} == {25, 26, 27}
     assert got[20].labels == "cc-by,cc-by-nc,reserved" and got[22].labels == "gpl" and got[25].score == 1
-    assert 0.8 <= got[26].score < 1 and [(s.label, s.first_word, s.n_words) for s in got[26].spans] == [("bsd", 20, 22)]
-    assert [(s.label, s.first_word, s.n_words) for s in got[27].spans] == [("bsd", 0, 24)]
+    assert 0.8 <= got[26].score < 1 and [(s.label, s.first_word, s.n_words) for s in got[26].spans] == [("bsd", 20, 21)]
+    assert [(s.label, s.first_word, s.n_words) for s in got[27].spans] == [("bsd", 0, 23)]
     assert 0.5 < got[28].score < 0.8 and got[28].labels == ""
 
 
