@@ -40,13 +40,34 @@ def words_of(texts: pa.Array, kinds: np.ndarray) -> Words:
     inside = kind == WORD
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     # where one text ends in a word and the next begins with one
-    cuts = np.unique(bounds[(bounds > 0) & (bounds < len(data))])
+    cuts = bounds[(bounds > 0) & (bounds < len(data)) & (np.diff(bounds, prepend=-1) > 0)]
     cuts = cuts[inside[cuts] & inside[cuts - 1]]
-    starts, ends = (np.union1d(e, cuts) if len(cuts) else e for e in (edges[::2], edges[1::2]))
+    starts, ends = (np.insert(e, np.searchsorted(e, cuts), cuts) for e in (edges[::2], edges[1::2]))
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=offsets[1:])
     letters = _LOWER[data[inside]]
     coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
-    text = np.searchsorted(bounds, starts, side="right") - 1
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, bounds)))
     breaks = np.cumsum(kind == BREAK, dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, text, breaks + text.astype(np.int64))
+
+
+#: For hashes: a random 64-bit number for each byte at each of 64 places.
+_PLACES = np.random.default_rng(64).integers(0, 1 << 64, (64, 256), np.uint64)
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: the sums of their bytes' numbers by place."""
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    lengths = np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], lengths)
+    of_byte = _PLACES[place & 63, data]
+    if len(lengths) and lengths.max() > 64:
+        of_byte = of_byte * (2 * (place >> 6) + 1).astype(np.uint64)
+    out = np.zeros(len(words), np.uint64)
+    some = lengths > 0
+    if some.any():
+        out[some] = np.add.reduceat(of_byte, (offsets[:-1] - offsets[0])[some])
+    return out

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapedeck.llm import trie
-from tapedeck.llm.bytewords import Words, classes, words_of
-from tapedeck.llm.common import ODD, blocks, mix, renamed, stored, word_hashes
+from tapedeck.llm.bytewords import Words, classes, hashes, words_of
+from tapedeck.llm.common import ODD, blocks, mix, renamed, stored
 
 KINDS = classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 LONGEST = 5
@@ -20,6 +20,8 @@ LONGEST = 5
 MAP_BITS = 27
 #: Candidates in one trie (at most some 100 bytes each); more of them are dealt to further tries, each with its own pass.
 PER_TRIE = 500_000
+#: Bytes of text that are cut into words at once.
+BLOCK = 12 << 20
 #: Hashes that a task holds before it hands on their counts.
 HELD = 6_000_000
 _N = pa.int64()
@@ -27,7 +29,7 @@ _N = pa.int64()
 
 def _by_lang(batches):
     """(lang, words) of the blocks of some batches (lang, text)."""
-    for block in blocks(batches):
+    for block in blocks(batches, limit=BLOCK):
         langs = block.column("lang").dictionary_encode()
         which = langs.indices.to_numpy(zero_copy_only=False)
         for i, lang in enumerate(langs.dictionary.to_pylist()):
@@ -44,21 +46,21 @@ def _runs(w: Words, n: int) -> np.ndarray:
 
 def _hashes(lang: str, tokens: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the phrases of n words from the words `at` on (tokens: the words' hashes)."""
-    out = np.full(len(at), word_hashes(pa.array([lang]))[0] + np.uint64(n), np.uint64)
+    out = np.full(len(at), hashes(pa.array([lang]))[0] + np.uint64(n), np.uint64)
     for j in range(n):
         out = out + tokens[at + j] * ODD[j]
     return mix(out)
 
 
-def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes & np.uint64(len(bits) * 64 - 1)
+def _marked(bits: np.ndarray, found: np.ndarray) -> np.ndarray:
+    slot = found & np.uint64(len(bits) * 64 - 1)
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
+def _bitmap(found: DataFrame) -> np.ndarray:
     """The bits of the hashes (h): of fixed size, whatever their number."""
     slot = F.col("h").bitwiseAND((1 << MAP_BITS) - 1)
-    bits = hashes.groupBy(F.shiftright(slot, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {(1 << MAP_BITS) - 1}) & 63 as int))")).alias("b"))
+    bits = found.groupBy(F.shiftright(slot, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {(1 << MAP_BITS) - 1}) & 63 as int))")).alias("b"))
     rows = bits.toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     out[rows["i"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
@@ -78,7 +80,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def _likely(lang: str, w: Words, maps: list[np.ndarray], lengths: list[int]):
     """n, places and hashes of the phrases all of whose shorter ones are marked: maps[0] has the frequent words, maps[1] pairs."""
-    tokens = word_hashes(w.distinct)
+    tokens = hashes(w.distinct)
     # the frequent words are hashed as phrases of one word
     known = _marked(maps[0], _hashes(lang, tokens, np.arange(len(tokens)), 1))[w.codes]
     tokens = tokens[w.codes]
@@ -105,16 +107,17 @@ def _sums(texts: DataFrame, maps: list, lengths: list[int], least: int) -> DataF
 
     def summed(held):
         h, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        h, which = np.unique(h, return_inverse=True)
-        n = np.bincount(which, weights=n).astype(np.int64)
-        return h, n
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        starts = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        return h[starts], np.add.reduceat(n, starts) if len(starts) else n
 
     def count(batches):
         held, size = [], 0
         for lang, w in _by_lang(batches):
-            for _, at, h in _likely(lang, w, shared.value, lengths):
-                held.append((h, np.ones(len(at))))
-                size += len(at)
+            for _, _, h in _likely(lang, w, shared.value, lengths):
+                held.append(np.unique(h, return_counts=True))
+                size += len(held[-1][0])
             if size > most:
                 held = [summed(held)]
                 if len(held[0][0]) > most // 2:
@@ -141,7 +144,7 @@ def candidates(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
         for b in batches:
             langs = b.column("lang").dictionary_encode()
             which, out = langs.indices.to_numpy(zero_copy_only=False), np.zeros(b.num_rows, np.uint64)
-            tokens = word_hashes(b.column("word"))
+            tokens = hashes(b.column("word"))
             for i, lang in enumerate(langs.dictionary.to_pylist()):
                 at = np.flatnonzero(which == i)
                 out[at] = _hashes(lang, tokens, at, 1)
@@ -158,17 +161,20 @@ def candidates(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
         seen = np.zeros(0, np.uint64)
         for lang, w in _by_lang(batches):
             maps, wanted = shared.value
+            fresh = []
             for n, at, h in _likely(lang, w, maps, list(range(2, LONGEST + 1))):
                 good = np.flatnonzero(_marked(wanted, h))
                 h, first = np.unique(h[good], return_index=True)
-                new = ~np.isin(h, seen)
+                new = np.flatnonzero(seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] != h) if len(seen) else np.arange(len(h))
                 h, at = h[new], at[good][first[new]]
-                seen = np.union1d(seen, h) if len(seen) < most else seen
+                fresh.append(h)
                 parts = [w.distinct.take(pa.array(w.codes[at + j])) for j in range(n)]
                 phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), phrase, pa.array(h.view(np.int64))], ["lang", "phrase", "h"])
+            seen = np.sort(np.concatenate([seen, *fresh])) if len(seen) < most else seen
 
-    return texts.mapInArrow(spelt, "lang string, phrase string, h long").join(kept, "h", "left_semi").select("lang", "phrase").distinct()
+    # every task spells what it has; one of each goes on
+    return texts.mapInArrow(spelt, "lang string, phrase string, h long").distinct().join(kept, "h", "left_semi").select("lang", "phrase")
 
 
 def _trie_of(found: pa.Table) -> tuple[pa.Array, trie.Trie]:
