@@ -21,9 +21,9 @@ MAP_BITS = 27
 #: Candidates in one trie (at most some 100 bytes each); more of them are dealt to further tries, each with its own pass.
 PER_TRIE = 500_000
 #: Bytes of text that are cut into words at once.
-BLOCK = 12 << 20
+BLOCK = 4 << 20
 #: Hashes that a task holds before it hands on their counts.
-HELD = 6_000_000
+HELD = 2_000_000
 _N = pa.int64()
 
 
