@@ -38,6 +38,17 @@ def period_stats(plays: DataFrame, by: tuple[str, ...] = ("year",)) -> DataFrame
     return keyed(plays).groupBy(*by).agg(F.count("*").alias("plays"), js_round(F.sum("minutes") / 60, 1).alias("hours"), F.countDistinct(*SONG).alias("songs"), F.countDistinct("akey").alias("artists"))
 
 
+def period_rollup(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """period_stats of each month, each year and all time in one scan: level is "month", "year" or "all", with null year or month where they are summed up.
+
+    Null years and months are groups of their own at their level. With `by`, levels of each key."""
+    stats = keyed(plays).select(*by, "year", "month", "minutes", *SONG)
+    sets = [[*by, "year", "month"], [*by, "year"], [*by]]
+    columns = [F.col(c) for c in (*by, "year", "month")]
+    level = F.when(F.grouping("year") == 1, "all").when(F.grouping("month") == 1, "year").otherwise("month")
+    return stats.groupingSets(sets, *columns).agg(level.alias("level"), F.count("*").alias("plays"), js_round(F.sum("minutes") / 60, 1).alias("hours"), F.countDistinct(*SONG).alias("songs"), F.countDistinct("akey").alias("artists"))
+
+
 def _first(counts: DataFrame, limit: int, by: tuple[str, ...], keys: list[str]) -> DataFrame:
     """The most played of all, or of each group, with its rank."""
     order = [F.desc("plays"), *keys]

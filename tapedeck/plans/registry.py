@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tapedeck.operators import history as h
 from tapedeck.operators.sessions import sessionize
-from tapedeck.plans import events, library, periods, planning, recommend
+from tapedeck.plans import events, feeds, library, periods, planning, recommend
 from tapedeck.sources.bridge import PLAYS_SQL, plays, short_plays
 
 AS_OF = "2001-11-05"
@@ -19,6 +19,10 @@ _AFFINITY = f"round(sum(least(minutes, 7.0) * exp(-({_YEARS}) / 3) * CASE WHEN r
 
 JOBS = {
     "d02_period_stats": (_of(h.period_stats), "SELECT year, count(*) AS plays, floor(sum(minutes) / 60 * 10 + 0.5) / 10 AS hours, count(DISTINCT (tkey, akey)) AS songs, count(DISTINCT akey) AS artists FROM plays GROUP BY year"),
+    "d02_period_rollup": (
+        _of(h.period_rollup),
+        "SELECT year, month, CASE WHEN grouping(year) = 1 THEN 'all' WHEN grouping(month) = 1 THEN 'year' ELSE 'month' END AS level, count(*) AS plays, floor(sum(minutes) / 60 * 10 + 0.5) / 10 AS hours, count(DISTINCT (tkey, akey)) AS songs, count(DISTINCT akey) AS artists FROM plays GROUP BY ROLLUP (year, month)",
+    ),
     "d03_top_songs": (_of(h.top_songs), "SELECT tkey, akey, count(*) AS plays, sum(minutes) AS minutes FROM plays GROUP BY ALL ORDER BY plays DESC, tkey, akey LIMIT 20"),
     "d04_top_artists": (_of(h.top_artists), "SELECT akey, count(*) AS plays, sum(minutes) AS minutes FROM plays GROUP BY ALL ORDER BY plays DESC, akey LIMIT 20"),
     "d01_load_plays": (
@@ -58,6 +62,6 @@ SHORT = {
  SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, play_id)) <= 720 * 60000000::BIGINT THEN 0 ELSE 1 END AS new FROM p)) GROUP BY user_id, session""",
     ),
 }
-WHOLE = {name: (job, PLAYS_SQL + sql) for name, (job, sql) in JOBS.items()} | {name: (job, SHORT_SQL + sql) for name, (job, sql) in SHORT.items()} | events.JOBS | periods.JOBS | library.JOBS | recommend.JOBS | planning.JOBS
+WHOLE = {name: (job, PLAYS_SQL + sql) for name, (job, sql) in JOBS.items()} | {name: (job, SHORT_SQL + sql) for name, (job, sql) in SHORT.items()} | events.JOBS | periods.JOBS | library.JOBS | recommend.JOBS | planning.JOBS | feeds.JOBS
 QUERIES = {name: job for name, (job, _) in WHOLE.items()}
-SQL = {name: sql for name, (_, sql) in WHOLE.items()}
+SQL = {name: sql for name, (_, sql) in WHOLE.items() if sql}

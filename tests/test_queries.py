@@ -18,7 +18,7 @@ def plain(v):
     return round(v, 4) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_rows_are_those_of_the_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     want = duck.execute(SQL[name])
