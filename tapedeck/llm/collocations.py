@@ -16,14 +16,16 @@ from tapedeck.llm.common import ODD, blocks, mix, renamed, stored
 KINDS = classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 LONGEST = 5
 #: A phrase's hash sets one of 2 ** MAP_BITS bits, however many phrases there are: what is broadcast to sift candidates
-#: is always 16 MB. Wrong bits let a candidate too many through, never one too few.
-MAP_BITS = 27
+#: is always 8 MB. Wrong bits let a candidate too many through, never one too few.
+MAP_BITS = 26
 #: Candidates in one trie (at most some 100 bytes each); more of them are dealt to further tries, each with its own pass.
 PER_TRIE = 500_000
 #: Bytes of text that are cut into words at once.
 BLOCK = 4 << 20
 #: Hashes that a task holds before it hands on their counts.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Candidates whose counts a task hands on as one row.
+PART = 256
 _N = pa.int64()
 
 
@@ -214,12 +216,24 @@ def _counted(texts: DataFrame, found: DataFrame) -> DataFrame:
                 at = at[on]
                 rows = t.accept[states]
                 n += np.bincount(rows[rows >= 0], minlength=t.n_rows)
-        some = np.flatnonzero(n)
-        for i in range(0, len(some), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 100_000]), pa.array(n[some[i : i + 100_000]])], ["row", "n"])
+        parts = np.add.reduceat(n, np.arange(0, len(n), PART)).nonzero()[0] if len(n) else np.zeros(0, np.int64)
+        padded = np.append(n, np.zeros(-len(n) % PART, np.int64)).reshape(-1, PART)
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.FixedSizeListArray.from_arrays(pa.array(padded[some].ravel()), PART).cast(pa.list_(_N))], ["part", "counts"])
+
+    def summed(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, counts in zip(b.column("part").to_pylist(), b.column("counts").flatten().to_numpy().reshape(-1, PART), strict=True):
+                sums[part] = sums.get(part, 0) + counts
+        for part, counts in sums.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(part * PART + at), pa.array(counts[at])], ["row", "a"])
 
     numbered = spark.createDataFrame(table.append_column("row", pa.array(np.arange(table.num_rows))))
-    counts = texts.mapInArrow(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("a"))
+    # the vectors of counts of all shards of the texts, added up part by part as they come in
+    counts = texts.mapInArrow(count, "part long, counts array<long>").repartition("part").mapInArrow(summed, "row long, a long")
     return numbered.join(counts, "row").select("lang", "phrase", "a")
 
 
