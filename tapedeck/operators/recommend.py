@@ -81,28 +81,39 @@ def pool_expire(pool: DataFrame, *, as_of: str) -> DataFrame:
 
 
 def pool_upsert(pool: DataFrame, found: DataFrame, *, now: str, days: int = 21) -> DataFrame:
-    """pool (track_id, source, score, status, expires_at) after found (track_id, source, score) came in.
+    """pool (track_id, source, score, status, expires_at and any others) after found (track_id, source, score and any of pool's others) came in.
 
-    The higher score stays, with its source (the pool's on a tie; of several found, the best). A track that was liked or
-    skipped keeps its status and expiry; any other is fresh again for so many days.
+    The higher score stays, with its source and source_detail (the pool's on a tie; of several found, the best). A track
+    that was liked or skipped keeps its status and expiry; any other is fresh again for so many days. Of further columns
+    the pool's values stay where they aren't null, so that an empty name never replaces one; new tracks get the found ones,
+    found_at is `now` for them where it isn't given, and status_changed_at stays what it was.
     """
-    new = found.groupBy("track_id").agg(F.max(F.struct("score", "source")).alias("n")).withColumn("came", F.lit(True))
+    others = [c for c in pool.columns if c not in ("track_id", "source", "source_detail", "score", "status", "expires_at")]
+    detail = [c for c in ("source_detail",) if c in pool.columns]
+    given = [c for c in [*others, *detail] if c in found.columns]
+    new = found.groupBy("track_id").agg(F.max_by(F.struct("score", "source", *given), F.struct("score", "source", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in given])).alias("n")).withColumn("came", F.lit(True))
     both = pool.join(new, "track_id", "full")
     came, stays = F.coalesce("came", F.lit(False)), F.coalesce(F.col("status").isin("liked", "skipped"), F.lit(False))
-    fresh = came & ~stays
-    return both.select(
-        "track_id",
-        F.when(came & (F.col("score").isNull() | (F.col("n.score") > F.col("score"))), F.col("n.source")).otherwise(F.col("source")).alias("source"),
-        F.greatest("score", "n.score").alias("score"),
-        F.when(fresh, "fresh").otherwise(F.col("status")).alias("status"),
-        F.when(fresh, F.lit(now).cast("timestamp") + F.make_dt_interval(F.lit(days))).otherwise(F.col("expires_at")).alias("expires_at"),
-    )
+    fresh, better = came & ~stays, came & (F.col("score").isNull() | (F.col("n.score") > F.col("score")))
+    values = {
+        "source": F.when(better, F.col("n.source")).otherwise(F.col("source")),
+        "score": F.greatest("score", "n.score"),
+        "status": F.when(fresh, "fresh").otherwise(F.col("status")),
+        "expires_at": F.when(fresh, F.lit(now).cast("timestamp") + F.make_dt_interval(F.lit(days))).otherwise(F.col("expires_at")),
+    }
+    values |= {c: F.when(better, F.col(f"n.{c}") if c in given else F.lit(None)).otherwise(F.col(c)) for c in detail}
+    values |= {c: F.coalesce(F.col(c), F.col(f"n.{c}")) if c in given else F.col(c) for c in others}
+    if "found_at" in others:
+        values["found_at"] = F.coalesce(values["found_at"], F.when(came, F.lit(now).cast("timestamp")))
+    return both.select("track_id", *[values[c].alias(c) for c in pool.columns if c != "track_id"])
 
 
 def pool_mark(pool: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """pool with the status that the latest outcome (track_id, at, status: played, liked or skipped) gives each track, and when."""
+    """pool with the status that the latest outcome (track_id, at, status: played, liked or skipped) gives each track, and
+    when; tracks without one keep both."""
     last = outcomes.groupBy("track_id").agg(F.max(F.struct("at", "status")).alias("o"))
-    return pool.join(last, "track_id", "left").withColumns({"status": F.coalesce("o.status", "status"), "status_changed_at": F.col("o.at")}).drop("o")
+    before = F.col("status_changed_at") if "status_changed_at" in pool.columns else F.lit(None).cast("timestamp")
+    return pool.join(last, "track_id", "left").withColumns({"status": F.coalesce("o.status", "status"), "status_changed_at": F.coalesce("o.at", before)}).drop("o")
 
 
 def top_by_taste(scores: DataFrame, id: str, n: int = 30) -> DataFrame:

@@ -72,17 +72,17 @@ def _audio_queue(spark, sf_dir):
 
 
 def _pool(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size < 40").selectExpr("cast(p_partkey AS bigint) AS track_id", "p_brand AS source", "cast(p_size AS double) AS score", "element_at(array('fresh', 'played', 'liked', 'skipped', 'expired'), p_size % 5 + 1) AS status", "timestamp'2024-02-01' AS expires_at")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size < 40").selectExpr("cast(p_partkey AS bigint) AS track_id", "p_brand AS source", "cast(p_size AS double) AS score", "element_at(array('fresh', 'played', 'liked', 'skipped', 'expired'), p_size % 5 + 1) AS status", "timestamp'2024-02-01' AS expires_at", "IF(p_size % 3 = 0, timestamp'2023-12-01', NULL) AS status_changed_at", "IF(p_size % 4 > 0, p_name, NULL) AS track_name", "p_type AS source_detail")
 
 
-POOL = "SELECT p_partkey::BIGINT AS track_id, p_brand AS source, p_size::DOUBLE AS score, ['fresh', 'played', 'liked', 'skipped', 'expired'][p_size % 5 + 1] AS status, TIMESTAMP '2024-02-01' AS expires_at FROM part WHERE p_size < 40"
+POOL = "SELECT p_partkey::BIGINT AS track_id, p_brand AS source, p_size::DOUBLE AS score, ['fresh', 'played', 'liked', 'skipped', 'expired'][p_size % 5 + 1] AS status, TIMESTAMP '2024-02-01' AS expires_at, CASE WHEN p_size % 3 = 0 THEN TIMESTAMP '2023-12-01' END AS status_changed_at, CASE WHEN p_size % 4 > 0 THEN p_name END AS track_name, p_type AS source_detail FROM part WHERE p_size < 40"
 
 
 def _found(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").selectExpr("cast(l_partkey AS bigint) AS track_id", "concat('s', l_suppkey % 5) AS source", "cast(l_quantity AS double) AS score")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").selectExpr("cast(l_partkey AS bigint) AS track_id", "concat('s', l_suppkey % 5) AS source", "cast(l_quantity AS double) AS score", "concat('found ', l_partkey) AS track_name", "concat('from s', l_suppkey % 5) AS source_detail")
 
 
-FOUND = "SELECT l_partkey::BIGINT AS track_id, 's' || (l_suppkey % 5) AS source, l_quantity::DOUBLE AS score FROM lineitem WHERE l_returnflag = 'R'"
+FOUND = "SELECT l_partkey::BIGINT AS track_id, 's' || (l_suppkey % 5) AS source, l_quantity::DOUBLE AS score, 'found ' || l_partkey AS track_name, 'from s' || (l_suppkey % 5) AS source_detail FROM lineitem WHERE l_returnflag = 'R'"
 
 
 def _outcomes(spark, sf_dir):
@@ -126,13 +126,14 @@ JOBS = {
     "e16_pool_slots": (lambda s, d: r.allocate_pool(_scored(s, d)), "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY is_editorial ORDER BY score DESC, track_id)::INT AS rank FROM (SELECT p_partkey AS track_id, p_type = 'ECONOMY' AS is_editorial, p_retailprice - 950 AS score FROM part)) WHERE rank <= CASE WHEN is_editorial THEN 35 ELSE 15 END AND score >= 0"),
     "e17_pool_upsert": (
         lambda s, d: r.pool_upsert(_pool(s, d), _found(s, d), now="2024-03-01"),
-        f"""WITH pool AS ({POOL}), n AS (SELECT track_id, max((score, source)) AS n FROM ({FOUND}) GROUP BY track_id)
+        f"""WITH pool AS ({POOL}), n AS (SELECT track_id, max((score, source, track_name, source_detail)) AS n FROM ({FOUND}) GROUP BY track_id)
  SELECT coalesce(pool.track_id, n.track_id) AS track_id, CASE WHEN n IS NOT NULL AND (score IS NULL OR n[1] > score) THEN n[2] ELSE source END AS source, greatest(score, n[1]) AS score,
- CASE WHEN n IS NULL OR status IN ('liked', 'skipped') THEN status ELSE 'fresh' END AS status, CASE WHEN n IS NULL OR status IN ('liked', 'skipped') THEN expires_at ELSE TIMESTAMP '2024-03-22' END AS expires_at FROM pool FULL JOIN n ON pool.track_id = n.track_id""",
+ CASE WHEN n IS NULL OR status IN ('liked', 'skipped') THEN status ELSE 'fresh' END AS status, CASE WHEN n IS NULL OR status IN ('liked', 'skipped') THEN expires_at ELSE TIMESTAMP '2024-03-22' END AS expires_at,
+ status_changed_at, coalesce(track_name, n[3]) AS track_name, CASE WHEN n IS NOT NULL AND (score IS NULL OR n[1] > score) THEN n[4] ELSE source_detail END AS source_detail FROM pool FULL JOIN n ON pool.track_id = n.track_id""",
     ),
     "e17_pool_mark": (
         lambda s, d: r.pool_mark(_pool(s, d), _outcomes(s, d)),
         f"""{EVENTS_SQL}, pool AS ({POOL}), o AS (SELECT track_id::BIGINT AS track_id, max((ended_at, CASE classification WHEN 'completed' THEN 'played' WHEN 'replayed' THEN 'liked' ELSE 'skipped' END)) AS o FROM play_events WHERE classification <> 'abandoned' GROUP BY 1)
- SELECT track_id, source, score, coalesce(o[2], status) AS status, expires_at, o[1] AS status_changed_at FROM pool LEFT JOIN o USING (track_id)""",
+ SELECT track_id, source, score, coalesce(o[2], status) AS status, expires_at, coalesce(o[1], status_changed_at) AS status_changed_at, track_name, source_detail FROM pool LEFT JOIN o USING (track_id)""",
     ),
 }
