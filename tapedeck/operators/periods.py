@@ -170,10 +170,10 @@ def obsessions(plays: DataFrame, share: float = 0.5) -> DataFrame:
     return months.where((F.col("top.plays") > share * F.col("total")) & (F.col("total") > 1)).select("user_id", "year", "month", "top.*", "total")
 
 
-def binges(plays: DataFrame, *, least: int = 30, days: int = 7) -> DataFrame:
-    """Recordings with so many plays within some days: the most within any such stretch."""
-    back = Window.partitionBy("uri").orderBy(F.unix_timestamp("ts")).rangeBetween(-days * 86400, 0)
-    return plays.select("uri", F.count("*").over(back).alias("n")).groupBy("uri").agg(F.max("n").alias("most")).where(F.col("most") >= least)
+def binges(plays: DataFrame, *, least: int = 30, days: int = 7, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """Recordings that a listener plays so often within some days: the most within any such stretch."""
+    back = Window.partitionBy(*by, "uri").orderBy(F.unix_timestamp("ts")).rangeBetween(-days * 86400, 0)
+    return plays.select(*by, "uri", F.count("*").over(back).alias("n")).groupBy(*by, "uri").agg(F.max("n").alias("most")).where(F.col("most") >= least)
 
 
 def era_rollup(plays: DataFrame, eras: dict[str, list[int]]) -> DataFrame:

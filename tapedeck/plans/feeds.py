@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapedeck.operators import analysis as an
 from tapedeck.operators import feeds as f
 from tapedeck.operators.communities import communities
 from tapedeck.operators.similar import similar_lyrics
@@ -44,6 +45,24 @@ SIMILAR = """WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(t
  SELECT a, b, round(k / (n + m - k), 6) AS jaccard, false AS same FROM pairs WHERE k / (n + m - k) >= 0.8 UNION ALL SELECT a, doc_id, 1.0, true FROM c WHERE doc_id <> a"""
 
 
+#: An analysis of each document as JSON, six of seven of them broken in some way.
+RAW = """CASE doc_id % 7 WHEN 5 THEN '{"subject_paragraph": ' WHEN 6 THEN '["no object"]' ELSE concat('{"subject_paragraph": ', CASE WHEN doc_id % 7 = 4 THEN '12' ELSE concat('"', source, ' of ', lang, '"') END, ', "subject_tags": ', CASE WHEN doc_id % 7 = 2 THEN '"home"' ELSE '["home", "road"]' END,
+ ', "listener_feel_generic": ', CASE WHEN doc_id % 7 = 3 THEN 'null' ELSE '{"primary_emotion": "calm"}' END, CASE WHEN doc_id % 7 = 1 THEN '' ELSE concat(', "tones": ["warm", "', source, '"]') END, ', "language": "', lang, '"', CASE WHEN doc_id % 14 = 8 THEN '' ELSE ', "narrative_pov": "first"' END, '}') END"""
+
+
+def _analyses(spark, sf_dir):
+    rows = an.validate_analysis(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"{RAW} AS raw"), "raw")
+    return rows.select("doc_id", "valid", F.array_join("reasons", "; ").alias("reasons"), F.array_join("analysis.tones", " ").alias("tones"), F.col("analysis.language").alias("language"))
+
+
+def _analysis_texts(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "source", f"{RAW} AS raw")
+    return rows.select("doc_id", F.sha2(an.analysis_text(F.col("source"), F.get_json_object("raw", "$.tones"), F.get_json_object("raw", "$.listener_feel_generic")), 256).alias("sha256"))
+
+
+_SHAPE = ", ".join(f"CASE WHEN {c} THEN NULL ELSE '$.{n}: {k}' END" for n, k in an.SHAPE for c in ["coalesce(json_type(raw, '$." + n + "') " + {"string": "= 'VARCHAR'", "array": "= 'ARRAY'", "object": "IN ('OBJECT', 'ARRAY')"}[k] + ", false)"])
+
+
 def _edges(spark, sf_dir):
     from tapedeck.plans.events import JOBS as EVENTS
 
@@ -60,5 +79,15 @@ JOBS = {
  SELECT source, page_id, artist, more FROM artists WHERE length(artist) >= 2 QUALIFY row_number() OVER (PARTITION BY source, lower(artist) ORDER BY page_id) = 1""",
     ),
     "h03_similar_lyrics": (lambda s, d: similar_lyrics(s.read.parquet(f"{d}/documents.parquet"), id="doc_id", text="text"), SIMILAR),
+    "h16_validate_analysis": (
+        _analyses,
+        f"""WITH r AS (SELECT doc_id, {RAW} AS raw FROM documents), t AS (SELECT doc_id, raw, json_valid(raw) AND CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' ELSE false END AS whole FROM r),
+ v AS (SELECT doc_id, raw, whole, CASE WHEN whole THEN list_filter([{_SHAPE}], lambda x: x IS NOT NULL) ELSE ['$: object'] END AS reasons FROM t)
+ SELECT doc_id, len(reasons) = 0 AS valid, array_to_string(reasons, '; ') AS reasons, CASE WHEN len(reasons) = 0 THEN (raw->>'$.tones[0]') || ' ' || (raw->>'$.tones[1]') END AS tones, CASE WHEN len(reasons) = 0 THEN raw->>'$.language' END AS language FROM v""",
+    ),
+    "h15_analysis_text": (
+        _analysis_texts,
+        "SELECT doc_id, sha256(trim(source || ' ' || CASE WHEN doc_id % 7 IN (1, 5, 6) THEN '' ELSE 'warm ' || source END || ' ' || CASE WHEN doc_id % 7 IN (3, 5, 6) THEN '' ELSE 'calm' END)) AS sha256 FROM documents",
+    ),
     "f10_communities": (lambda s, d: communities(_edges(s, d)), None),
 }

@@ -98,7 +98,8 @@ LONG = {
         "SELECT akey, sum(n)::BIGINT AS plays, sum(least(n, 2 * median))::BIGINT AS adjusted, -(max((n, -year))[2]) AS peak_year FROM (SELECT *, list_sort(list(n) OVER (PARTITION BY akey))[(count(*) OVER (PARTITION BY akey)) // 2 + 1] AS median FROM (SELECT akey, year, count(*) AS n FROM plays GROUP BY ALL)) GROUP BY akey ORDER BY adjusted DESC, akey LIMIT 12",
     ),
     "d28_obsessions": (_of(p.obsessions), "SELECT user_id, year, month, top[1] AS plays, top[2] AS tkey, top[3] AS akey, total FROM (SELECT user_id, year, month, max((n, tkey, akey)) AS top, sum(n)::BIGINT AS total FROM (SELECT user_id, year, month, tkey, akey, count(*) AS n FROM plays GROUP BY ALL) GROUP BY ALL) WHERE top[1] > 0.5 * total AND total > 1"),
-    "d28_binges": (_of(p.binges, least=3), "SELECT uri, max(n) AS most FROM (SELECT uri, count(*) OVER (PARTITION BY uri ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS n FROM plays) GROUP BY uri HAVING max(n) >= 3"),
+    "d28_binges": (_of(p.binges, least=3, by=()), "SELECT uri, max(n) AS most FROM (SELECT uri, count(*) OVER (PARTITION BY uri ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS n FROM plays) GROUP BY uri HAVING max(n) >= 3"),
+    "d28_binges_by_listener": (_of(p.binges, least=2, days=60), "SELECT user_id, uri, max(n) AS most FROM (SELECT user_id, uri, count(*) OVER (PARTITION BY user_id, uri ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 5184000 PRECEDING AND CURRENT ROW) AS n FROM plays) GROUP BY user_id, uri HAVING max(n) >= 2"),
     "d29_era_rollup": (
         _of(p.era_rollup, eras=ERAS),
         f"""SELECT e.*, top_song FROM (SELECT era, count(*) AS plays, floor(sum(minutes) / 60 * 10 + 0.5) / 10 AS hours, count(DISTINCT akey) AS artists, round(sum({SKIP}) / count(*), 6) AS skip_rate FROM k GROUP BY era) e JOIN (SELECT era, max((n, tkey, akey))[2] AS top_song FROM (SELECT era, tkey, akey, count(*) AS n FROM k GROUP BY ALL) GROUP BY era) t ON e.era = t.era""",
