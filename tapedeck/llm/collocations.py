@@ -18,6 +18,8 @@ LONGEST = 5
 #: A phrase's hash sets one of 2 ** MAP_BITS bits, however many phrases there are: what is broadcast to sift candidates
 #: is always 8 MB. Wrong bits let a candidate too many through, never one too few.
 MAP_BITS = 26
+#: Spreads the 16 bits of an owner over those of a hash.
+OWNER = 2654435761
 #: Candidates in one trie (at most some 100 bytes each); more of them are dealt to further tries, each with its own pass.
 PER_TRIE = 500_000
 #: Bytes of text that are cut into words at once.
@@ -47,11 +49,19 @@ def _runs(w: Words, n: int) -> np.ndarray:
 
 
 def _hashes(lang: str, tokens: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the phrases of n words from the words `at` on (tokens: the words' hashes)."""
+    """48-bit hashes of the phrases of n words from the words `at` on (tokens: the words' hashes)."""
     out = np.full(len(at), hashes(pa.array([lang]))[0] + np.uint64(n), np.uint64)
     for j in range(n):
         out = out + tokens[at + j] * ODD[j]
-    return mix(out)
+    return mix(out) >> np.uint64(16)
+
+
+def _owners(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each word a number of 16 bits that hangs on its whole text."""
+    if not len(text):
+        return np.zeros(0, np.uint64)
+    starts = np.flatnonzero(np.diff(text, prepend=-1))
+    return np.repeat(mix(np.add.reduceat(tokens, starts)) >> np.uint64(48), np.diff(np.append(starts, len(text))))
 
 
 def _marked(bits: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -81,11 +91,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _likely(lang: str, w: Words, maps: list[np.ndarray], lengths: list[int]):
-    """n, places and hashes of the phrases all of whose shorter ones are marked: maps[0] has the frequent words, maps[1] pairs."""
+    """n, places, hashes and owners of the phrases all of whose shorter ones are marked: maps[0] has the frequent words, maps[1] pairs."""
     tokens = hashes(w.distinct)
     # the frequent words are hashed as phrases of one word
     known = _marked(maps[0], _hashes(lang, tokens, np.arange(len(tokens)), 1))[w.codes]
     tokens = tokens[w.codes]
+    owners = _owners(tokens, w.text)
     ok = _runs(w, 2)
     ok[:-1] &= known[:-1] & known[1:]
     if len(maps) > 1:
@@ -98,27 +109,33 @@ def _likely(lang: str, w: Words, maps: list[np.ndarray], lengths: list[int]):
             good[:-j] &= ok[j:]
             good[-j:] = False
         at = np.flatnonzero(good)
-        yield n, at, _hashes(lang, tokens, at, n)
+        yield n, at, _hashes(lang, tokens, at, n), owners[at]
 
 
 def _sums(texts: DataFrame, maps: list, lengths: list[int], least: int) -> DataFrame:
-    """h: the hashes of likely phrases of these lengths that occur `least` times or more; n words each.
+    """h, owner: the hashes of likely phrases of these lengths that occur `least` times or more, and the least owner of their texts.
 
     Two phrases of one hash only let a candidate too many through."""
     shared, most = texts.sparkSession.sparkContext.broadcast(maps), HELD
 
     def summed(held):
-        h, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        starts = np.flatnonzero(np.diff(h, prepend=~h[:1]))
-        return h[starts], np.add.reduceat(n, starts) if len(starts) else n
+        """Sums of rows (hash and owner in one number, count) by hash, with the least owner."""
+        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        starts = np.flatnonzero(np.diff(key >> np.uint64(16), prepend=~key[:1]))
+        return key[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+    def of_block(key):
+        key = np.sort(key)
+        starts = np.flatnonzero(np.diff(key >> np.uint64(16), prepend=~key[:1]))
+        return key[starts], np.diff(np.append(starts, len(key)))
 
     def count(batches):
         held, size = [], 0
         for lang, w in _by_lang(batches):
-            for _, _, h in _likely(lang, w, shared.value, lengths):
-                held.append(np.unique(h, return_counts=True))
+            for _, _, h, owner in _likely(lang, w, shared.value, lengths):
+                held.append(of_block((h << np.uint64(16)) | owner))
                 size += len(held[-1][0])
             if size > most:
                 held = [summed(held)]
@@ -128,18 +145,20 @@ def _sums(texts: DataFrame, maps: list, lengths: list[int], least: int) -> DataF
         if held:
             yield from rows(*summed(held))
 
-    def rows(h, n):
+    def rows(key, n):
+        h, owner = (key >> np.uint64(16)).view(np.int64), (key & np.uint64(0xFFFF)).astype(np.int32)
         for i in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000].astype(np.int64))], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (h, n.astype(np.int64), owner)], ["h", "n", "owner"])
 
-    return texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    sums = texts.mapInArrow(count, "h long, n long, owner int").groupBy("h").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
+    return sums.where(F.col("n") >= least).select("h", "owner")
 
 
 def candidates(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """lang, phrase (words joined by a space): of 2 to LONGEST words, all shorter ones in it frequent, and it too by its hash.
 
     Pairs of frequent words are summed by hash first, then longer runs of frequent pairs; a last pass gives the words of
-    the hashes that are left. None that occurs `least` times is missed."""
+    the hashes that are left, from the texts that own them. None that occurs `least` times is missed."""
 
     # hashed as the tasks hash words, so that a bit that is set there is set here
     def hashed(batches):
@@ -156,16 +175,17 @@ def candidates(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
     pairs = stored(_sums(texts, [known], [2], least), "pairs")
     maps = [known, _bitmap(pairs)]
     kept = stored(pairs.unionByName(_sums(texts, maps, list(range(3, LONGEST + 1)), least)), "kept")
-    wanted = _bitmap(kept)
-    shared, most = texts.sparkSession.sparkContext.broadcast((maps, wanted)), HELD
+    owned = kept.select(F.col("h").bitwiseXOR(F.col("owner").cast("long") * OWNER).alias("h"))
+    shared, most = texts.sparkSession.sparkContext.broadcast((maps, [_bitmap(kept), _bitmap(owned)])), HELD
 
     def spelt(batches):
         seen = np.zeros(0, np.uint64)
         for lang, w in _by_lang(batches):
             maps, wanted = shared.value
             fresh = []
-            for n, at, h in _likely(lang, w, maps, list(range(2, LONGEST + 1))):
-                good = np.flatnonzero(_marked(wanted, h))
+            for n, at, h, owner in _likely(lang, w, maps, list(range(2, LONGEST + 1))):
+                good = np.flatnonzero(_marked(wanted[0], h))
+                good = good[_marked(wanted[1], h[good] ^ (owner[good] * np.uint64(OWNER)))]
                 h, first = np.unique(h[good], return_index=True)
                 new = np.flatnonzero(seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] != h) if len(seen) else np.arange(len(h))
                 h, at = h[new], at[good][first[new]]
@@ -175,8 +195,8 @@ def candidates(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), phrase, pa.array(h.view(np.int64))], ["lang", "phrase", "h"])
             seen = np.sort(np.concatenate([seen, *fresh])) if len(seen) < most else seen
 
-    # every task spells what it has; one of each goes on
-    return texts.mapInArrow(spelt, "lang string, phrase string, h long").distinct().join(kept, "h", "left_semi").select("lang", "phrase")
+    # a few texts spell each phrase; one of each goes on
+    return texts.mapInArrow(spelt, "lang string, phrase string, h long").distinct().join(kept, "h", "left_semi").select("lang", "phrase").distinct()
 
 
 def _trie_of(found: pa.Table) -> tuple[pa.Array, trie.Trie]:
