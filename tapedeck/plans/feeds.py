@@ -8,6 +8,7 @@ from tapedeck.operators import analysis as an
 from tapedeck.operators import feeds as f
 from tapedeck.operators.communities import communities
 from tapedeck.operators.similar import similar_lyrics
+from tapedeck.plans import periods
 
 #: Titles of pages stand in their head; the test pages' own wording, by language.
 PATTERNS = (
@@ -64,9 +65,7 @@ _SHAPE = ", ".join(f"CASE WHEN {c} THEN NULL ELSE '$.{n}: {k}' END" for n, k in
 
 
 def _edges(spark, sf_dir):
-    from tapedeck.plans.events import JOBS as EVENTS
-
-    return EVENTS["f06_top_neighbors"][0](spark, sf_dir)
+    return periods.JOBS["f06_top_neighbors"][0](spark, sf_dir)
 
 
 JOBS = {

@@ -97,3 +97,4 @@ def test_modularity_on_the_graph_of_heaviest_edges(spark):
     got = found(spark, edges)
     of = {x: v if v >= 0 else x for x, v in got.items()}
     assert worth(edges, of) >= min(worth(edges, sequential(edges, s)) for s in range(5))
+    assert got == {r.artist_name: r.community for r in QUERIES["f10_communities"](spark, "/root/testdata/sf0.001").collect()}
