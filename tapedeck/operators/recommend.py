@@ -49,14 +49,14 @@ def acoustic_profile(events: DataFrame, features: DataFrame, names: list[str]) -
 
 
 def acoustic_fit(features: DataFrame, profile: DataFrame, names: list[str]) -> DataFrame:
-    """How well each track fits each mode of a profile (a few rows a mode), 0.7 to 1.4, and the feature that is furthest off."""
+    """How well each track fits each mode of a profile (a few rows a mode), 0.7 to 1.4, the feature that is furthest off and whether it lies above (null: on the mean)."""
     long = features.select("track_id", F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(n).cast("double").alias("x")) for n in names])).alias("f")).select("track_id", "f.*")
     z = (F.col("x") - F.col("mean")) / F.greatest("stddev", F.lit(LEAST_SPREAD))
     scored = long.join(F.broadcast(profile.select("mode", "dimension", "mean", "stddev")), "dimension").withColumn("z", z)
-    out = scored.groupBy("track_id", "mode").agg(F.sum(F.col("z") * F.col("z")).alias("d"), F.max(F.struct(F.round(F.col("z") * F.col("z"), 9).alias("zz"), "dimension")).alias("furthest"))
+    out = scored.groupBy("track_id", "mode").agg(F.sum(F.col("z") * F.col("z")).alias("d"), F.max(F.struct(F.round(F.col("z") * F.col("z"), 9).alias("zz"), "dimension", F.when(F.round(F.col("z") * F.col("z"), 9) > 0, F.col("z") > 0).alias("above"))).alias("furthest"))
     low, high = FIT
     fit = F.greatest(F.lit(low), F.least(F.lit(high), high - (high - low) * F.col("d") / SPREAD))
-    return out.select("track_id", "mode", F.round(fit, 6).alias("fit"), F.col("furthest.dimension").alias("dominant"))
+    return out.select("track_id", "mode", F.round(fit, 6).alias("fit"), F.col("furthest.dimension").alias("dominant"), F.col("furthest.above").alias("above"))
 
 
 def new_candidates(candidates: DataFrame, known: DataFrame, pool: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ JOBS = {
     "e09_acoustic_fit": (
         lambda s, d: r.acoustic_fit(_features(s, d), _profile(s, d), NAMES),
         f"""{EVENTS_SQL}, {PROFILE}, z AS (SELECT track_id, mode, f.dimension, ((x - mean) / greatest(stddev, 0.05)) AS z FROM (SELECT track_id, unnest(['energy', 'valence']) AS dimension, unnest([energy, valence]) AS x FROM features) f JOIN profile p ON p.dimension = f.dimension)
- SELECT track_id, mode, round(greatest(0.7, least(1.4, 1.4 - 0.7 * sum(z * z) / 18)), 6) AS fit, max((round(z * z, 9), dimension))[2] AS dominant FROM z GROUP BY track_id, mode""",
+ SELECT track_id, mode, round(greatest(0.7, least(1.4, 1.4 - 0.7 * sum(z * z) / 18)), 6) AS fit, max((round(z * z, 9), dimension))[2] AS dominant, max((round(z * z, 9), dimension, CASE WHEN round(z * z, 9) > 0 THEN z > 0 END))[3] AS above FROM z GROUP BY track_id, mode""",
     ),
     "e13_queue": (lambda s, d: r.generate_queue(plays(s, d), as_of=AS_OF, core=["brand#7"], min_plays=5, years_gone=0.25, skips=1), PLAYS_SQL + _queue_sql()),
     "e16_pool_slots": (lambda s, d: r.allocate_pool(_scored(s, d)), "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY is_editorial ORDER BY score DESC, track_id)::INT AS rank FROM (SELECT p_partkey AS track_id, p_type = 'ECONOMY' AS is_editorial, p_retailprice - 950 AS score FROM part)) WHERE rank <= CASE WHEN is_editorial THEN 35 ELSE 15 END AND score >= 0"),
