@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapedeck.functions.columns import fold, is_skip, js_round, local_time
-from tapedeck.operators.history import SONG, _first, keyed
+from tapedeck.operators.history import SONG, _first, keyed, same
 from tapedeck.operators.periods import top_artists_adjusted
 
 
@@ -48,7 +48,7 @@ def date_range_totals(plays: DataFrame, *, start: str, end: str, as_of: str, by:
     totals = inside.groupBy(*keys).agg(F.countDistinct("_day").alias("days_with_plays"), *_totals())
     a, b = F.greatest("since", F.lit(start).cast("date")), F.least(F.lit(end).cast("date"), F.lit(as_of).cast("date"))
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("days_with_plays", "plays")] + [F.coalesce("minutes", F.lit(0.0)).alias("minutes")] + [F.coalesce(c, F.lit(0)).alias(c) for c in ("songs", "artists")]
-    out = since.join(totals, keys, "left").withColumns({"a": a, "b": b})
+    out = same(since, totals, keys, "left").withColumns({"a": a, "b": b})
     whole = F.col("a") <= F.col("b")
     return out.select(*by, F.when(whole, F.col("a")).otherwise(F.lit(start).cast("date")).alias("effective_start"), F.when(whole, F.col("b")).otherwise(F.lit(end).cast("date")).alias("effective_end"), F.when(whole, F.datediff("b", "a") + 1).otherwise(0).alias("days_in_range"), *counts)
 
@@ -91,10 +91,10 @@ def artist_profiles(plays: DataFrame, companions: DataFrame | None = None, *, tr
     songs = rows.groupBy(*by, "akey", "tkey").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     best = songs.withColumn("k", _rank([*by, "akey"], F.desc("n"), "tkey")).where(F.col("k") <= tracks)
     lists = best.groupBy(*by, "akey").agg(F.sort_array(F.collect_list(F.struct("k", F.col("tkey").alias("track"), F.col("n").alias("plays"), F.col("last").alias("last_play")))).alias("tracks"))
-    out = yearly.join(lists, [*by, "akey"]).withColumn("core", F.col("years_in_top") >= core_years)
+    out = same(yearly, lists, [*by, "akey"]).withColumn("core", F.col("years_in_top") >= core_years)
     if companions is not None:
         near = companions.select(*by, fold(F.col("artist_name")).alias("akey"), F.struct((-F.col("sessions")).alias("k"), F.col("companion").alias("artist"), "sessions").alias("c"))
-        out = out.join(near.groupBy(*by, "akey").agg(F.sort_array(F.collect_list("c")).alias("companions")), [*by, "akey"], "left")
+        out = same(out, near.groupBy(*by, "akey").agg(F.sort_array(F.collect_list("c")).alias("companions")), [*by, "akey"], "left")
     return out
 
 
@@ -126,7 +126,7 @@ def era_details(plays: DataFrame, eras: dict[str, list[int]], *, artists: int =
     by_artist = cells.groupBy(*keys, "akey").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).withColumn("k", _rank(keys, F.desc("n"), "akey")).where(F.col("k") <= artists)
     lists = by_artist.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", F.col("akey").alias("artist"), F.col("n").alias("plays"), js_round(F.col("m") / 60, 1).alias("hours")))).alias("top_artists"))
     years = cells.groupBy(*keys, "year").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("year", F.col("n").alias("plays")))).alias("years"))
-    return totals.join(top, keys).join(lists, keys).join(years, keys)
+    return same(same(same(totals, top, keys), lists, keys), years, keys)
 
 
 PERIODS = {"month": 30, "quarter": 90, "year": 365, "all": None}

@@ -15,6 +15,13 @@ def keyed(plays: DataFrame) -> DataFrame:
     return plays.withColumns({"tkey": fold(F.col("track_name")), "akey": fold(F.col("artist_name"))})
 
 
+def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by keys of which nulls are equal, so that plays without a listener or a name stay a group of their own."""
+    r = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(r, on, how).drop(*[f"_{k}" for k in keys])
+
+
 def _latest(c: str):
     return F.max_by(c, F.struct("ts", c)).alias(c)
 
@@ -65,21 +72,22 @@ def top_artists(plays: DataFrame, limit: int = 20, by: tuple[str, ...] = ()) ->
     return _first(keyed(plays).groupBy(*by, "akey").agg(F.count("*").alias("plays"), F.sum("minutes").alias("minutes")), limit, by, ["akey"])
 
 
-def monthly_top(plays: DataFrame, n: int = 5) -> DataFrame:
-    counts = keyed(plays).groupBy("year", "month", *SONG).agg(F.count("*").alias("plays"))
-    rank = F.row_number().over(Window.partitionBy("year", "month").orderBy(F.desc("plays"), *SONG))
+def monthly_top(plays: DataFrame, n: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    counts = keyed(plays).groupBy(*by, "year", "month", *SONG).agg(F.count("*").alias("plays"))
+    rank = F.row_number().over(Window.partitionBy(*by, "year", "month").orderBy(F.desc("plays"), *SONG))
     return counts.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def lost_favorites(plays: DataFrame, *, as_of: str, min_plays: int, years_gone: float, limit: int = 50) -> DataFrame:
-    """Songs once played often whose last play on any recording lies more than years_gone before the end of as_of."""
+def lost_favorites(plays: DataFrame, *, as_of: str, min_plays: int, years_gone: float, limit: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
+    """Songs once played often whose last play on any recording lies more than years_gone before the end of as_of; with `by`, those of each
+    key, with their rank."""
     cutoff = F.lit(as_of).cast("timestamp") + F.expr("INTERVAL 1 DAY") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(years_gone * 365.25 * 86400))
-    by_uri = keyed(plays).groupBy(*SONG, "uri", "year", "month").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    uris = by_uri.groupBy(*SONG, "uri").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-    songs = uris.groupBy(*SONG).agg(F.sum("n").alias("plays"), F.max("last").alias("last_played"), F.max_by("uri", F.struct("n", "uri")).alias("uri")).where((F.col("plays") >= min_plays) & (F.col("last_played") < cutoff))
-    months = by_uri.groupBy(*SONG, "year", "month").agg(F.sum("n").alias("n")).groupBy(*SONG).agg(F.max(F.struct("n", "year", "month")).alias("peak"))
-    out = songs.join(months, SONG).select(*SONG, "plays", "last_played", "uri", F.col("peak.year").alias("peak_year"), F.col("peak.month").alias("peak_month"), F.col("peak.n").alias("peak_plays"))
-    return out.orderBy(F.desc("plays"), *SONG).limit(limit)
+    by_uri = keyed(plays).groupBy(*by, *SONG, "uri", "year", "month").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    uris = by_uri.groupBy(*by, *SONG, "uri").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    songs = uris.groupBy(*by, *SONG).agg(F.sum("n").alias("plays"), F.max("last").alias("last_played"), F.max_by("uri", F.struct("n", "uri")).alias("uri")).where((F.col("plays") >= min_plays) & (F.col("last_played") < cutoff))
+    months = by_uri.groupBy(*by, *SONG, "year", "month").agg(F.sum("n").alias("n")).groupBy(*by, *SONG).agg(F.max(F.struct("n", "year", "month")).alias("peak"))
+    out = same(songs, months, [*by, *SONG]).select(*by, *SONG, "plays", "last_played", "uri", F.col("peak.year").alias("peak_year"), F.col("peak.month").alias("peak_month"), F.col("peak.n").alias("peak_plays"))
+    return _first(out, limit, by, SONG)
 
 
 def _affinity(as_of: str):
@@ -87,59 +95,64 @@ def _affinity(as_of: str):
     return F.round(F.sum(F.least("minutes", F.lit(7.0)) * F.exp(-years / 3) * F.when(F.col("reason_end") == "trackdone", 1.5).otherwise(1.0)), 2).alias("affinity")
 
 
-def artist_affinity(plays: DataFrame, *, as_of: str) -> DataFrame:
-    return keyed(plays).groupBy("akey").agg(F.count("*").alias("plays"), _affinity(as_of))
+def artist_affinity(plays: DataFrame, *, as_of: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return keyed(plays).groupBy(*by, "akey").agg(F.count("*").alias("plays"), _affinity(as_of))
 
 
-def track_affinity(plays: DataFrame, *, as_of: str) -> DataFrame:
-    return plays.groupBy("uri").agg(F.count("*").alias("plays"), _affinity(as_of))
+def track_affinity(plays: DataFrame, *, as_of: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return plays.groupBy(*by, "uri").agg(F.count("*").alias("plays"), _affinity(as_of))
 
 
-def skip_penalized(plays: DataFrame, *, as_of: str, days: int = 30, least: int = 3, under_ms: int = 30_000) -> DataFrame:
+def skip_penalized(plays: DataFrame, *, as_of: str, days: int = 30, least: int = 3, under_ms: int = 30_000, by: tuple[str, ...] = ()) -> DataFrame:
     recent = plays.where((F.col("ts") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))) & is_skip(F.col("reason_end")) & (F.col("ms_played") < under_ms))
-    return recent.groupBy("uri").agg(F.count("*").alias("skips")).where(F.col("skips") >= least)
+    return recent.groupBy(*by, "uri").agg(F.count("*").alias("skips")).where(F.col("skips") >= least)
 
 
-def lifetime_totals(plays: DataFrame) -> DataFrame:
-    return plays.agg(F.count("*").alias("plays"), F.countDistinct("track_name", "artist_name").alias("songs"), F.countDistinct("artist_name").alias("artists"), F.min("ts").alias("first_play"), F.max("ts").alias("last_play"))
+def lifetime_totals(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return plays.groupBy(*by).agg(F.count("*").alias("plays"), F.countDistinct("track_name", "artist_name").alias("songs"), F.countDistinct("artist_name").alias("artists"), F.min("ts").alias("first_play"), F.max("ts").alias("last_play"))
 
 
-def skip_rate_by_quarter(plays: DataFrame) -> DataFrame:
-    return plays.groupBy("year", F.quarter("ts").alias("quarter")).agg(F.count("*").alias("plays"), F.round(F.avg(is_skip(F.col("reason_end")).cast("int")), 6).alias("skip_rate"))
+def skip_rate_by_quarter(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return plays.groupBy(*by, "year", F.quarter("ts").alias("quarter")).agg(F.count("*").alias("plays"), F.round(F.avg(is_skip(F.col("reason_end")).cast("int")), 6).alias("skip_rate"))
 
 
-def discovery_by_year(plays: DataFrame) -> DataFrame:
-    return keyed(plays).groupBy(*SONG).agg(F.min("year").alias("year")).groupBy("year").agg(F.count("*").alias("new_songs"))
+def discovery_by_year(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return keyed(plays).groupBy(*by, *SONG).agg(F.min("year").alias("year")).groupBy(*by, "year").agg(F.count("*").alias("new_songs"))
 
 
-def concentration_by_year(plays: DataFrame, k: int = 100) -> DataFrame:
-    counts = keyed(plays).groupBy("year", *SONG).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), *SONG))
-    return counts.withColumn("rank", rank).groupBy("year").agg(F.round(F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("share"))
+def concentration_by_year(plays: DataFrame, k: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
+    """Share of each year's plays that its k most played songs take."""
+    years = [*by, "year"]
+    counts = keyed(plays).groupBy(*years, *SONG).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*years).orderBy(F.desc("n"), *SONG))
+    # a limit of rank alone is met before the shuffle, so no year is sorted whole
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= k).groupBy(*years).agg(F.sum("n").alias("top"))
+    totals = plays.groupBy(*years).agg(F.count("*").alias("n"))
+    return same(totals, top, years).select(*years, F.round(F.col("top") / F.col("n"), 6).alias("share"))
 
 
-def hourly(plays: DataFrame) -> DataFrame:
-    return plays.groupBy("local_hour").agg(F.count("*").alias("plays"))
+def hourly(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return plays.groupBy(*by, "local_hour").agg(F.count("*").alias("plays"))
 
 
-def day_of_week(plays: DataFrame) -> DataFrame:
-    return plays.groupBy((F.dayofweek("ts") - 1).alias("day")).agg(F.count("*").alias("plays"))
+def day_of_week(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return plays.groupBy(*by, (F.dayofweek("ts") - 1).alias("day")).agg(F.count("*").alias("plays"))
 
 
-def never_stale_core(plays: DataFrame, top: int = 50, years: int = 8) -> DataFrame:
+def never_stale_core(plays: DataFrame, top: int = 50, years: int = 8, by: tuple[str, ...] = ()) -> DataFrame:
     """Artists among the year's most played in so many years."""
-    counts = keyed(plays).groupBy("year", "akey").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), "akey"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= top).groupBy("akey").agg(F.count("*").alias("years_in_top")).where(F.col("years_in_top") >= years)
+    counts = keyed(plays).groupBy(*by, "year", "akey").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*by, "year").orderBy(F.desc("n"), "akey"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= top).groupBy(*by, "akey").agg(F.count("*").alias("years_in_top")).where(F.col("years_in_top") >= years)
 
 
-def skip_report(plays: DataFrame, min_plays: int = 20) -> DataFrame:
-    songs = keyed(plays).groupBy(*SONG).agg(F.count("*").alias("plays"), F.sum(is_skip(F.col("reason_end")).cast("int")).alias("skips"))
+def skip_report(plays: DataFrame, min_plays: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    songs = keyed(plays).groupBy(*by, *SONG).agg(F.count("*").alias("plays"), F.sum(is_skip(F.col("reason_end")).cast("int")).alias("skips"))
     return songs.where(F.col("plays") >= min_plays).withColumn("skip_rate", F.round(F.col("skips") / F.col("plays"), 6))
 
 
-def graph_nodes(plays: DataFrame, min_plays: int = 300) -> DataFrame:
+def graph_nodes(plays: DataFrame, min_plays: int = 300, by: tuple[str, ...] = ()) -> DataFrame:
     """Artists with enough plays: total, peak year (ties to the latest) and years of five plays or more."""
-    years = keyed(plays).groupBy("akey", "year").agg(F.count("*").alias("n"))
-    out = years.groupBy("akey").agg(F.sum("n").alias("plays"), F.max(F.struct("n", "year")).alias("peak"), F.sum((F.col("n") >= 5).cast("int")).alias("active_years"))
-    return out.where(F.col("plays") >= min_plays).select("akey", "plays", F.col("peak.year").alias("peak_year"), "active_years")
+    years = keyed(plays).groupBy(*by, "akey", "year").agg(F.count("*").alias("n"))
+    out = years.groupBy(*by, "akey").agg(F.sum("n").alias("plays"), F.max(F.struct("n", "year")).alias("peak"), F.sum((F.col("n") >= 5).cast("int")).alias("active_years"))
+    return out.where(F.col("plays") >= min_plays).select(*by, "akey", "plays", F.col("peak.year").alias("peak_year"), "active_years")

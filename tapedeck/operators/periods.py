@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapedeck.functions.columns import fold, is_skip, js_round, local_time
-from tapedeck.operators.history import SONG, keyed
+from tapedeck.operators.history import SONG, _first, keyed, same
 
 def _skipped():
     return F.sum(is_skip(F.col("reason_end")).cast("int"))
@@ -22,8 +22,8 @@ def _between(as_of: str, first: int, last: int):
     return (F.col("ts") >= _at(as_of, first)) & (F.col("ts") < _at(as_of, last))
 
 
-def skip_counts(plays: DataFrame, *, as_of: str, days: int = 90) -> DataFrame:
-    return plays.where(_between(as_of, days, 0) & is_skip(F.col("reason_end"))).groupBy("uri").agg(F.count("*").alias("skips"))
+def skip_counts(plays: DataFrame, *, as_of: str, days: int = 90, by: tuple[str, ...] = ()) -> DataFrame:
+    return plays.where(_between(as_of, days, 0) & is_skip(F.col("reason_end"))).groupBy(*by, "uri").agg(F.count("*").alias("skips"))
 
 
 def canonical_uris(plays: DataFrame) -> DataFrame:
@@ -82,51 +82,52 @@ def track_details(plays: DataFrame, min_plays: int = 1) -> DataFrame:
     return out.select(*SONG, "plays", "minutes", "first_play", "last_play", "uri", (F.col("peak.year") * 100 + F.col("peak.month")).alias("peak_month"), F.round(F.col("s") / F.col("plays"), 6).alias("skip_rate"), F.round(F.col("d") / F.col("plays"), 6).alias("completion_rate"), F.round(F.col("all_s") / F.col("all_n"), 6).alias("overall_skip_rate"))
 
 
-def artist_details(plays: DataFrame) -> DataFrame:
+def artist_details(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """For every artist: totals, different songs and albums, first and last play and most played song."""
     k = keyed(plays)
-    songs = k.groupBy("akey", "tkey").agg(F.count("*").alias("n")).groupBy("akey").agg(F.count("*").alias("songs"), F.max_by("tkey", F.struct(F.col("n"), F.col("tkey"))).alias("top_song"))
-    return k.groupBy("akey").agg(F.count("*").alias("plays"), F.sum("minutes").alias("minutes"), F.countDistinct("album_name").alias("albums"), F.min("ts").alias("first_play"), F.max("ts").alias("last_play")).join(songs, "akey")
+    songs = k.groupBy(*by, "akey", "tkey").agg(F.count("*").alias("n")).groupBy(*by, "akey").agg(F.count("*").alias("songs"), F.max_by("tkey", F.struct(F.col("n"), F.col("tkey"))).alias("top_song"))
+    totals = k.groupBy(*by, "akey").agg(F.count("*").alias("plays"), F.sum("minutes").alias("minutes"), F.countDistinct("album_name").alias("albums"), F.min("ts").alias("first_play"), F.max("ts").alias("last_play"))
+    return same(totals, songs, [*by, "akey"])
 
 
-def week_top(plays: DataFrame, *, as_of: str, n: int = 5) -> DataFrame:
-    week = keyed(plays).where(_between(as_of, 7, 0)).groupBy(*SONG).agg(F.count("*").alias("plays"), F.round(_skipped() / F.count("*"), 6).alias("skip_rate"))
-    return week.orderBy(F.desc("plays"), *SONG).limit(n)
+def week_top(plays: DataFrame, *, as_of: str, n: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    week = keyed(plays).where(_between(as_of, 7, 0)).groupBy(*by, *SONG).agg(F.count("*").alias("plays"), F.round(_skipped() / F.count("*"), 6).alias("skip_rate"))
+    return _first(week, n, by, SONG)
 
 
-def artist_deltas(plays: DataFrame, *, as_of: str, top: int = 50) -> DataFrame:
+def artist_deltas(plays: DataFrame, *, as_of: str, top: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
     """The most played artists of 30 days, with the change against the 30 days before and whether they rise or fall."""
     now = F.col("ts") >= _at(as_of, 30)
-    a = keyed(plays).where(_between(as_of, 60, 0)).groupBy("akey").agg(F.sum(now.cast("int")).alias("plays"), F.sum((~now).cast("int")).alias("prior"), js_round((F.sum(F.when(now, F.col("minutes")).otherwise(-F.col("minutes")))) / 60, 1).alias("hours_delta"))
-    a = a.where("plays > 0").orderBy(F.desc("plays"), "akey").limit(top)
+    a = keyed(plays).where(_between(as_of, 60, 0)).groupBy(*by, "akey").agg(F.sum(now.cast("int")).alias("plays"), F.sum((~now).cast("int")).alias("prior"), js_round((F.sum(F.when(now, F.col("minutes")).otherwise(-F.col("minutes")))) / 60, 1).alias("hours_delta"))
+    a = _first(a.where("plays > 0"), top, by, ["akey"])
     delta = F.col("plays") - F.col("prior")
-    return a.select("akey", "plays", delta.alias("delta"), "hours_delta", F.when(delta > 0, "rising").when(delta < 0, "falling").otherwise("steady").alias("trend"))
+    return a.select(*by, "akey", "plays", delta.alias("delta"), "hours_delta", F.when(delta > 0, "rising").when(delta < 0, "falling").otherwise("steady").alias("trend"))
 
 
-def skip_rate_wow(plays: DataFrame, *, as_of: str) -> DataFrame:
+def skip_rate_wow(plays: DataFrame, *, as_of: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Skip rates of the last week and the one before."""
     now, skip = F.col("ts") >= _at(as_of, 7), is_skip(F.col("reason_end")).cast("int")
-    return plays.where(_between(as_of, 14, 0)).agg(F.round(F.avg(F.when(now, skip)), 6).alias("this_week"), F.round(F.avg(F.when(~now, skip)), 6).alias("last_week"))
+    return plays.where(_between(as_of, 14, 0)).groupBy(*by).agg(F.round(F.avg(F.when(now, skip)), 6).alias("this_week"), F.round(F.avg(F.when(~now, skip)), 6).alias("last_week"))
 
 
-def new_entries(plays: DataFrame, *, year: int, month: int) -> DataFrame:
+def new_entries(plays: DataFrame, *, year: int, month: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Songs first heard in that month."""
-    songs = keyed(plays).groupBy(*SONG).agg(F.min(F.col("year") * 100 + F.col("month")).alias("first"), F.count("*").alias("plays"))
+    songs = keyed(plays).groupBy(*by, *SONG).agg(F.min(F.col("year") * 100 + F.col("month")).alias("first"), F.count("*").alias("plays"))
     return songs.where(F.col("first") == year * 100 + month).drop("first")
 
 
-def daylight_bands(plays: DataFrame) -> DataFrame:
+def daylight_bands(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     h = F.col("local_hour")
     band = F.when(h < 6, "night").when(h < 12, "morning").when(h < 18, "afternoon").otherwise("evening")
-    return plays.groupBy(band.alias("band")).agg(F.count("*").alias("plays"))
+    return plays.groupBy(*by, band.alias("band")).agg(F.count("*").alias("plays"))
 
 
-def listening_by_month(plays: DataFrame) -> DataFrame:
-    return plays.groupBy("year", "month").agg(F.count("*").alias("plays"), F.sum("minutes").alias("minutes"))
+def listening_by_month(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return plays.groupBy(*by, "year", "month").agg(F.count("*").alias("plays"), F.sum("minutes").alias("minutes"))
 
 
-def heatmap(plays: DataFrame) -> DataFrame:
-    return plays.groupBy(local_time(F.col("ts")).cast("date").alias("day")).agg(F.count("*").alias("plays"))
+def heatmap(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return plays.groupBy(*by, local_time(F.col("ts")).cast("date").alias("day")).agg(F.count("*").alias("plays"))
 
 
 def rolling_windows(plays: DataFrame, *, as_of: str) -> DataFrame:

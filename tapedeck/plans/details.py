@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapedeck.operators import details as d
+from tapedeck.operators import history as h
 from tapedeck.operators import periods as p
 from tapedeck.plans.periods import ERAS, LOCAL, SKIP
 from tapedeck.sources.bridge import NAMED_SQL, PLAYS_SQL, named_plays, plays
@@ -107,3 +108,26 @@ PROFILES = """, sess AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY
  SELECT y.akey, years, years_in_top, years_in_top >= 3 AS core, tracks, companions FROM (SELECT akey, string_agg(year || ':' || n, '|' ORDER BY year) AS years, sum((k <= 3)::INT)::BIGINT AS years_in_top FROM y GROUP BY akey) y
  JOIN (SELECT akey, string_agg(tkey || ':' || n || ':' || strftime(last, '%Y-%m-%d %H:%M:%S'), '|' ORDER BY k) AS tracks FROM t GROUP BY akey) USING (akey) LEFT JOIN (SELECT akey, string_agg(companion || ':' || n, '|' ORDER BY n DESC, companion) AS companions FROM near GROUP BY akey) USING (akey)"""
 JOBS = {name: (job, PLAYS_SQL + sql) for name, (job, sql) in LONG.items()} | {"d16_artist_profiles": (_profiles, NAMED_SQL + PROFILES)}
+
+
+def _each(job, **how):
+    return _of(job, by=("user_id",), **how)
+
+
+_RANK = "row_number() OVER (PARTITION BY user_id ORDER BY plays DESC, tkey, akey)::INT AS rank"
+LISTENERS = {
+    "d05_monthly_top_by_listener": (_each(h.monthly_top, n=2), "SELECT * FROM (SELECT user_id, year, month, tkey, akey, count(*) AS plays, row_number() OVER (PARTITION BY user_id, year, month ORDER BY count(*) DESC, tkey, akey)::INT AS rank FROM plays GROUP BY user_id, year, month, tkey, akey) WHERE rank <= 2"),
+    "d06_lost_favorites_by_listener": (
+        _each(h.lost_favorites, as_of="2001-11-05", min_plays=2, years_gone=0.25, limit=3),
+        f""", u AS (SELECT user_id, tkey, akey, uri, year, month, count(*) AS n, max(ts) AS last FROM plays GROUP BY ALL), m AS (SELECT user_id, tkey, akey, max((n, year, month)) AS peak FROM (SELECT user_id, tkey, akey, year, month, sum(n)::BIGINT AS n FROM u GROUP BY ALL) GROUP BY ALL),
+ s AS (SELECT user_id, tkey, akey, sum(n)::BIGINT AS plays, max(last) AS last_played, max((n, uri))[2] AS uri FROM (SELECT user_id, tkey, akey, uri, sum(n) AS n, max(last) AS last FROM u GROUP BY ALL) GROUP BY ALL)
+ SELECT user_id, tkey, akey, plays, last_played, uri, peak[2] AS peak_year, peak[3] AS peak_month, peak[1] AS peak_plays, {_RANK} FROM s JOIN m USING (user_id, tkey, akey) WHERE plays >= 2 AND last_played < TIMESTAMP '2001-11-06' - to_seconds(0.25 * 365.25 * 86400) QUALIFY rank <= 3""",
+    ),
+    "d10_skip_penalized_by_listener": (_each(h.skip_penalized, as_of="1995-06-01", days=3000, least=1, under_ms=200_000), "SELECT user_id, uri, count(*) AS skips FROM plays WHERE ts >= TIMESTAMP '1995-06-01' - INTERVAL 3000 DAY AND reason_end = 'fwdbtn' AND ms_played < 200000 GROUP BY ALL"),
+    "d17_lifetime_totals_by_listener": (_each(h.lifetime_totals), "SELECT user_id, count(*) AS plays, count(DISTINCT (track_name, artist_name)) AS songs, count(DISTINCT artist_name) AS artists, min(ts) AS first_play, max(ts) AS last_play FROM plays GROUP BY 1"),
+    "d21_discovery_by_listener": (_each(h.discovery_by_year), "SELECT user_id, year, count(*) AS new_songs FROM (SELECT user_id, tkey, akey, min(year) AS year FROM plays GROUP BY ALL) GROUP BY ALL"),
+    "d22_concentration_by_listener": (_each(h.concentration_by_year, k=3), "SELECT user_id, year, round(sum(CASE WHEN k <= 3 THEN n ELSE 0 END) / sum(n), 6) AS share FROM (SELECT user_id, year, tkey, akey, count(*) AS n, row_number() OVER (PARTITION BY user_id, year ORDER BY count(*) DESC, tkey, akey) AS k FROM plays GROUP BY user_id, year, tkey, akey) GROUP BY user_id, year"),
+    "d27_never_stale_core_by_listener": (_each(h.never_stale_core, top=2, years=3), "SELECT user_id, akey, count(*) AS years_in_top FROM (SELECT user_id, year, akey, row_number() OVER (PARTITION BY user_id, year ORDER BY count(*) DESC, akey) AS k FROM plays GROUP BY user_id, year, akey) WHERE k <= 2 GROUP BY user_id, akey HAVING count(*) >= 3"),
+    "d16_artist_details_by_listener": (_each(p.artist_details), "SELECT a.*, songs, top_song FROM (SELECT user_id, akey, count(*) AS plays, sum(minutes) AS minutes, count(DISTINCT album_name) AS albums, min(ts) AS first_play, max(ts) AS last_play FROM plays GROUP BY ALL) a JOIN (SELECT user_id, akey, count(*) AS songs, max((n, tkey))[2] AS top_song FROM (SELECT user_id, akey, tkey, count(*) AS n FROM plays GROUP BY ALL) GROUP BY ALL) b ON a.akey = b.akey AND a.user_id = b.user_id"),
+}
+JOBS |= {name: (job, PLAYS_SQL + sql) for name, (job, sql) in LISTENERS.items()}
