@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 HISTORY = "ts string, platform string, ms_played long, conn_country string, master_metadata_track_name string, master_metadata_album_artist_name string, master_metadata_album_album_name string, spotify_track_uri string, episode_name string, audiobook_title string, reason_start string, reason_end string, shuffle boolean, offline boolean"
@@ -35,8 +37,40 @@ def read_streaming_history(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_plays(plays: DataFrame, path: str) -> None:
-    plays.write.mode("overwrite").partitionBy("year", "month").parquet(path)
+PLAYS = "ts timestamp, platform string, ms_played long, conn_country string, track_name string, artist_name string, album_name string, uri string, reason_start string, reason_end string, shuffle boolean, offline boolean, hour int, local_hour int, minutes double, year int, month int"
+
+
+def read_plays(spark: SparkSession, path: str, *, format: str = "parquet") -> DataFrame:
+    """Stored plays, as Parquet or as JSON lines, in folders of years and months, so that filters on these skip folders."""
+    if format == "parquet":
+        return spark.read.parquet(path)
+    return spark.read.schema(PLAYS).format(format).load(path)
+
+
+def write_plays(plays: DataFrame, path: str, *, format: str = "parquet", months_only: bool = False, expect: int | None = None) -> None:
+    """Writes plays in folders of years and months, over all that is there or, with months_only, over the months that plays has.
+
+    With `expect` the rows are first written beside path, where they are counted, and copied from there if they are as many; if
+    not, ValueError is raised and path stays as it was. The folder beside is removed either way."""
+
+    def write(df: DataFrame, to: str, mode: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("year", "month").format(format).save(to)
+
+    mode = "dynamic" if months_only else "static"
+    if expect is None:
+        write(plays, path, mode)
+        return
+    spark, beside, written = plays.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}.staged", Observation("written")
+    try:
+        write(plays.observe(written, F.count(F.lit(1)).alias("rows")), beside, "static")
+        if (rows := written.get["rows"]) != expect:
+            raise ValueError(f"{rows} rows were written for {path}, {expect} were expected")
+        # with no rows there are no folders to tell years and months from
+        staged = spark.read.schema(plays.schema).format(format).load(beside) if rows else plays.limit(0)
+        write(staged.select(*plays.columns), path, mode)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(beside)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 ACTIVITY = ("Event Type", "Container Artist Name", "End Reason Type", "Event End Timestamp", "Media Type", "Play Duration Milliseconds", "Song Name", "Album Name")
@@ -103,13 +137,13 @@ def prune(df: DataFrame, ts: str, *, as_of: str, days: int) -> DataFrame:
     return df.where(F.col(ts) >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
 
 
-def publish(df: DataFrame, path: str, as_of: str) -> None:
-    """Writes df as the snapshot of a day."""
-    df.write.mode("overwrite").parquet(f"{path}/as_of={as_of}")
+def publish(df: DataFrame, path: str, as_of: str, *, format: str = "parquet") -> None:
+    """Writes df as the snapshot of a day, over that day's earlier one."""
+    df.write.mode("overwrite").format(format).save(f"{path}/as_of={as_of}")
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The latest snapshot."""
-    df = spark.read.parquet(path)
+def latest(spark: SparkSession, path: str, *, format: str = "parquet") -> DataFrame:
+    """The latest snapshot; the other days' folders are left out when the join's days are known."""
+    df = spark.read.format(format).load(path)
     newest = df.agg(F.max("as_of").alias("as_of"))
     return df.join(F.broadcast(newest), "as_of")
