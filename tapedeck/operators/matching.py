@@ -11,9 +11,12 @@ from pyspark.sql.window import Window
 from tapedeck.functions.columns import fold
 
 
-def union_plays(*plays: DataFrame) -> DataFrame:
-    out = plays[0]
-    for p in plays[1:]:
+def union_plays(*plays: DataFrame, **sources: DataFrame) -> DataFrame:
+    """All plays under the columns of any of them, null where one lacks a column. Plays given by name are told apart by a column
+    source, over whatever stood there."""
+    parts = [*plays, *[p.withColumn("source", F.lit(name)) for name, p in sources.items()]]
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
 
@@ -93,8 +96,11 @@ def match_review(matches: DataFrame, plays: DataFrame, status: str = "review") -
 
 
 def match_retry_queue(matches: DataFrame, *, as_of: str, days: int = 30) -> DataFrame:
-    old = matches.where(F.col("status").isin("unmatched", "review") & (F.col("attempted_at") < F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))))
-    return old.withColumn("try_isrc", (F.col("attempts") < 3) & F.col("isrc").isNull() & F.col("track_id").isNotNull())
+    """Matches without a sure result whose last attempt lies more than `days` back or never was, and whether an ISRC is to be looked up
+    first: with an id, without an ISRC, after fewer than three attempts (null: none)."""
+    before = F.col("attempted_at") < F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
+    old = matches.where(F.col("status").isin("unmatched", "review") & F.coalesce(before, F.lit(True)))
+    return old.withColumn("try_isrc", (F.coalesce("attempts", F.lit(0)) < 3) & F.col("isrc").isNull() & F.col("track_id").isNotNull())
 
 
 def city_stats(plays: DataFrame, places: DataFrame, *, trusted: str = "iOS", most: int = 5_000_000) -> DataFrame:
