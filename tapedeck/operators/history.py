@@ -127,7 +127,8 @@ def concentration_by_year(plays: DataFrame, k: int = 100, by: tuple[str, ...] =
     rank = F.row_number().over(Window.partitionBy(*years).orderBy(F.desc("n"), *SONG))
     # a limit of rank alone is met before the shuffle, so no year is sorted whole
     top = counts.withColumn("rank", rank).where(F.col("rank") <= k).groupBy(*years).agg(F.sum("n").alias("top"))
-    totals = plays.groupBy(*years).agg(F.count("*").alias("n"))
+    # counts of songs are summed up, not plays
+    totals = counts.groupBy(*years).agg(F.sum("n").alias("n"))
     return same(totals, top, years).select(*years, F.round(F.col("top") / F.col("n"), 6).alias("share"))
 
 
