@@ -50,36 +50,110 @@ def match_cache_key(track_id: Column, song: Column, artist: Column, album: Colum
     return F.when(track_id.isNotNull(), F.concat(F.lit("apple:"), track_id)).otherwise(F.concat(F.lit("text:"), F.sha1(text)))
 
 
+def sorted_words(c: Column) -> Column:
+    """The words (letters and digits) of a lower-cased text in order, one blank between them."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+    return F.array_join(F.array_sort(words), " ")
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest sequence of letters that both texts hold in order; a bit for each letter of a."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every = free = (1 << len(a)) - 1
+    for c in b:
+        hit = free & at.get(c, 0)
+        free = (free + hit | free - hit) & every
+    return len(a) - free.bit_count()
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    from difflib import SequenceMatcher
+    pairs = pd.Series(list(zip(a, b, strict=True)))
+    known = {(x, y): (200 * common_length(x, y) + (len(x) + len(y)) / 2) // (len(x) + len(y)) / 100 if x and y else 0.0 for x, y in pairs.unique()}
+    return pairs.map(known).astype("float64")
+
 
-    words = [" ".join(sorted(s.lower().split())) if s is not None else "" for s in [*a, *b]]
-    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(words[: len(a)], words[len(a) :], strict=True)])
+def word_ratio(a: Column, b: Column) -> Column:
+    """How alike two texts are whatever the order of their words, 0 to 1 in hundredths: twice the letters that both hold in
+    order, to all letters; 0 if either is null or without words."""
+    return _ratio(sorted_words(a), sorted_words(b))
 
 
 def score_matches(pairs: DataFrame) -> DataFrame:
-    """pairs (track, artist, duration_ms, other_track, other_artist, other_duration_ms) with confidence: 0.6 title,
-    0.3 artist (alike whatever the order of their words) and 0.1 duration: 1 within 3 s, 0 from 30 s on, 0.5 if unknown."""
-    off = F.abs(F.col("duration_ms") - F.col("other_duration_ms")) / 1000
-    duration = F.when(off.isNull(), 0.5).when(off <= 3, 1.0).when(off >= 30, 0.0).otherwise(1 - (off - 3) / 27)
-    return pairs.withColumn("confidence", 0.6 * _ratio("track", "other_track") + 0.3 * _ratio("artist", "other_artist") + 0.1 * duration)
+    """pairs (track, artist, duration_ms, other_track, other_artist, other_duration_ms) with confidence in hundredths: 0.6 title,
+    0.3 artist (word_ratio) and 0.1 duration: 1 within 3 s, 0 from 30 s on, 0.5 if either is unknown or the first is 0."""
+    off = F.abs(F.nullif(F.col("duration_ms"), F.lit(0)) - F.col("other_duration_ms")) / 1000
+    duration = F.when(off.isNull(), 0.5).when(off <= 3, 1.0).when(off > 30, 0.0).otherwise(1 - (off - 3) / 27)
+    confidence = 0.6 * word_ratio(F.col("track"), F.col("other_track")) + 0.3 * word_ratio(F.col("artist"), F.col("other_artist")) + 0.1 * duration
+    return pairs.withColumn("confidence", F.floor(confidence * 100 + 0.5) / 100)
+
+
+#: Title words by which a track looks for its matches, the rarest of the catalog's first, and how many first letters of the sorted words are a key.
+RAREST, BEGINNING = 2, 4
+
+
+def _words(df: DataFrame, id: str) -> DataFrame:
+    return df.select(id, F.explode(F.array_distinct(F.split(sorted_words(F.col("track")), " "))).alias("word")).where("word <> ''")
+
+
+def match_pairs(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Pairs (key, uri), each once, of tracks (key, track, artist) and recordings of a catalog (uri, track, artist) worth
+    comparing: those that share one of the track's RAREST title words (rare in the catalog; words that it lacks don't count),
+    those whose sorted title words begin with the same BEGINNING letters, and those by the same artist whose titles begin with
+    the same letter, so that a title misspelt at its start or in its rare words still meets its own. A word that much of
+    the catalog has is looked for only in titles that hold no rarer ones; joins on hot words are left to adaptive skew handling.
+    """
+    has = _words(catalog, "uri")
+    often = has.groupBy("word").agg(F.count("*").alias("n"))
+    asked = _words(tracks, "key").join(often, "word")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "word"))
+    by_word = asked.withColumn("r", rank).where(F.col("r") <= RAREST).join(has, "word").select("key", "uri")
+
+    def keys(df: DataFrame, id: str) -> DataFrame:
+        title, artist = F.replace(sorted_words(F.col("track")), F.lit(" "), F.lit("")), F.nullif(sorted_words(F.col("artist")), F.lit(""))
+        first = F.substring(F.lower(F.trim("track")), 1, 1)
+        both = F.array(F.concat(F.lit("t:"), F.nullif(F.substring(title, 1, BEGINNING), F.lit(""))), F.concat(F.lit("a:"), artist, F.lit("/"), first))
+        return df.select(id, F.explode(F.array_compact(both)).alias("block"))
+
+    by_block = keys(tracks, "key").join(keys(catalog, "uri"), "block").select("key", "uri")
+    return by_word.unionByName(by_block).distinct()
 
 
 def match_catalog(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """tracks (key, isrc, track, artist, duration_ms) with the catalog's best uri: the same ISRC, else the likeliest
-    text match among titles whose sorted words start alike; matched from 0.9, review from 0.7, else unmatched."""
+    """tracks (key, isrc, track, artist, duration_ms) with uri, confidence and status of their best match in the catalog (isrc, uri,
+    track, artist, duration_ms): the same ISRC (confidence 1, the least uri), else the likeliest of match_pairs (of equal ones
+    the greatest uri), which tracks without an artist don't get. matched from 0.9, review from 0.7, else unmatched; without
+    anything to compare uri and confidence are null. Tracks and recordings of the same text are compared once."""
     by_isrc = tracks.where("isrc is not null").join(catalog.where("isrc is not null").groupBy("isrc").agg(F.min("uri").alias("uri")), "isrc").select("key", "uri", F.lit(1.0).alias("confidence"))
     rest = tracks.where("coalesce(artist, '') <> ''").join(by_isrc.select("key"), "key", "left_anti")
-    block = F.substring(F.regexp_replace(F.array_join(F.array_sort(F.split(fold(F.col("track")), " ")), ""), "[^a-z0-9]", ""), 1, 4)
-    other = catalog.select(F.col("uri"), F.col("track").alias("other_track"), F.col("artist").alias("other_artist"), F.col("duration_ms").alias("other_duration_ms"), block.alias("block"))
-    scored = score_matches(rest.withColumn("block", block).join(other, "block"))
-    best = scored.groupBy("key").agg(F.max(F.struct("confidence", "uri")).alias("b")).select("key", "b.uri", "b.confidence")
-    found = by_isrc.unionByName(best)
+    text = F.struct("track", "artist", "duration_ms")
+    asked = rest.groupBy(text.alias("t")).agg(F.min("key").alias("first")).select(F.col("first").alias("key"), "t.*")
+    known = catalog.groupBy(text.alias("t")).agg(F.max("uri").alias("uri")).select("uri", "t.*")
+    other = known.select("uri", *[F.col(c).alias(f"other_{c}") for c in ("track", "artist", "duration_ms")])
+    scored = score_matches(match_pairs(asked, known).join(asked, "key").join(other, "uri"))
+    best = scored.groupBy("track", "artist", "duration_ms").agg(F.max(F.struct("confidence", "uri")).alias("b"))
+    same = F.col("t.track").eqNullSafe(F.col("b.track")) & (F.col("t.artist") == F.col("b.artist")) & F.col("t.duration_ms").eqNullSafe(F.col("b.duration_ms"))
+    by_text = rest.alias("t").join(best.alias("b"), same).select("t.key", "b.b.uri", "b.b.confidence")
+    found = by_isrc.unionByName(by_text)
     status = F.when(F.col("confidence") >= 0.9, "matched").when(F.col("confidence") >= 0.7, "review").otherwise("unmatched")
     return tracks.join(found, "key", "left").withColumn("status", status)
 
 
+def confirm_matches(matches: DataFrame, chosen: DataFrame, *, at: str) -> DataFrame:
+    """matches (key, uri, track_name, artist_name, album_name, duration_ms, status, method, confidence, reviewed, attempted_at, ...) with
+    what people chose (key, uri, track_name, artist_name, album_name, duration_ms): status and method manual, confidence 1,
+    reviewed, attempted now. Choices of keys without a row do nothing; of several of one key the greatest uri stands.
+    `apply_matches` takes the result to the plays."""
+    names = ("uri", "track_name", "artist_name", "album_name", "duration_ms")
+    picks = chosen.groupBy("key").agg(F.max(F.struct(*names)).alias("pick"))
+    fixed = {"status": F.lit("manual"), "method": F.lit("manual"), "confidence": F.lit(1.0), "reviewed": F.lit(True), "attempted_at": F.lit(at).cast("timestamp")}
+    values = {**{n: F.col("pick")[n] for n in names}, **fixed}
+    out = matches.join(picks, "key", "left")
+    return out.select(*[F.when(F.col("pick").isNotNull(), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in matches.columns])
+
+
 def apply_matches(plays: DataFrame, matches: DataFrame) -> DataFrame:
     """plays whose names and uri are the matched ones where there are any; the originals stay in original_*."""
     columns = ("track_name", "artist_name", "uri")
@@ -103,7 +177,7 @@ def match_retry_queue(matches: DataFrame, *, as_of: str, days: int = 30) -> Data
     return old.withColumn("try_isrc", (F.coalesce("attempts", F.lit(0)) < 3) & F.col("isrc").isNull() & F.col("track_id").isNotNull())
 
 
-def city_stats(plays: DataFrame, places: DataFrame, *, trusted: str = "iOS", most: int = 5_000_000) -> DataFrame:
+def city_stats(plays: DataFrame, places: DataFrame, *, trusted: str = "iOS", most: int = 100_000) -> DataFrame:
     """Plays, days, hours, first and last play of each city; only one platform's addresses are trusted. Places are
     broadcast up to `most` rows."""
     known = F.broadcast(places) if places.count() <= most else places
@@ -111,17 +185,36 @@ def city_stats(plays: DataFrame, places: DataFrame, *, trusted: str = "iOS", mos
     return here.groupBy("city").agg(F.count("*").alias("plays"), F.countDistinct(F.col("ts").cast("date")).alias("days"), F.round(F.sum("minutes") / 60, 4).alias("hours"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
-SEASONS = ("winter", "spring", "summer", "fall", "autumn")
-
-
-def detect_seasonal(playlists: DataFrame, *, year: int) -> DataFrame:
-    """Playlists whose name holds a season, with the season and the year: of four digits, of two (14 to 30), the known one or this one."""
-    name = F.lower("name")
-    season = F.coalesce(*[F.when(name.contains(s), "fall" if s == "autumn" else s) for s in SEASONS])
+# Patterns of season names, of which the first that a name holds counts, and the months of each season.
+SEASONS = (("summer", r"\bwynter\b"), ("winter", r"\bwinter"), ("winter", r"\bbrrr"), ("spring", r"\bspring"), ("summer", r"\bsumm+er"), ("fall", r"\b(?:fall|autumn)"))
+MONTHS = {"winter": (12, 1, 2), "spring": (3, 4, 5), "summer": (6, 7, 8), "fall": (9, 10, 11)}
+
+
+def detect_seasonal(playlists: DataFrame, *, year: int, month: int | None = None, known: DataFrame | None = None, owner: str | None = None, without: tuple[str, ...] = (), without_ids: tuple[str, ...] = ()) -> DataFrame:
+    """Playlists (name, ...) whose name begins a word with a season, with the season and the year: of four digits in the name, of
+    two (14 to 30), that of `known` (playlist_id, year) or of a column known_year, or this one. With `month`, is_current says
+    whether it is this year's season now. Kept out: playlists of owners (owner_id) other than `owner`, names that hold a pattern
+    of `without` in any case, and ids (playlist_id) of `without_ids`. A null name is no season's."""
+    df = playlists
+    if owner is not None:
+        df = df.where(F.col("owner_id") == owner)
+    if without_ids:
+        df = df.where(~F.coalesce(F.col("playlist_id").isin(*without_ids), F.lit(False)))
+    for p in without:
+        df = df.where(~F.col("name").rlike(f"(?i){p}"))
+    season = F.coalesce(*[F.when(F.col("name").rlike(f"(?i){p}"), s) for s, p in SEASONS])
     four, two = F.regexp_extract("name", r"\b(20\d\d)\b", 1), F.regexp_extract("name", r"(?:^|\D)(1[4-9]|2\d|30)(?:\D|$)", 1)
     found = F.when(four != "", four.cast("int")).when(two != "", two.cast("int") + 2000)
-    known = F.col("known_year") if "known_year" in playlists.columns else F.lit(None).cast("int")
-    return playlists.withColumn("season", season).where("season is not null").withColumn("year", F.coalesce(found, known, F.lit(year)))
+    earlier = F.col("known_year") if "known_year" in df.columns else F.lit(None).cast("int")
+    df = df.withColumn("season", season).where("season is not null")
+    if known is not None:
+        df = df.join(known.groupBy("playlist_id").agg(F.max("year").alias("_year")), "playlist_id", "left")
+        earlier = F.coalesce("_year", earlier)
+    df = df.withColumn("year", F.coalesce(found, earlier, F.lit(year)))
+    if month is not None:
+        now = next(s for s, months in MONTHS.items() if month in months)
+        df = df.withColumn("is_current", (F.col("season") == now) & (F.col("year") == year))
+    return df.drop("_year")
 
 
 def validate_submissions(df: DataFrame) -> DataFrame:
