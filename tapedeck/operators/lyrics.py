@@ -70,34 +70,55 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, k:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn_table(vectors: DataFrame, *, id: str, vector: str, k: int = 10, block_rows: int = 2048) -> DataFrame:
-    """The k vectors most alike (cosine) to each vector of a table: query, match, cosine, rank.
+def knn_table(vectors: DataFrame, *, id: str, vector: str, k: int = 10, block_rows: int = 4096) -> DataFrame:
+    """The k vectors most alike (cosine) to each vector of a table, exactly: query, match, cosine, rank.
 
-    Vectors are dealt into blocks; each two blocks meet in a task of their own, which keeps k matches of each query, so
-    no task holds more than two blocks and a query's final ranking has k rows for each block. A zero vector is like nothing (0).
+    Vectors are dealt into blocks of about `block_rows`, and each two blocks meet once, in a task that answers for both: a
+    vector is shipped once for each block, and no task holds more than two. Of each meeting a vector keeps k matches,
+    and Spark ranks what it kept. A zero vector is like nothing (0); null vectors have no rows and match nothing.
     """
+    vectors = vectors.where(F.col(vector).isNotNull())
     blocks = 1 + vectors.count() // block_rows
     placed = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id), F.lit(blocks)).alias("block"))
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    sides = other.select(F.col("block").alias("x"), F.col("other").alias("y"), F.lit(True).alias("asks"), "id", "v").unionByName(other.select(F.col("other").alias("x"), F.col("block").alias("y"), F.lit(False).alias("asks"), "id", "v"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = met.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("own"), "id", "v")
+
+    def unit(rows):
+        a = np.array(rows["v"].tolist(), np.float64)
+        return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+
+    def asked(q, a, m, b):
+        """For each row of q its k best of m, whose ids ascend; some hundred rows at a time."""
+        ids, mine = m["id"].to_numpy(), q["id"].to_numpy()
+        for i in range(0, len(mine), 512):
+            cosine = np.round(a[i : i + 512] @ b.T, 6)
+            cosine[mine[i : i + 512, None] == ids] = -2
+            if k < len(ids):
+                # all that reach the k-th value, then ties by id
+                low = np.partition(cosine, len(ids) - k, axis=1)[:, len(ids) - k, None]
+                row, at = np.nonzero(cosine >= low)
+            else:
+                row, at = np.nonzero(cosine > -2)
+            best = np.lexsort((at, -cosine[row, at], row))
+            row, at = row[best], at[best]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            good = (place < k) & (cosine[row, at] > -2)
+            row, at = row[good], at[good]
+            yield pd.DataFrame({"query": mine[i + row], "match": ids[at], "cosine": cosine[row, at]})
 
     def best(pdf):
-        q, m = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
-        if q.empty or m.empty:
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        sides = [pdf[pdf["own"] == n].sort_values("id") for n in ((x,) if x == y else (x, y))]
+        if any(s.empty for s in sides):
             return pd.DataFrame({"query": [], "match": [], "cosine": []})
-        a, b = (np.array(x["v"].tolist(), np.float64) for x in (q, m))
-        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-        ids, out = m["id"].to_numpy(), []
-        for query, row in zip(q["id"].to_numpy(), a, strict=True):
-            cosine = np.round(b @ row, 6)
-            cosine[ids == query] = -2
-            first = np.argsort(-cosine, kind="stable")[:k]
-            first = first[cosine[first] >= -1.5]
-            out.append(pd.DataFrame({"query": query, "match": ids[first], "cosine": cosine[first]}))
-        return pd.concat(out)
+        units = [unit(s) for s in sides]
+        found = [*asked(sides[0], units[0], sides[-1], units[-1])]
+        if x != y:
+            found += asked(sides[1], units[1], sides[0], units[0])
+        return pd.concat(found)
 
     kind = dict(vectors.dtypes)[id]
-    found = sides.groupBy("x", "y").applyInPandas(best, f"query {kind}, match {kind}, cosine double")
+    found = met.groupBy("x", "y").applyInPandas(best, f"query {kind}, match {kind}, cosine double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "match"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
