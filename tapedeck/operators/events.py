@@ -86,10 +86,18 @@ def top_affinities(affinities: DataFrame, *, least: int = 5, beyond: float = 0.1
     return strong.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def add_context_columns(df: DataFrame) -> DataFrame:
-    """daylight_phase from at, sunrise and sunset (timestamps), condition from weather_code (WMO)."""
+#: All dimensions of a snapshot that affinities may be learned for; DIMENSIONS are those of the test tables' snapshots.
+ALL_DIMENSIONS = (*DIMENSIONS, "device_type", "day_of_week", "calendar_category")
+
+
+def add_context_columns(df: DataFrame, zone: str = "America/New_York") -> DataFrame:
+    """daylight_phase from at, sunrise and sunset (timestamps), or from the local hour of at where one of those is null, and
+    condition from weather_code (WMO)."""
     t, rise, fall = (F.unix_timestamp(c) for c in ("at", "sunrise", "sunset"))
     phase = F.when(t < rise - 3600, "night").when(t < rise, "pre_dawn").when(t < rise + 10800, "morning").when(t < fall - 3600, "midday").when(t < fall, "golden_hour").when(t < fall + 1800, "dusk").otherwise("night")
+    hour = F.hour(F.from_utc_timestamp("at", zone))
+    by_hour = F.when(hour < 6, "night").when(hour < 8, "pre_dawn").when(hour < 11, "morning").when(hour < 17, "midday").when(hour < 19, "golden_hour").when(hour < 20, "dusk").otherwise("night")
+    phase = F.when(t.isNotNull() & (rise.isNull() | fall.isNull()), by_hour).otherwise(phase)
     c = F.col("weather_code")
     sky = F.when(c == 0, "clear").when(c <= 3, "partly_cloudy").when(c <= 48, "fog").when(c <= 57, "overcast").when(c <= 67, "rain").when(c <= 77, "snow").when(c <= 82, "rain").when(c <= 86, "snow").when(c >= 95, "thunderstorm").otherwise("overcast")
     return df.withColumns({"daylight_phase": phase, "condition": sky})

@@ -73,19 +73,29 @@ def era_buckets(nodes: DataFrame, n: int = 5) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def node_encodings(nodes: DataFrame, labelled: int = 8) -> DataFrame:
-    """Radius (3 to 24, by the root of plays), opacity (0.4 to 1, by active years) and whether a node has a label."""
+def node_encodings(nodes: DataFrame, labelled: int = 8, picks: tuple[str, ...] = (), most_picks: int = 2) -> DataFrame:
+    """Radius (3 to 24, by the root of plays), opacity (0.4 to 1, by active years) and whether a node has a label: the first
+    `most_picks` of the artists in `picks` (akey) that are nodes, and of the others those with most plays x active years."""
     span = nodes.agg(F.min(F.sqrt("plays")).alias("p0"), F.max(F.sqrt("plays")).alias("p1"), F.min("active_years").alias("y0"), F.max("active_years").alias("y1"))
     n = nodes.join(F.broadcast(span), how="cross")
 
     def share(x, low: str, high: str):
         return F.when(F.col(high) > F.col(low), (x - F.col(low)) / (F.col(high) - F.col(low))).otherwise(1.0)
 
-    best = nodes.orderBy(F.desc(F.col("plays") * F.col("active_years")), "akey").limit(labelled).select("akey", F.lit(True).alias("label"))
+    order = [F.desc(F.col("plays") * F.col("active_years")), F.col("akey")]
+    if picks:
+        place = F.array_position(F.array(*map(F.lit, picks)), F.col("akey"))
+        picked = nodes.where(F.col("akey").isin(*picks)).orderBy(place).limit(most_picks).select("akey", F.lit(True).alias("picked"))
+        nodes = nodes.join(F.broadcast(picked), "akey", "left")
+        order = [F.asc_nulls_last("picked"), *order]
+    best = nodes.orderBy(*order).limit(labelled).select("akey", F.lit(True).alias("label"))
     out = n.select("akey", F.round(3 + 21 * share(F.sqrt("plays"), "p0", "p1"), 4).alias("radius"), F.round(0.4 + 0.6 * share(F.col("active_years"), "y0", "y1"), 4).alias("opacity"))
     return out.join(F.broadcast(best), "akey", "left").withColumn("label", F.coalesce("label", F.lit(False)))
 
 
-def graph_stats(plays: DataFrame) -> DataFrame:
-    """What the graph stands on: plays, artists, recordings and the first day."""
-    return plays.agg(F.count("*").alias("plays"), F.countDistinct("artist_name").alias("artists"), F.countDistinct("uri").alias("tracks"), F.min("ts").cast("date").alias("first_day"))
+def graph_stats(plays: DataFrame, seasonal: DataFrame | None = None) -> DataFrame:
+    """What the graph stands on: plays, artists, recordings and the first day; with seasonal playlists (playlist_id), how many."""
+    out = plays.agg(F.count("*").alias("plays"), F.countDistinct("artist_name").alias("artists"), F.countDistinct("uri").alias("tracks"), F.min("ts").cast("date").alias("first_day"))
+    if seasonal is not None:
+        out = out.join(F.broadcast(seasonal.agg(F.countDistinct("playlist_id").alias("seasons"))), how="cross")
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tapedeck.operators import history as h
 from tapedeck.operators.sessions import sessionize
-from tapedeck.plans import details, events, explain, feeds, library, periods, planning, queues, recommend, versions
+from tapedeck.plans import dashboards, details, events, explain, feeds, library, periods, planning, queues, recommend, versions
 from tapedeck.sources.bridge import PLAYS_SQL, plays, short_plays
 
 AS_OF = "2001-11-05"
@@ -62,6 +62,6 @@ SHORT = {
  SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, play_id)) <= 720 * 60000000::BIGINT THEN 0 ELSE 1 END AS new FROM p)) GROUP BY user_id, session""",
     ),
 }
-WHOLE = {name: (job, PLAYS_SQL + sql) for name, (job, sql) in JOBS.items()} | {name: (job, SHORT_SQL + sql) for name, (job, sql) in SHORT.items()} | events.JOBS | periods.JOBS | library.JOBS | recommend.JOBS | planning.JOBS | feeds.JOBS | explain.JOBS | details.JOBS | queues.JOBS | versions.JOBS
+WHOLE = {name: (job, PLAYS_SQL + sql) for name, (job, sql) in JOBS.items()} | {name: (job, SHORT_SQL + sql) for name, (job, sql) in SHORT.items()} | events.JOBS | periods.JOBS | library.JOBS | recommend.JOBS | planning.JOBS | feeds.JOBS | explain.JOBS | details.JOBS | queues.JOBS | versions.JOBS | dashboards.JOBS
 QUERIES = {name: job for name, (job, _) in WHOLE.items()}
 SQL = {name: sql for name, (_, sql) in WHOLE.items() if sql}
