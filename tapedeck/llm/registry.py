@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from tapedeck.llm import collocations, ctw, decontaminate, lattice, licenses, near_dup, packing, pii, search, sharding, sql, suffixes, toxicity, windows
-from tapedeck.llm.common import table
+from tapedeck.llm.common import shared_dir, table
 
 
 def op1_ctw(spark, sf_dir):
@@ -40,7 +42,8 @@ def op8_packing(spark, sf_dir):
 
 
 def op9_sharding(spark, sf_dir):
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    # a store of its own: its versions hang on these records alone
+    return sharding.assign(table(spark, sf_dir, "documents"), store=f"{shared_dir(spark)}/shard-map-{uuid.uuid4().hex}")
 
 
 def op10_pii(spark, sf_dir):

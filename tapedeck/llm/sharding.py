@@ -79,19 +79,49 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> list
     return [r["shard"] for r in maps.where(F.col("version") == version).orderBy("virtual_slot").collect()]  # SLOTS rows
 
 
-def assign(docs: DataFrame, *, shards: int = 8, slots: int = SLOTS, mapping: list[int] | None = None) -> DataFrame:
+def latest(spark: SparkSession, path: str) -> int | None:
+    """The number of the latest stored version, None before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    # a version counts once its table is written whole
+    done = [f.getPath() for f in fs.listStatus(folder) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return max((int(p.getName().removeprefix("version=")) for p in done), default=None)
+
+
+def revise(spark: SparkSession, path: str, weights: dict[int, int], shards: int, slots: int = SLOTS) -> list[int]:
+    """The map to place records by, as stored in `path`: the latest version there (the even map, stored first, where there is none),
+    rebalanced for the weights, and stored as the next version if a slot moves."""
+    version = latest(spark, path)
+    if version is None:
+        version = 1
+        write_map(spark, even_map(shards, slots), path, version)
+    held = read_map(spark, path, version)
+    if len(held) != slots:
+        raise ValueError(f"the stored map has {len(held)} slots, not {slots}")
+    moved = rebalance(held, weights, max(shards, max(held) + 1))
+    if moved != held:
+        version += 1
+        write_map(spark, moved, path, version)
+    return read_map(spark, path, version)
+
+
+def assign(docs: DataFrame, *, shards: int = 8, slots: int = SLOTS, mapping: list[int] | None = None, store: str | None = None) -> DataFrame:
     """Each record's shard, under the law that shards hold nearly equal bytes.
 
     Takes doc_id and text; other columns are not looked at. Returns doc_id, size (UTF-8 bytes and 1; null text: 1),
     text_crc32, law, shard, slot (the record's place in its shard, gapless from 0), grown_shard (null: the map follows
-    bytes, not ids alone) and virtual_slot. `mapping` is the version to start from. Records without an id hash by
+    bytes, not ids alone) and virtual_slot. With `store`, a folder, the map is its latest version, edited for these records
+    and stored as the next one; else `mapping` is the version to start from, by default the even map. Records without an id hash by
     their text; repeated rows are records of their own; an empty table gives no rows.
     """
     spark = docs.sparkSession
     records = sized(docs, slots)
     weights = slot_bytes(records)
-    mapping = rebalance(mapping or even_map(shards, slots), {s: b for s, (b, _) in weights.items()}, shards)
-    base, filled = [], [0] * shards
+    loads = {s: b for s, (b, _) in weights.items()}
+    mapping = revise(spark, store, loads, shards, slots) if store else rebalance(mapping or even_map(shards, slots), loads, shards)
+    base, filled = [], [0] * (max(mapping) + 1)
     for s, shard in enumerate(mapping):
         base.append(filled[shard])
         filled[shard] += weights.get(s, (0, 0))[1]

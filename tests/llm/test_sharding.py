@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from tapedeck.llm import sharding
 from tests.llm.fixtures import SF, awkward, frame
 
@@ -42,3 +44,21 @@ def test_rebalance_moves_little_and_versions_are_kept(spark, tmp_path):
 
 def test_empty_table(spark):
     assert sharding.assign(frame(spark, [])).count() == 0
+
+
+def test_stored_versions_are_edited_in_turn(spark, tmp_path):
+    path = str(tmp_path / "maps")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert sharding.latest(spark, path) is None
+    first = {r.doc_id: (r.shard, r.slot) for r in sharding.assign(docs, store=path).collect()}
+    assert sharding.latest(spark, path) == 2 and sharding.read_map(spark, path, 1) == sharding.even_map(8)
+    assert first == {r.doc_id: (r.shard, r.slot) for r in sharding.assign(docs).collect()}
+    # the same records again: nothing moves, no new version
+    assert first == {r.doc_id: (r.shard, r.slot) for r in sharding.assign(docs, store=path).collect()} and sharding.latest(spark, path) == 2
+    # one more shard: few slots move, and those that stay keep their shard
+    grown = {r.doc_id: r.shard for r in sharding.assign(docs, shards=9, store=path).collect()}
+    assert sharding.latest(spark, path) == 3 and set(grown.values()) == set(range(9))
+    assert sum(grown[d] != s for d, (s, _) in first.items()) < len(first) / 4
+    with pytest.raises(ValueError):
+        sharding.assign(docs, slots=64, store=path)
+    assert sharding.assign(docs.limit(0), store=path).count() == 0 and sharding.latest(spark, path) == 3
