@@ -90,8 +90,9 @@ def score_matches(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("confidence", F.floor(confidence * 100 + 0.5) / 100)
 
 
-#: Title words by which a track looks for its matches, the rarest of the catalog's first, and how many first letters of the sorted words are a key.
-RAREST, BEGINNING = 2, 4
+#: Title words by which a track looks for its matches, the rarest of the catalog's first; of how many recordings a word is too
+#: common for that; and how many first letters of the sorted words are a key.
+RAREST, COMMON, BEGINNING = 1, 1000, 4
 
 
 def _words(df: DataFrame, id: str) -> DataFrame:
@@ -100,13 +101,13 @@ def _words(df: DataFrame, id: str) -> DataFrame:
 
 def match_pairs(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
     """Pairs (key, uri), each once, of tracks (key, track, artist) and recordings of a catalog (uri, track, artist) worth
-    comparing: those that share one of the track's RAREST title words (rare in the catalog; words that it lacks don't count),
+    comparing: those that share the track's RAREST title words (rare in the catalog, in COMMON recordings at most; words that it lacks don't count),
     those whose sorted title words begin with the same BEGINNING letters, and those by the same artist whose titles begin with
-    the same letter, so that a title misspelt at its start or in its rare words still meets its own. A word that much of
-    the catalog has is looked for only in titles that hold no rarer ones; joins on hot words are left to adaptive skew handling.
+    the same letter, so that a title misspelt at its start or in its rare words still meets its own. Titles of
+    common words alone meet by the other two; a track has COMMON partners by a word at most, so these joins stay linear.
     """
     has = _words(catalog, "uri")
-    often = has.groupBy("word").agg(F.count("*").alias("n"))
+    often = has.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") <= COMMON)
     asked = _words(tracks, "key").join(often, "word")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "word"))
     by_word = asked.withColumn("r", rank).where(F.col("r") <= RAREST).join(has, "word").select("key", "uri")
