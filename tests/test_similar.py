@@ -60,3 +60,20 @@ def test_empty_table_and_thresholds(spark):
     assert got(spark, [], 0.8) == set()
     with pytest.raises(ValueError):
         got(spark, [], 0)
+
+
+def test_words_of_texts_unlike_others_are_not_written(spark, monkeypatch):
+    """Shingles that one text has alone go into no table in between."""
+    written, cut = [], similar.cut
+
+    def seen(df):
+        out = cut(df)
+        lists = [c for c, t in out.dtypes if t.startswith("array")]
+        written.append(sum(1 + sum(len(r[c]) for c in lists) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(similar, "cut", seen)
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{r.randrange(50_000)}" for _ in range(300))) for i in range(50)]
+    assert got(spark, [*rows, (99, rows[7][1] + " end")], 0.8) == {(7, 99, round(296 / 297, 6), False)}
+    assert sum(written) < 51 * 300 / 10
