@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 
 from tapedeck.llm.common import blocks, renamed, stored, words_of
 
-#: Labelled rows to learn from, at most: those with the smallest hashes of their ids. Only the classifier and its
-#: character model rest on this sample; all texts are scored.
-MOST_ROWS = 12_000
+#: Labelled rows that may be broadcast (ids and labels, 16 bytes each); more are joined by a shuffle.
+MOST_IDS = 1_000_000
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
-#: A lexicon entry stands in so many toxic sample texts at least, and the lower bound of its share of them is so high.
+#: A lexicon entry stands in so many toxic labelled texts at least, and the lower bound of its share of them is so high.
 LEAST_TEXTS, LEAST_SHARE, Z = 5, 0.5, 1.645
 
 #: Characters that stand for letters (fixed values).
@@ -232,12 +231,31 @@ def design(e: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(e)), np.log1p(e[:, 0]), np.log1p(e[:, 1]), np.log1p(100 * e[:, 1] / np.maximum(e[:, 2], 1))], axis=1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
-    """Newton's method with a small penalty on all but the constant."""
-    w, pen = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
+def _newton_sums(w: np.ndarray):
+    """What a step of Newton's method sums over rows of evidence: one row for a task."""
+
+    def run(batches):
+        k = len(w)
+        h, g = np.zeros((k, k)), np.zeros(k)
+        for b in batches:
+            x = design(np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("weight", "hits", "words")], axis=1))
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            h += x.T @ (x * (p * (1 - p))[:, None])
+            g += x.T @ (b.column("toxic").to_numpy(zero_copy_only=False) - p)
+        yield pa.record_batch([pa.array([[*h.ravel(), *g]], pa.list_(pa.float64()))], names=["sums"])
+
+    return run
+
+
+def fit_logistic(rows: DataFrame, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
+    """Newton's method with a small penalty on all but the constant, over all rows (toxic, weight, hits, words); of each round
+    the driver sees the sums of tasks, added in one order whichever task ends first."""
+    k = design(np.zeros((1, 3))).shape[1]
+    w, pen = np.zeros(k), np.diag([1e-6, *[ridge] * (k - 1)])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + pen, x.T @ (y - p) - pen @ w)
+        parts = rows.mapInArrow(_newton_sums(w), "sums array<double>").collect()  # k * (k + 1) numbers a task
+        h, g = np.split(np.sum(np.sort(np.array([r["sums"] for r in parts]), axis=0), axis=0), [k * k])
+        step = np.linalg.solve(h.reshape(k, k) + pen, g - pen @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -269,25 +287,25 @@ def _evidence_of(characters: CharacterModel, lexicon: dict[str, float]):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from labelled rows outside fold 1: fold 0 gives the lexicon, fold 2 the weights of the logistic model."""
+    """Learn from all labelled rows outside fold 1: fold 0 gives the lexicon, fold 2 the weights of the logistic model."""
     known = renamed(labels, ["doc_id", "toxic"]).where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 1)
-    ids = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
-    texts = renamed(docs, ["doc_id", "text"]).where("text is not null").join(F.broadcast(ids), "doc_id")  # MOST_ROWS rows
+    ids = stored(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "labels")
+    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    texts = renamed(docs, ["doc_id", "text"]).where("text is not null").join(few, "doc_id")
     sample = stored(texts.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min(fold(F.col("doc_id"))).alias("fold")), "labelled")
     grams = sample.mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     characters = CharacterModel({r["gram"]: r["n"] for r in grams})
     counted = sample.where("fold = 0").mapInArrow(_counted(characters), "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     n, p = F.col("n1") + F.col("n0"), F.col("n1") / (F.col("n1") + F.col("n0"))
     low = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
-    found = counted.where((F.col("n1") >= LEAST_TEXTS) & (low >= LEAST_SHARE)).collect()  # at most a sample's words
+    found = counted.where((F.col("n1") >= LEAST_TEXTS) & (low >= LEAST_SHARE)).collect()  # only features that are mostly toxic
     lexicon = {r["feature"]: math.log((r["n1"] + 0.5) / (r["n0"] + 0.5)) for r in found}
-    rows = sample.where("fold = 2").mapInArrow(_evidence_of(characters, lexicon), "toxic int, weight double, hits double, words double").collect()
-    rows = np.array([tuple(r) for r in rows], float).reshape(-1, 4)
-    y = rows[:, 0]
-    if len(set(y)) == 2:
-        weights = fit_logistic(design(rows[:, 1:]), y)
+    rows = stored(sample.where("fold = 2").mapInArrow(_evidence_of(characters, lexicon), "toxic int, weight double, hits double, words double"), "evidence")
+    totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    if 0 < totals["toxic"] < totals["n"]:
+        weights = fit_logistic(rows)
     else:  # no labels, or of one kind
-        p = (y.sum() + 0.5) / (len(y) + 1)
+        p = (totals["toxic"] + 0.5) / (totals["n"] + 1)
         weights = np.array([math.log(p / (1 - p)), 0.0, 0.0, 0.0])
     return Model(characters, lexicon, weights)
 

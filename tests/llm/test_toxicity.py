@@ -112,3 +112,22 @@ def test_run_is_the_likeliest_of_all_splits():
     for seen in ("zanso", "asoan", "sozanaso", "sosa"):
         every = ["".join(c + " " * e for c, e in zip(seen, [*ends, 0], strict=True)).split() for ends in product((0, 1), repeat=len(seen) - 1)]
         assert math.isclose(cost(model.restore_run(seen)), min(map(cost, every))), seen
+
+
+def test_learns_from_all_labelled_rows(spark, monkeypatch):
+    """However many labels there are, the model is that of all of them."""
+    seen, stored = {}, toxicity.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(toxicity, "stored", counted)
+    n = 20_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('plain words number ', id, CASE WHEN id % 8 = 0 THEN ' gruntle' ELSE '' END) AS text")
+    labels = spark.range(n + 7000).selectExpr("id AS doc_id", "1 AS quality", "int(id % 8 = 0) AS toxic")
+    toxicity.train(docs, labels)
+    learnt = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert seen["labelled"] == len(learnt)
+    assert seen["evidence"] == sum(zlib.crc32(str(i).encode()) % 3 == 2 for i in learnt)
