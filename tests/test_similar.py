@@ -77,3 +77,27 @@ def test_words_of_texts_unlike_others_are_not_written(spark, monkeypatch):
     rows = [(i, " ".join(f"w{r.randrange(50_000)}" for _ in range(300))) for i in range(50)]
     assert got(spark, [*rows, (99, rows[7][1] + " end")], 0.8) == {(7, 99, round(296 / 297, 6), False)}
     assert sum(written) < 51 * 300 / 10
+
+
+def test_nearest_are_those_of_all_pairs_and_odd_vectors_are_like_nothing(spark):
+    import numpy as np
+
+    from tapedeck.operators import lyrics as ly
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(70, 5)), 1)
+    x[:4] = [[0] * 5, x[10], x[10], 2 * x[10]]
+    nan, inf = float("nan"), float("inf")
+    odd = [(100, [nan, 1.0, 1.0, 1.0, 1.0]), (101, [None, 1.0, 1.0, 1.0, 1.0]), (102, [inf, 0.0, 0.0, 0.0, 0.0]), (103, None)]
+    df = spark.createDataFrame([*enumerate(x.tolist()), *odd], "id long, v array<double>")
+    ids, rows = [*range(70), 100, 101, 102], np.vstack([x, np.zeros((3, 5))])
+    unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+    cosine = np.round(unit @ unit.T, 6)
+    want = set()
+    for q in (0, 1, 10, 50, 70):
+        best = sorted((-cosine[q, i] + 0.0, ids[i]) for i in range(73) if i != q)[:7]
+        want |= {(ids[q], m, round(-c, 6) + 0.0, k + 1) for k, (c, m) in enumerate(best)}
+    for block in (8, 8192):
+        got = ly.nearest(df, df.where("id in (0, 1, 10, 50, 100, 103)"), id="id", vector="v", k=7, block_rows=block).collect()
+        assert {(r["query"], r["match"], r["cosine"] + 0.0, r["rank"]) for r in got} == want
+    assert ly.nearest(df.limit(0), df, id="id", vector="v").count() == 0
