@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,6 +129,18 @@ def chance(*parts) -> float:
     return (int(digest[:13], 16) + 0.5) / (1 << 52)
 
 
+def chances(*parts):
+    """chance(*parts, last) as a function of the last part."""
+    first = hashlib.md5("".join(f"{p}|" for p in parts).encode())
+
+    def drawn(last) -> float:
+        digest = first.copy()
+        digest.update(str(last).encode())
+        return (int(digest.hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+    return drawn
+
+
 PLAN = "request_id {id}, position int, track_id {track}, artist_id string, source string, place_ratio double"
 
 
@@ -136,7 +148,7 @@ def plan_sessions(requests: DataFrame, candidates: DataFrame, *, seed: int = 0)
     """A session for each request: request_id, position (from 0), track_id, artist_id, source, place_ratio.
 
     Takes requests (request_id, mode, n_tracks) and candidates (request_id, track_id, artist_id, score, source: "familiar"
-    or other), as session_candidates gives them: some hundreds a request, which is drawn as a whole in one task. Place by
+    or other), as session_candidates gives them: some hundreds a request, which is one row when it is drawn. Place by
     place a fresh track is due with the probability place_ratio, else a familiar one; of those that are left one is drawn
     in proportion to its score (0.1 at least; a tenth of that right after the same artist), or one of the other kind where
     none is left. A session ends early when both are used up; requests without candidates have no rows, a track that is
@@ -147,11 +159,14 @@ def plan_sessions(requests: DataFrame, candidates: DataFrame, *, seed: int = 0)
     places = requests.where("n_tracks > 0").select("request_id", "mode", "n_tracks", F.explode(F.sequence(F.lit(0), F.col("n_tracks") - 1)).alias("position"))
     ratios = places.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", fresh_ratio(place, F.col("mode")).alias("r")))), lambda x: x["r"]).alias("ratios"))
     best = F.max_by(F.struct(F.col("artist_id").cast("string").alias("artist_id"), "score", "source"), F.struct("score", "source"))
-    pool = candidates.groupBy("request_id", "track_id").agg(best.alias("x")).select("request_id", "track_id", "x.*").join(ratios, "request_id")
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        request, ratios = pdf["request_id"].iloc[0], pdf["ratios"].iloc[0]
-        left = {kind: {t: (a, max(w if w == w else 0.0, 0.1), s) for t, a, w, s in zip(of["track_id"], of["artist_id"], of["score"], of["source"], strict=True)} for kind, of in pdf.groupby(pdf["source"] == "familiar")}
+    pool = candidates.groupBy("request_id", "track_id").agg(best.alias("x")).groupBy("request_id").agg(F.collect_list(F.struct("track_id", "x.artist_id", "x.score", "x.source")).alias("c"))
+    pool = pool.join(ratios, "request_id").select("request_id", "ratios", *[F.col("c")[c].alias(c) for c in ("track_id", "artist_id", "score", "source")])
+    names = ["request_id", "position", "track_id", "artist_id", "source", "place_ratio"]
+
+    def session(request, ratios, of) -> list[tuple]:
+        left: dict[bool, dict] = {}
+        for t, a, w, s in of:
+            left.setdefault(s == "familiar", {})[t] = (a, max(w if w is not None and w == w else 0.0, 0.1), s)
         rows, last, any_fresh = [], None, False in left
         for position, ratio in enumerate(ratios):
             familiar = not (any_fresh and chance(seed, request, position) < ratio)
@@ -160,14 +175,24 @@ def plan_sessions(requests: DataFrame, candidates: DataFrame, *, seed: int = 0)
                 pool, same = left.get(not familiar), 1.0
             if not pool:
                 break
+            drawn = chances(seed, request, position)
             # the least of exponential waiting times falls to each in proportion to its weight
-            wait = {t: -math.log(chance(seed, request, position, t)) / (w * same if a is not None and a == last else w) for t, (a, w, _) in pool.items()}
-            track = min(wait, key=lambda t: (wait[t], t))
+            wait = [(-math.log(drawn(t)) / (w * same if a is not None and a == last else w), t) for t, (a, w, _) in pool.items()]
+            track = min(wait)[1]
             last, _, source = pool.pop(track)
             rows.append((request, position, track, last, source, ratio))
-        return pd.DataFrame(rows, columns=["request_id", "position", "track_id", "artist_id", "source", "place_ratio"])
-
-    return pool.groupBy("request_id").applyInPandas(draw, PLAN.format(id=kinds["request_id"], track=kinds["track_id"]))
+        return rows
+
+    def draw(batches):
+        for b in batches:
+            rows = []
+            for request, ratios, *of in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                rows += session(request, ratios, zip(*of, strict=True))
+            if rows:
+                kind = b.schema.field("request_id").type, pa.int32(), b.schema.field("track_id").type.value_type, pa.string(), pa.string(), pa.float64()
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind, strict=True)], names=names)
+
+    return pool.mapInArrow(draw, PLAN.format(id=kinds["request_id"], track=kinds["track_id"]))
 
 
 def score_candidates(candidates: DataFrame, artist_taste: DataFrame, seasonal: DataFrame) -> DataFrame:

@@ -140,3 +140,15 @@ def test_scores_of_candidates_reach_their_caps(spark):
     rows = [(1, ["big", "small", "nobody"], "x", False), (2, ["big", "small"], "followed_artist_release", False), (3, ["nobody"], "x", False), (4, ["big", "big", "mid"], "x", True), (5, ["new", "big", "small"], "x", True), (6, ["small"], "x", True), (7, None, "x", True), (8, [], "x", False)]
     got = {r.candidate_id: r.score for r in p.score_candidates(spark.createDataFrame(rows, "candidate_id long, artist_ids array<string>, source string, is_editorial boolean"), taste, seasonal).collect()}
     assert got == {1: 26.4, 2: 27.9, 3: 0.0, 4: 4.5, 5: 7.2, 6: 0.6, 7: 5.0, 8: 0.0}
+
+
+def test_sessions_are_drawn_without_a_group_for_each_request(spark):
+    """A group of pandas rows for each request takes longer than the draw itself; null scores and artists count as before."""
+    r = spark.createDataFrame([(1, "discover", 3), (2, "unwinding", 2)], "request_id long, mode string, n_tracks int")
+    c = spark.createDataFrame([(1, "a", None, None, "familiar"), (1, "b", "x", float("nan"), "fresh:blog"), (1, "c", "x", 1.0, "fresh:blog"), (2, "d", None, 2.0, "familiar")], "request_id long, track_id string, artist_id string, score double, source string")
+    got = p.plan_sessions(r, c)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    rows = sorted(tuple(x) for x in got.collect())
+    assert [x[:2] for x in rows] == [(1, 0), (1, 1), (1, 2), (2, 0)] and {x[2] for x in rows[:2]} == {"b", "c"} and rows[2][2:5] == ("a", None, "familiar") and rows[3][2:5] == ("d", None, "familiar")
+    assert p.chances(1, "r", 2)("t") == p.chance(1, "r", 2, "t")
