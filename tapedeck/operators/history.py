@@ -42,7 +42,11 @@ def load_plays(plays: DataFrame, *, year: int | None = None, month: int | None =
 
 def period_stats(plays: DataFrame, by: tuple[str, ...] = ("year",)) -> DataFrame:
     """Plays, hours, songs and artists of each year, or of other keys, such as ("user_id", "year", "month")."""
-    return keyed(plays).groupBy(*by).agg(F.count("*").alias("plays"), js_round(F.sum("minutes") / 60, 1).alias("hours"), F.countDistinct(*SONG).alias("songs"), F.countDistinct("akey").alias("artists"))
+    # songs, then artists, then keys: distinct counts in one step would shuffle each play once for each of them
+    songs = keyed(plays).groupBy(*by, *SONG).agg(F.count("*").alias("n"), F.sum("minutes").alias("m"))
+    named = F.col("tkey").isNotNull() & F.col("akey").isNotNull()
+    artists = songs.groupBy(*by, "akey").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum(named.cast("int")).alias("songs"))
+    return artists.groupBy(*by).agg(F.sum("n").alias("plays"), js_round(F.sum("m") / 60, 1).alias("hours"), F.sum("songs").alias("songs"), F.count("akey").alias("artists"))
 
 
 def period_rollup(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -10,9 +10,12 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A play for each line item; recordings are parts, songs are part name and brand."""
     item, part, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part", "orders"))
     seconds = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 613) % 86400
-    p = item.join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    ts = F.timestamp_seconds(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + seconds)
+    # parts come last: their names are not shuffled with every line item
+    p = item.select("l_orderkey", "l_partkey", ts.alias("ts"), "l_quantity", "l_returnflag", "l_linestatus")
+    p = p.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     p = p.select(
-        F.timestamp_seconds(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + seconds).alias("ts"),
+        "ts",
         F.col("o_custkey").alias("user_id"),
         F.concat(F.lit("spotify:track:"), F.col("l_partkey").cast("string")).alias("uri"),
         F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("track_name"),

@@ -2,7 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from tapedeck.operators import details as d
+from tapedeck.operators import history as h
 from tapedeck.operators import lyrics as ly
+from tapedeck.sources.bridge import plays
+
+SF = "/root/testdata/sf0.001"
 
 
 def shuffled(spark, df):
@@ -27,3 +32,36 @@ def test_pairs_of_covers_are_not_shuffled(spark):
     many = {(r.seed, r.candidate): (r.by_title, r.by_version) for r in ly.cover_candidates(twice.where("uri < 20"), twice).collect()}
     assert len(many) == ly.cover_candidates(twice.where("uri < 20"), twice).count()
     assert many[0, 7] == (False, True) and many[0, 4] == (True, True) and many[1, 0] == (True, False) and (0, 100) not in many and many[8, 4] == (True, False)
+
+
+def test_names_of_parts_are_joined_last(spark):
+    """What is joined first is shuffled with every line item."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plays(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert len(joins) == 2 and "p_partkey" in joins[0] and "o_orderkey" in joins[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def some_plays(spark):
+    return spark.range(3000).repartition(3).selectExpr("id % 40 AS user_id", "cast(2000 + id % 3 as int) AS year", "cast(1 + id % 12 as int) AS month", "CASE WHEN id % 11 > 0 THEN concat('Song ', id) END AS track_name", "CASE WHEN id % 13 > 0 THEN concat('Artist ', id % 900) END AS artist_name", "concat('u', id) AS uri", "0.5 AS minutes", "CASE WHEN id % 4 = 0 THEN 'fwdbtn' ELSE 'endplay' END AS reason_end").withColumn("minutes", F.col("minutes").cast("double"))
+
+
+def test_plays_are_not_shuffled_for_each_distinct_count(spark):
+    p, by = some_plays(spark), ("user_id", "year", "month")
+    got = h.period_stats(p, by)
+    want = h.keyed(p).groupBy(*by).agg(F.count("*").alias("plays"), F.floor(F.sum("minutes") / 60 * 10 + 0.5).alias("tenths"), F.countDistinct("tkey", "akey").alias("songs"), F.countDistinct("akey").alias("artists"))
+    columns = (*by, "plays", "songs", "artists")
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    # the range's own 3000, then songs, artists and keys
+    assert shuffled(spark, got) <= 4 * 3000
+
+
+def test_eras_read_plays_once(spark):
+    got = d.era_details(some_plays(spark), {"a": [2000, 2001], "b": [2001, 2002]})
+    assert {r.era: (r.plays, r.tracks, r.skip_rate) for r in got.collect()} == {"a": (2000, 2000, 25.0), "b": (2000, 2000, 25.0)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan
