@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tapedeck.functions.columns import fold, is_skip, js_round, local_time
 from tapedeck.operators.history import SONG, _first, keyed, same
 from tapedeck.operators.periods import top_artists_adjusted
+from tapedeck.sources.shared import cut
 
 
 def _totals() -> list[Column]:
@@ -119,8 +120,9 @@ def era_details(plays: DataFrame, eras: dict[str, list[int]], *, artists: int =
     names = F.array_compact(F.array(*[F.when(F.col("year").isin(*ys), e) for e, ys in eras.items()]))
     keys = [*by, "era"]
     rows = keyed(plays).select(*by, F.explode(names).alias("era"), "year", "uri", "minutes", *SONG, is_skip(F.col("reason_end")).cast("int").alias("skip"))
-    totals = rows.groupBy(*keys).agg(F.count("*").alias("plays"), js_round(F.sum("minutes") / 60, 1).alias("hours"), F.countDistinct("uri").alias("tracks"), F.countDistinct("akey").alias("artists"), js_round(F.sum("skip") / F.count("*") * 100, 1).alias("skip_rate"))
-    cells = rows.groupBy(*keys, *SONG, "year").agg(F.count("*").alias("n"), F.sum("minutes").alias("m"))
+    # plays are read and joined once, all else comes from these counts
+    cells = cut(rows.groupBy(*keys, *SONG, "uri", "year").agg(F.count("*").alias("n"), F.sum("minutes").alias("m"), F.sum("skip").alias("skips")))
+    totals = cells.groupBy(*keys).agg(F.sum("n").alias("plays"), js_round(F.sum("m") / 60, 1).alias("hours"), F.countDistinct("uri").alias("tracks"), F.countDistinct("akey").alias("artists"), js_round(F.sum("skips") / F.sum("n") * 100, 1).alias("skip_rate"))
     songs = cells.groupBy(*keys, *SONG).agg(F.sum("n").alias("n"))
     top = songs.withColumn("k", _rank(keys, F.desc("n"), *SONG)).where("k = 1").select(*keys, F.struct(F.col("tkey").alias("track"), F.col("akey").alias("artist"), F.col("n").alias("plays")).alias("top_song"))
     by_artist = cells.groupBy(*keys, "akey").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).withColumn("k", _rank(keys, F.desc("n"), "akey")).where(F.col("k") <= artists)
