@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapedeck.functions.columns import js_round
+from tapedeck.sources.shared import cut
 
 DAY = 86400
 
@@ -31,9 +32,11 @@ def ripple_scores(plays: DataFrame, *, as_of: str, n: int = 10) -> DataFrame:
 def familiarity(plays: DataFrame, ripples: DataFrame, *, as_of: str) -> DataFrame:
     """ripples with familiarity: 62.5 % the artist's and 37.5 % the track's percentile among plays before the window; 50 with none, 0 for a new one."""
     before = plays.where(F.unix_timestamp("ts") < F.unix_timestamp(F.lit(as_of).cast("timestamp")) - 14 * DAY)
+    # plays are read once for both keys, their counts and totals
+    played = cut(before.groupBy("uri", "artist_name").agg(F.count("*").alias("n")))
     out = ripples
     for key, name in (("artist_name", "artist"), ("uri", "track")):
-        counts = before.groupBy(key).agg(F.count("*").alias("n"))
+        counts = played.groupBy(key).agg(F.sum("n").alias("n"))
         # how many keys have so many plays or fewer, from one row for each number of plays; the ripples are few
         hist = counts.groupBy("n").agg(F.count("*").alias("keys"))
         mine = out.select(key).distinct().join(counts, key, "left").select(key, F.coalesce("n", F.lit(0)).alias(f"{name}_before"))

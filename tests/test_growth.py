@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tapedeck.operators import details as d
 from tapedeck.operators import history as h
 from tapedeck.operators import lyrics as ly
+from tapedeck.operators import ripples as r
 from tapedeck.sources.bridge import plays
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +66,10 @@ def test_eras_read_plays_once(spark):
     assert {r.era: (r.plays, r.tracks, r.skip_rate) for r in got.collect()} == {"a": (2000, 2000, 25.0), "b": (2000, 2000, 25.0)}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Range" not in plan
+
+
+def test_familiarity_reads_plays_once(spark):
+    p = some_plays(spark).withColumn("ts", F.lit("2001-01-01").cast("timestamp"))
+    got = r.familiarity(p, spark.createDataFrame([("u1", "Artist 1"), ("new", "Nobody")], "uri string, artist_name string"), as_of="2001-11-05")
+    assert {x.uri: (x.track_before, x.artist_before) for x in got.collect()} == {"u1": (1, 4), "new": (0, 0)}
+    assert "Range" not in got._jdf.queryExecution().executedPlan().toString()
