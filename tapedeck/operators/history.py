@@ -82,21 +82,31 @@ def monthly_top(plays: DataFrame, n: int = 5, by: tuple[str, ...] = ()) -> DataF
     return counts.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def _cutoff(as_of: str, years_gone: float):
+    return F.lit(as_of).cast("timestamp") + F.expr("INTERVAL 1 DAY") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(years_gone * 365.25 * 86400))
+
+
 def lost_favorites(plays: DataFrame, *, as_of: str, min_plays: int, years_gone: float, limit: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
     """Songs once played often whose last play on any recording lies more than years_gone before the end of as_of; with `by`, those of each
     key, with their rank."""
-    cutoff = F.lit(as_of).cast("timestamp") + F.expr("INTERVAL 1 DAY") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(years_gone * 365.25 * 86400))
-    by_uri = keyed(plays).groupBy(*by, *SONG, "uri", "year", "month").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    uris = by_uri.groupBy(*by, *SONG, "uri").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-    songs = uris.groupBy(*by, *SONG).agg(F.sum("n").alias("plays"), F.max("last").alias("last_played"), F.max_by("uri", F.struct("n", "uri")).alias("uri")).where((F.col("plays") >= min_plays) & (F.col("last_played") < cutoff))
-    months = by_uri.groupBy(*by, *SONG, "year", "month").agg(F.sum("n").alias("n")).groupBy(*by, *SONG).agg(F.max(F.struct("n", "year", "month")).alias("peak"))
-    out = same(songs, months, [*by, *SONG]).select(*by, *SONG, "plays", "last_played", "uri", F.col("peak.year").alias("peak_year"), F.col("peak.month").alias("peak_month"), F.col("peak.n").alias("peak_plays"))
+    cutoff = _cutoff(as_of, years_gone)
+    # a song's plays meet in one task: all that follows is counted there, and plays are shuffled once
+    by_uri = keyed(plays).repartition(*by, *SONG).groupBy(*by, *SONG, "uri", "year", "month").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    months = by_uri.withColumn("of_month", F.sum("n").over(Window.partitionBy(*by, *SONG, "year", "month")))
+    uris = months.groupBy(*by, *SONG, "uri").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max(F.struct("of_month", "year", "month")).alias("peak"))
+    songs = uris.groupBy(*by, *SONG).agg(F.sum("n").alias("plays"), F.max("last").alias("last_played"), F.max_by("uri", F.struct("n", "uri")).alias("uri"), F.max("peak").alias("peak"))
+    out = songs.where((F.col("plays") >= min_plays) & (F.col("last_played") < cutoff)).select(*by, *SONG, "plays", "last_played", "uri", F.col("peak.year").alias("peak_year"), F.col("peak.month").alias("peak_month"), F.col("peak.of_month").alias("peak_plays"))
     return _first(out, limit, by, SONG)
 
 
-def _affinity(as_of: str):
+def _weight(as_of: str):
+    """What a play adds to its recording's affinity."""
     years = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("ts")) / (365.25 * 86400)
-    return F.round(F.sum(F.least("minutes", F.lit(7.0)) * F.exp(-years / 3) * F.when(F.col("reason_end") == "trackdone", 1.5).otherwise(1.0)), 2).alias("affinity")
+    return F.least("minutes", F.lit(7.0)) * F.exp(-years / 3) * F.when(F.col("reason_end") == "trackdone", 1.5).otherwise(1.0)
+
+
+def _affinity(as_of: str):
+    return F.round(F.sum(_weight(as_of)), 2).alias("affinity")
 
 
 def artist_affinity(plays: DataFrame, *, as_of: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -107,8 +117,12 @@ def track_affinity(plays: DataFrame, *, as_of: str, by: tuple[str, ...] = ()) ->
     return plays.groupBy(*by, "uri").agg(F.count("*").alias("plays"), _affinity(as_of))
 
 
+def early_skip(as_of: str, days: int = 30, under_ms: int = 30_000):
+    return (F.col("ts") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))) & is_skip(F.col("reason_end")) & (F.col("ms_played") < under_ms)
+
+
 def skip_penalized(plays: DataFrame, *, as_of: str, days: int = 30, least: int = 3, under_ms: int = 30_000, by: tuple[str, ...] = ()) -> DataFrame:
-    recent = plays.where((F.col("ts") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))) & is_skip(F.col("reason_end")) & (F.col("ms_played") < under_ms))
+    recent = plays.where(early_skip(as_of, days, under_ms))
     return recent.groupBy(*by, "uri").agg(F.count("*").alias("skips")).where(F.col("skips") >= least)
 
 

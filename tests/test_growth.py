@@ -4,7 +4,12 @@ from pyspark.sql import functions as F
 
 from tapedeck.operators import details as d
 from tapedeck.operators import history as h
+from tapedeck.operators import loved as lo
 from tapedeck.operators import lyrics as ly
+from tapedeck.operators import periods as pe
+from tapedeck.operators import planning as pl
+from tapedeck.operators import queues as q
+from tapedeck.operators import recommend as rec
 from tapedeck.operators import ripples as r
 from tapedeck.sources.bridge import plays
 
@@ -73,3 +78,16 @@ def test_familiarity_reads_plays_once(spark):
     got = r.familiarity(p, spark.createDataFrame([("u1", "Artist 1"), ("new", "Nobody")], "uri string, artist_name string"), as_of="2001-11-05")
     assert {x.uri: (x.track_before, x.artist_before) for x in got.collect()} == {"u1": (1, 4), "new": (0, 0)}
     assert "Range" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def more_plays(spark):
+    """some_plays, of which a sixth of the songs is heard twice, with what queues and details look at."""
+    p = some_plays(spark).withColumns({"ts": F.timestamp_seconds(F.col("month") * 2_600_000 + F.regexp_extract("uri", "[0-9]+", 0).cast("long")), "reason_end": F.lit("trackdone"), "album_name": F.lit("L"), "ms_played": F.lit(200_000).cast("long"), "local_hour": F.lit(7)})
+    return p.unionByName(p.where("minute(ts) % 6 = 0"))
+
+
+def test_queues_of_listeners_shuffle_plays_once(spark):
+    p = more_plays(spark)
+    got = q.smart_queue(p, as_of="2001-11-05", minutes=42, mode="rediscover", min_plays=2, years_gone=0.25, by=("user_id",))
+    assert {r.kind for r in got.collect()} == {"liked", "lost"}
+    assert shuffled(spark, got) <= 2 * 3000 + p.count()
