@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapedeck.functions.columns import fold, is_skip, js_round, local_time
-from tapedeck.operators.history import SONG, _first, keyed, same
+from tapedeck.operators.history import SONG, _first, keyed
+from tapedeck.sources.shared import cut
 
 def _skipped():
     return F.sum(is_skip(F.col("reason_end")).cast("int"))
@@ -73,12 +74,14 @@ def search(plays: DataFrame, q: str, limit: int = 20) -> DataFrame:
 
 def track_details(plays: DataFrame, min_plays: int = 1) -> DataFrame:
     """For every song: totals, first and last play, recording, best month and skip and completion rates beside everybody's."""
-    months = keyed(plays).groupBy(*SONG, "uri", "year", "month").agg(F.count("*").alias("n"), F.sum("minutes").alias("m"), F.min("ts").alias("first"), F.max("ts").alias("last"), _skipped().alias("s"), F.sum((F.col("reason_end") == "trackdone").cast("int")).alias("d"))
-    by_uri = months.groupBy(*SONG, "uri").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("s").alias("s"), F.sum("d").alias("d"))
-    songs = by_uri.groupBy(*SONG).agg(F.sum("n").alias("plays"), F.sum("m").alias("minutes"), F.min("first").alias("first_play"), F.max("last").alias("last_play"), F.max_by("uri", F.struct("n", "uri")).alias("uri"), F.sum("s").alias("s"), F.sum("d").alias("d"))
-    peaks = months.groupBy(*SONG, "year", "month").agg(F.sum("n").alias("n")).groupBy(*SONG).agg(F.max(F.struct("n", "year", "month")).alias("peak"))
+    # a song's plays meet in one task: all that follows is counted there, and plays are read and shuffled once
+    cells = keyed(plays).repartition(*SONG).groupBy(*SONG, "uri", "year", "month").agg(F.count("*").alias("n"), F.sum("minutes").alias("m"), F.min("ts").alias("first"), F.max("ts").alias("last"), _skipped().alias("s"), F.sum((F.col("reason_end") == "trackdone").cast("int")).alias("d"))
+    months = cells.withColumn("of_month", F.sum("n").over(Window.partitionBy(*SONG, "year", "month")))
+    by_uri = months.groupBy(*SONG, "uri").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("s").alias("s"), F.sum("d").alias("d"), F.max(F.struct("of_month", "year", "month")).alias("peak"))
+    songs = cut(by_uri.groupBy(*SONG).agg(F.sum("n").alias("plays"), F.sum("m").alias("minutes"), F.min("first").alias("first_play"), F.max("last").alias("last_play"), F.max_by("uri", F.struct("n", "uri")).alias("uri"), F.sum("s").alias("s"), F.sum("d").alias("d"), F.max("peak").alias("peak")))
     overall = songs.agg(F.sum("s").alias("all_s"), F.sum("plays").alias("all_n"))
-    out = songs.where(F.col("plays") >= min_plays).join(peaks, SONG).join(F.broadcast(overall), how="cross")
+    named = F.col("tkey").isNotNull() & F.col("akey").isNotNull()
+    out = songs.where(named & (F.col("plays") >= min_plays)).join(F.broadcast(overall), how="cross")
     return out.select(*SONG, "plays", "minutes", "first_play", "last_play", "uri", (F.col("peak.year") * 100 + F.col("peak.month")).alias("peak_month"), F.round(F.col("s") / F.col("plays"), 6).alias("skip_rate"), F.round(F.col("d") / F.col("plays"), 6).alias("completion_rate"), F.round(F.col("all_s") / F.col("all_n"), 6).alias("overall_skip_rate"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapedeck.operators.history import keyed, lost_favorites, skip_penalized, track_affinity
+from tapedeck.operators.history import SONG, _cutoff, _weight, early_skip, keyed
+from tapedeck.sources.shared import cut
 
 #: First hour, end and whether only on weekdays, of modes that are told from the time.
 HOURS = {"waking_up": (6, 9, False), "working": (9, 18, True), "unwinding": (18, 23, False), "sleeping": (23, 6, False)}
@@ -55,8 +56,8 @@ def acoustic_fit(features: DataFrame, profile: DataFrame, names: list[str]) -> D
     scored = long.join(F.broadcast(profile.select("mode", "dimension", "mean", "stddev")), "dimension").withColumn("z", z)
     out = scored.groupBy("track_id", "mode").agg(F.sum(F.col("z") * F.col("z")).alias("d"), F.max(F.struct(F.round(F.col("z") * F.col("z"), 9).alias("zz"), "dimension", F.when(F.round(F.col("z") * F.col("z"), 9) > 0, F.col("z") > 0).alias("above"))).alias("furthest"))
     low, high = FIT
-    fit = F.greatest(F.lit(low), F.least(F.lit(high), high - (high - low) * F.col("d") / SPREAD))
-    return out.select("track_id", "mode", F.round(fit, 6).alias("fit"), F.col("furthest.dimension").alias("dominant"), F.col("furthest.above").alias("above"))
+    fit = F.greatest(F.lit(low), F.least(F.lit(high), high - (high - low) * d / SPREAD))
+    return cells.select("track_id", "mode", F.round(fit, 6).alias("fit"), furthest.alias("furthest")).select("track_id", "mode", "fit", F.col("furthest.dimension").alias("dominant"), F.col("furthest.above").alias("above"))
 
 
 def new_candidates(candidates: DataFrame, known: DataFrame, pool: DataFrame) -> DataFrame:
@@ -137,11 +138,16 @@ def promote_submissions(submissions: DataFrame, catalog: DataFrame) -> DataFrame
 def generate_queue(plays: DataFrame, *, as_of: str, slots: int = 20, lost_share: float = 0.3, per_artist: int = 3, core: list[str] = (), boost: float = 1.15, min_plays: int = 20, years_gone: float = 2, skips: int = 3) -> DataFrame:
     """position, uri, kind: recordings by affinity, at most per_artist of an artist and none that is skipped often lately,
     with lost favourites at every fourth place."""
-    vetoed = skip_penalized(plays, as_of=as_of, days=30, least=skips, under_ms=30_000).select("uri")
-    artists = keyed(plays).groupBy("uri").agg(F.max("akey").alias("akey"))
+    # plays are read and joined once, all else comes from these counts
+    early = F.coalesce(early_skip(as_of), F.lit(False)).cast("int")
+    cells = cut(keyed(plays).groupBy(*SONG, "uri").agg(F.count("*").alias("n"), F.max("ts").alias("last"), F.sum(_weight(as_of)).alias("affinity"), F.sum(early).alias("early")))
+    tracks = cells.where("uri is not null").groupBy("uri").agg(F.round(F.sum("affinity"), 2).alias("affinity"), F.max("akey").alias("akey"), F.sum("early").alias("early"))
+    vetoed = tracks.where(F.col("early") >= max(skips, 1)).select("uri")
     n_lost = int(slots * lost_share + 0.5)
-    lost = lost_favorites(plays, as_of=as_of, min_plays=min_plays, years_gone=years_gone, limit=slots).join(vetoed, "uri", "left_anti").select("uri", "akey", F.col("plays").cast("double").alias("score"))
-    liked = track_affinity(plays, as_of=as_of).join(artists, "uri").join(vetoed, "uri", "left_anti").join(lost.select("uri"), "uri", "left_anti")
+    songs = cells.groupBy(*SONG).agg(F.sum("n").alias("plays"), F.max("last").alias("last"), F.max_by("uri", F.struct("n", "uri")).alias("uri"))
+    gone = songs.where((F.col("plays") >= min_plays) & (F.col("last") < _cutoff(as_of, years_gone)))
+    lost = gone.orderBy(F.desc("plays"), *SONG).limit(slots).join(vetoed, "uri", "left_anti").select("uri", "akey", F.col("plays").cast("double").alias("score"))
+    liked = tracks.where(F.col("early") < max(skips, 1)).join(lost.select("uri"), "uri", "left_anti")
     liked = liked.withColumn("score", F.when(F.col("akey").isin(*core), F.col("affinity") * boost).otherwise(F.col("affinity")))
     of_artist = Window.partitionBy("akey").orderBy(F.desc("score"), "uri")
     # from here on there are `slots` rows at most

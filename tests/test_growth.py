@@ -91,3 +91,9 @@ def test_queues_of_listeners_shuffle_plays_once(spark):
     got = q.smart_queue(p, as_of="2001-11-05", minutes=42, mode="rediscover", min_plays=2, years_gone=0.25, by=("user_id",))
     assert {r.kind for r in got.collect()} == {"liked", "lost"}
     assert shuffled(spark, got) <= 2 * 3000 + p.count()
+
+
+def test_details_and_queues_read_plays_once(spark):
+    p = more_plays(spark)
+    for got in (pe.track_details(p), rec.generate_queue(p, as_of="2001-11-05", min_plays=2, years_gone=0.25)):
+        assert got.count() and "Range" not in got._jdf.queryExecution().executedPlan().toString()
