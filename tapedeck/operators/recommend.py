@@ -13,6 +13,8 @@ from tapedeck.sources.shared import cut
 HOURS = {"waking_up": (6, 9, False), "working": (9, 18, True), "unwinding": (18, 23, False), "sleeping": (23, 6, False)}
 LEAST_SAMPLES, LEAST_SPREAD, SPREAD = 10, 0.05, 18
 FIT = (0.7, 1.4)
+#: Tasks that tracks are dealt over: one small file of tracks gives a row for each of many modes.
+PARTS = 64
 
 
 def track_signals(sources: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -51,10 +53,24 @@ def acoustic_profile(events: DataFrame, features: DataFrame, names: list[str]) -
 
 def acoustic_fit(features: DataFrame, profile: DataFrame, names: list[str]) -> DataFrame:
     """How well each track fits each mode of a profile (a few rows a mode), 0.7 to 1.4, the feature that is furthest off and whether it lies above (null: on the mean)."""
-    long = features.select("track_id", F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(n).cast("double").alias("x")) for n in names])).alias("f")).select("track_id", "f.*")
-    z = (F.col("x") - F.col("mean")) / F.greatest("stddev", F.lit(LEAST_SPREAD))
-    scored = long.join(F.broadcast(profile.select("mode", "dimension", "mean", "stddev")), "dimension").withColumn("z", z)
-    out = scored.groupBy("track_id", "mode").agg(F.sum(F.col("z") * F.col("z")).alias("d"), F.max(F.struct(F.round(F.col("z") * F.col("z"), 9).alias("zz"), "dimension", F.when(F.round(F.col("z") * F.col("z"), 9) > 0, F.col("z") > 0).alias("above"))).alias("furthest"))
+    # a track's rows meet each mode in one row: none is shuffled or sorted once for each mode and feature
+    rows = features.repartition(PARTS, "track_id").groupBy("track_id").agg(F.collect_list(F.struct(*[F.col(n).cast("double").alias(n) for n in names])).alias("rows"))
+    modes = profile.groupBy("mode").agg(F.collect_list(F.struct("dimension", "mean", F.greatest("stddev", F.lit(LEAST_SPREAD)).alias("spread"))).alias("of"))
+
+    def feature(row, n):
+        return F.transform(F.filter("of", lambda c: c["dimension"] == n), lambda c: F.struct(((row[n] - c["mean"]) / c["spread"]).alias("z"), F.lit(n).alias("dimension")))
+
+    def against(row):
+        return F.concat(*[feature(row, n) for n in names])
+
+    cells = rows.join(F.broadcast(modes), how="cross").select("track_id", "mode", F.flatten(F.transform("rows", against)).alias("cells")).where(F.size("cells") > 0)
+    d = F.aggregate("cells", F.lit(0.0), lambda total, x: total + F.coalesce(x["z"] * x["z"], F.lit(0.0)))
+
+    def off(x):
+        zz = F.round(x["z"] * x["z"], 9)
+        return F.struct(zz.alias("zz"), x["dimension"].alias("dimension"), F.when(zz > 0, x["z"] > 0).alias("above"))
+
+    furthest = F.array_max(F.transform("cells", off))
     low, high = FIT
     fit = F.greatest(F.lit(low), F.least(F.lit(high), high - (high - low) * d / SPREAD))
     return cells.select("track_id", "mode", F.round(fit, 6).alias("fit"), furthest.alias("furthest")).select("track_id", "mode", "fit", F.col("furthest.dimension").alias("dominant"), F.col("furthest.above").alias("above"))

@@ -97,3 +97,11 @@ def test_details_and_queues_read_plays_once(spark):
     p = more_plays(spark)
     for got in (pe.track_details(p), rec.generate_queue(p, as_of="2001-11-05", min_plays=2, years_gone=0.25)):
         assert got.count() and "Range" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fits_are_not_shuffled_for_each_mode(spark):
+    features = spark.range(0, 500, 1, 1).selectExpr("cast(id AS string) AS track_id", "id / 500 AS energy", "IF(id % 3 = 0, NULL, 0.5D) AS valence")
+    profile = spark.createDataFrame([(f"m{i}", d, 0.5, 0.01) for i in range(9) for d in ("energy", "valence")], "mode string, dimension string, mean double, stddev double")
+    got = rec.acoustic_fit(features.unionByName(features.limit(1)), profile, ["energy", "valence"])
+    assert got.count() == 9 * 500 and {r.dominant for r in got.where("track_id = '499'").collect()} == {"energy"}
+    assert shuffled(spark, got) <= 600
