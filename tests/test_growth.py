@@ -99,6 +99,14 @@ def test_details_and_queues_read_plays_once(spark):
         assert got.count() and "Range" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_names_of_recordings_wait_for_the_list(spark):
+    p = more_plays(spark)
+    passages = p.select("uri").distinct().selectExpr("uri", "0 AS passage_index", "uri AS passage_text")
+    got = lo.loved_passages(p, passages)
+    assert got.count() == 35 and "album" not in "".join(got.columns) and all(r.track_name is None or r.track_name.startswith("Song") for r in got.collect())
+    assert "track_name" not in lo._heard(p)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fits_are_not_shuffled_for_each_mode(spark):
     features = spark.range(0, 500, 1, 1).selectExpr("cast(id AS string) AS track_id", "id / 500 AS energy", "IF(id % 3 = 0, NULL, 0.5D) AS valence")
     profile = spark.createDataFrame([(f"m{i}", d, 0.5, 0.01) for i in range(9) for d in ("energy", "valence")], "mode string, dimension string, mean double, stddev double")
