@@ -177,7 +177,8 @@ def obsessions(plays: DataFrame, share: float = 0.5) -> DataFrame:
 def binges(plays: DataFrame, *, least: int = 30, days: int = 7, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """Recordings that a listener plays so often within some days: the most within any such stretch."""
     back = Window.partitionBy(*by, "uri").orderBy(F.unix_timestamp("ts")).rangeBetween(-days * 86400, 0)
-    return plays.select(*by, "uri", F.count("*").over(back).alias("n")).groupBy(*by, "uri").agg(F.max("n").alias("most")).where(F.col("most") >= least)
+    # stretches of too few plays go first: nearly all recordings have no others
+    return plays.select(*by, "uri", F.count("*").over(back).alias("n")).where(F.col("n") >= least).groupBy(*by, "uri").agg(F.max("n").alias("most"))
 
 
 def era_rollup(plays: DataFrame, eras: dict[str, list[int]]) -> DataFrame:

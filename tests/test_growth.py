@@ -107,6 +107,12 @@ def test_names_of_recordings_wait_for_the_list(spark):
     assert "track_name" not in lo._heard(p)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_stretches_are_sifted_before_they_are_counted(spark):
+    got = pe.binges(more_plays(spark), least=2, days=7)
+    assert got.count() and {r.most for r in got.collect()} == {2}
+    assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Aggregate"
+
+
 def test_fits_are_not_shuffled_for_each_mode(spark):
     features = spark.range(0, 500, 1, 1).selectExpr("cast(id AS string) AS track_id", "id / 500 AS energy", "IF(id % 3 = 0, NULL, 0.5D) AS valence")
     profile = spark.createDataFrame([(f"m{i}", d, 0.5, 0.01) for i in range(9) for d in ("energy", "valence")], "mode string, dimension string, mean double, stddev double")
