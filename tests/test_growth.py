@@ -86,6 +86,14 @@ def more_plays(spark):
     return p.unionByName(p.where("minute(ts) % 6 = 0"))
 
 
+def test_lost_favorites_shuffle_plays_once(spark):
+    p = more_plays(spark)
+    got = h.lost_favorites(p, as_of="2001-11-05", min_plays=2, years_gone=0.25, by=("user_id",))
+    assert got.count() and {r.plays for r in got.collect()} == {2} and {r.peak_plays for r in got.collect()} == {2}
+    # twice the range's own, the plays, and songs that are left
+    assert shuffled(spark, got) <= 2 * 3000 + 2 * p.count()
+
+
 def test_queues_of_listeners_shuffle_plays_once(spark):
     p = more_plays(spark)
     got = q.smart_queue(p, as_of="2001-11-05", minutes=42, mode="rediscover", min_plays=2, years_gone=0.25, by=("user_id",))
