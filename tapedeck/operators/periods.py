@@ -87,10 +87,15 @@ def track_details(plays: DataFrame, min_plays: int = 1) -> DataFrame:
 
 def artist_details(plays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """For every artist: totals, different songs and albums, first and last play and most played song."""
-    k = keyed(plays)
-    songs = k.groupBy(*by, "akey", "tkey").agg(F.count("*").alias("n")).groupBy(*by, "akey").agg(F.count("*").alias("songs"), F.max_by("tkey", F.struct(F.col("n"), F.col("tkey"))).alias("top_song"))
-    totals = k.groupBy(*by, "akey").agg(F.count("*").alias("plays"), F.sum("minutes").alias("minutes"), F.countDistinct("album_name").alias("albums"), F.min("ts").alias("first_play"), F.max("ts").alias("last_play"))
-    return same(totals, songs, [*by, "akey"])
+    # with keys, a key's plays of an artist meet in one task and are shuffled once; without, counts of them are
+    k = keyed(plays).repartition(*by, "akey") if by else keyed(plays)
+    cells = k.groupBy(*by, "akey", "tkey", "album_name").agg(F.count("*").alias("n"), F.sum("minutes").alias("m"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    song = Window.partitionBy(*by, "akey", "tkey")
+    cells = cells.withColumns({"of_song": F.sum("n").over(song), "one": (F.row_number().over(song.orderBy("album_name")) == 1).cast("int")})
+    sums = [F.sum("n").alias("n"), F.sum("m").alias("m"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("one").alias("songs"), F.max(F.struct("of_song", "tkey")).alias("top")]
+    albums = cells.groupBy(*by, "akey", "album_name").agg(*sums)
+    out = albums.groupBy(*by, "akey").agg(F.sum("n").alias("plays"), F.sum("m").alias("minutes"), F.count("album_name").alias("albums"), F.min("first").alias("first_play"), F.max("last").alias("last_play"), F.sum("songs").alias("songs"), F.max("top").alias("top"))
+    return out.select(*by, "akey", "plays", "minutes", "albums", "first_play", "last_play", "songs", F.col("top.tkey").alias("top_song"))
 
 
 def week_top(plays: DataFrame, *, as_of: str, n: int = 5, by: tuple[str, ...] = ()) -> DataFrame:

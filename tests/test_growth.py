@@ -101,6 +101,13 @@ def test_queues_of_listeners_shuffle_plays_once(spark):
     assert shuffled(spark, got) <= 2 * 3000 + p.count()
 
 
+def test_details_of_artists_shuffle_plays_once(spark):
+    p = more_plays(spark)
+    got = pe.artist_details(p, by=("user_id",))
+    assert sum(r.plays for r in got.collect()) == p.count()
+    assert shuffled(spark, got) <= 2 * 3000 + p.count()
+
+
 def test_details_and_queues_read_plays_once(spark):
     p = more_plays(spark)
     for got in (pe.track_details(p), rec.generate_queue(p, as_of="2001-11-05", min_plays=2, years_gone=0.25)):
