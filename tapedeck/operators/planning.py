@@ -37,6 +37,24 @@ MOST_FRESH = 0.7
 FRESH = {"waking_up": 0.5, "working": 0.8, "driving": 0.3, "brainstorming": 1.5, "unwinding": 0.6, "sleeping": 0.2}
 
 
+def _together(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Rows of a listener in one task, where they meet and are counted without further shuffles. The number of parts is
+    given, lest few be made of rows that are small before they meet."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by) if by else df
+
+
+def _meeting(left: DataFrame, right: DataFrame, by: tuple[str, ...], keys: list[str]) -> DataFrame:
+    """left joined with right by `by` and keys. A join would shuffle both again by all of these, and what comes of it once
+    more by what is counted; as lists of a listener's rows of the same keys they stay in the listener's task."""
+    if not by:
+        return left.join(right, keys)
+    of = [[c for c in df.columns if c not in (*by, *keys)] for df in (left, right)]
+    rows = [left.select(*by, *keys, F.struct(*of[0]).alias("l")), right.select(*by, *keys, F.struct(*of[1]).alias("r"))]
+    both = rows[0].unionByName(rows[1], allowMissingColumns=True).dropna(subset=[*by, *keys])
+    lists = both.groupBy(*by, *keys).agg(F.collect_list("l").alias("l"), F.collect_list("r").alias("r"))
+    return lists.select(*by, *keys, "r", F.inline("l")).select("*", F.inline("r")).drop("r")
+
+
 def context_biases(tracks: DataFrame, snapshots: DataFrame, affinities: DataFrame, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """What speaks for or against a track in a context: *by, snapshot_id, track_id, dimension, bucket, multiplier, learned, reason.
 
@@ -46,26 +64,31 @@ def context_biases(tracks: DataFrame, snapshots: DataFrame, affinities: DataFram
     way to the track's affinity for its bucket from LEAST_SAMPLES on; other affinities of so many samples hold in their
     bucket if they are over BEYOND from 1. Tracks meet snapshots by rules and buckets that both have, never all with all.
     """
-    rules = [F.struct(F.lit(i).alias("rule"), F.lit(d).alias("dimension"), F.lit(b).alias("bucket"), F.lit(m).alias("rule_multiplier"), F.lit(reason).alias("rule_reason")) for i, (d, b, m, _, _, reason) in enumerate(RULES)]
-    fires = F.array_compact(F.array(*[F.when(F.expr(on), r) for r, (_, _, _, on, _, _) in zip(rules, RULES, strict=True)]))
-    held = F.array_compact(F.array(*[F.when(F.expr(on), F.lit(i)) for i, (_, _, _, _, on, _) in enumerate(RULES)]))
-    fired = snapshots.select(*by, "snapshot_id", F.inline(fires))
-    ruled = fired.join(tracks.select(*by, "track_id", F.explode(held).alias("rule")), [*by, "rule"]).drop("rule")
+    # a rule is told by its dimension and bucket, of which each has one rule
+    fires = [F.when(F.expr(on), F.struct(F.lit(d).alias("dimension"), F.lit(b).alias("bucket"), F.lit(i).alias("rule"), F.lit(False).alias("around"))) for i, (d, b, _, on, _, _) in enumerate(RULES)]
+    values = [F.when(F.col(d).isNotNull(), F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("bucket"), F.lit(None).cast("int").alias("rule"), F.lit(True).alias("around"))) for d in LEARNED]
+    here = _together(snapshots, by).select(*by, "snapshot_id", F.inline(F.array_compact(F.array(*fires, *values))))
+    here = here.groupBy(*by, "snapshot_id", "dimension", "bucket").agg(F.max("rule").alias("rule"), F.max("around").alias("around"))
+
     own = [*[c for c in by if c in affinities.columns], "track_id"]
-    known = affinities.where(F.col("sample_size") >= LEAST_SAMPLES).select(*own, "dimension", "bucket", "affinity", "sample_size")
-
-    values = F.array_compact(F.array(*[F.when(F.col(d).isNotNull(), F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("bucket"))) for d in LEARNED]))
-    around = snapshots.select(*by, "snapshot_id", F.inline(values))
-    # a track's affinities first, then the snapshots in their bucket
-    felt = tracks.select(*by, "track_id").join(known.where(F.abs(F.col("affinity") - 1) > BEYOND), own).join(around, [*by, "dimension", "bucket"])
-    keys = [*by, "snapshot_id", "track_id", "dimension", "bucket"]
-    ruled = ruled.join(known, [*own, "dimension", "bucket"], "left").select(*keys, "rule_multiplier", "rule_reason", "affinity", "sample_size")
-    felt = felt.select(*keys, F.lit(None).cast("double").alias("rule_multiplier"), F.lit(None).cast("string").alias("rule_reason"), "affinity", "sample_size")
-    # one row of each bucket: the rule's if there is one
-    both = ruled.unionByName(felt).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("rule_multiplier", "rule_reason", "affinity", "sample_size")])
-    learned = F.col("affinity").isNotNull()
-    reason = F.when(learned, F.concat(F.lit("learned from "), F.col("sample_size").cast("string"), F.lit(" plays"))).otherwise(F.col("rule_reason"))
-    return both.select(*keys, F.coalesce("affinity", "rule_multiplier").alias("multiplier"), learned.alias("learned"), reason.alias("reason"))
+    known = affinities.where(F.col("sample_size") >= LEAST_SAMPLES)
+    felt = known.groupBy(*own).agg(F.collect_list(F.struct("dimension", "bucket", F.lit(False).alias("held"), "affinity", "sample_size")).alias("felt"))
+    nothing = [F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("affinity", "sample_size")]
+    holds = F.array_compact(F.array(*[F.when(F.expr(on), F.struct(F.lit(d).alias("dimension"), F.lit(b).alias("bucket"), F.lit(True).alias("held"), *nothing)) for d, b, _, _, on, _ in RULES]))
+    tags = _together(tracks.join(felt, own, "left").select(*by, "track_id", holds.alias("holds"), "felt"), by)
+    tags = tags.select(*by, "track_id", F.inline(F.concat("holds", F.coalesce("felt", F.filter("holds", lambda x: F.lit(False))))))
+    beyond = F.abs(F.col("affinity") - 1) > BEYOND
+    tags = tags.groupBy(*by, "track_id", "dimension", "bucket").agg(F.max("held").alias("held"), *[F.max(c).alias(c) for c in ("affinity", "sample_size")], *[F.max(F.when(beyond, F.col(c))).alias(f"{c}_beyond") for c in ("affinity", "sample_size")])
+
+    # each bucket of a snapshot and of a track has one row, so what meets needs no grouping
+    met = _meeting(here, tags, by, ["dimension", "bucket"])
+    ruled = F.col("rule").isNotNull() & F.col("held")
+    met = met.where(ruled | (F.col("around") & F.col("affinity_beyond").isNotNull()))
+    affinity, samples = (F.when(ruled, F.col(c)).otherwise(F.col(f"{c}_beyond")) for c in ("affinity", "sample_size"))
+    learned = affinity.isNotNull()
+    multiplier, rule_reason = (F.get(F.array(*[F.lit(r[i]) for r in RULES]), F.col("rule")) for i in (2, 5))
+    reason = F.when(learned, F.concat(F.lit("learned from "), samples.cast("string"), F.lit(" plays"))).otherwise(rule_reason)
+    return met.select(*by, "snapshot_id", "track_id", "dimension", "bucket", F.coalesce(affinity, multiplier).alias("multiplier"), learned.alias("learned"), reason.alias("reason"))
 
 
 def context_multiplier(biases: DataFrame, by: tuple[str, ...] = ("user_id",)) -> DataFrame:

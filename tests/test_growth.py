@@ -134,3 +134,25 @@ def test_fits_are_not_shuffled_for_each_mode(spark):
     got = rec.acoustic_fit(features.unionByName(features.limit(1)), profile, ["energy", "valence"])
     assert got.count() == 9 * 500 and {r.dominant for r in got.where("track_id = '499'").collect()} == {"energy"}
     assert shuffled(spark, got) <= 600
+
+
+def test_what_speaks_for_tracks_is_not_shuffled(spark):
+    """Tracks and snapshots of a listener are shuffled, and not what comes of each two of them; the rows are those of a join."""
+    k = "cast(id % 4 AS long) AS user_id"
+    snapshots = spark.range(240).selectExpr(k, "id AS snapshot_id", "'driving' AS mode", "IF(id % 3 = 0, NULL, 'night') AS daylight_phase", "'rain' AS weather_condition", "20D AS weather_temp_f", "'home' AS location_label", "'Smartphone' AS device_type", "id % 2 = 0 AS is_in_motion", "'car' AS bluetooth_context", "'focus' AS calendar_category", "3 AS day_of_week")
+    tracks = spark.range(320).selectExpr("IF(id % 40 = 39, NULL, cast(id % 4 AS long)) AS user_id", "concat('t', id div 4) AS track_id", "id % 9 AS play_count", "id % 2 AS skip_count", "id % 5 AS complete_count", "cast(id % 24 AS int) AS last_played_hour", "cast(id % 3 AS int) AS seasonal_playlist_count", "id % 2 = 0 AS current_season_present")
+    known = [("t1", "weather_condition", "rain", 1.02, 9), ("t2", "weather_condition", "rain", 1.5, 9), ("t2", "weather_condition", "rain", 1.02, 11), ("t3", "location_label", "home", 0.7, 5), ("t3", "location_label", "home", 1.01, 50), ("t5", "day_of_week", "3", 1.3, 4), ("t4", "calendar_category", "focus", None, 9), ("t6", "location_label", None, 2.0, 9)]
+    affinities = spark.createDataFrame(known, "track_id string, dimension string, bucket string, affinity double, sample_size int")
+    twice = tracks.unionByName(tracks.where("track_id = 't2'").withColumn("complete_count", F.lit(7).cast("long"))), snapshots.unionByName(snapshots.where("snapshot_id = 0").withColumn("mode", F.lit("sleeping")))
+    got = pl.context_biases(*twice, affinities)
+    want = None
+    for u in range(4):
+        one = pl.context_biases(*[df.where(F.col("user_id") == u).drop("user_id") for df in twice], affinities, by=()).withColumn("user_id", F.lit(u).cast("long"))
+        want = one if want is None else want.unionByName(one)
+    rows = sorted(map(repr, got.collect()))
+    assert len(rows) > 60 * 320 and len(set(rows)) == len(rows) and rows == sorted(map(repr, want.select(*got.columns).collect()))
+    at = {(r.track_id, r.bucket): (r.multiplier, r.reason) for r in got.where("snapshot_id = 2").collect()}
+    assert at["t2", "rain"] == (1.5, "learned from 11 plays") and at["t3", "home"] == (0.7, "learned from 5 plays") and at["t4", "focus"][0] == 1.15 and ("t5", "3") not in at
+    # each snapshot, each track twice, affinities, and buckets of snapshots in what is summed up
+    assert shuffled(spark, pl.context_multiplier(got)) < 240 + 2 * 330 + 50
+    assert shuffled(spark, pl.bias_summary(got)) < 240 + 2 * 330 + 50 + 4 * 240 * 8
