@@ -104,6 +104,26 @@ def bias_summary(biases: DataFrame, keys: tuple[str, ...] = ("snapshot_id",)) ->
     return out.withColumn("mean", js_round(F.round("mean", 9), 3))
 
 
+def candidate_pool(taste: DataFrame, fresh: DataFrame, events: DataFrame, *, blocked: DataFrame | None = None, familiar: int = 200, new: int = 50, recent: int = 50, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """What each listener's requests may draw from, whatever their context: *by, track_id, artist_id, score, source. Takes what session_candidates takes."""
+
+    def first(df: DataFrame, n: int, *order) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order, "track_id"))
+        return df.withColumn("k", rank).where(F.col("k") <= n).drop("k")
+
+    last = first(events.groupBy(*by, "track_id").agg(F.max("started_at").alias("at")), recent, F.desc("at")).select(*by, "track_id")
+    out = blocked.select(*by, "track_id") if blocked is not None else last.limit(0)
+    gone = last.unionByName(out).distinct()
+    best = first(taste.where("score > 0"), familiar, F.desc("score")).select(*by, "track_id", "artist_id", "score", F.lit("familiar").alias("source"))
+    found = first(fresh, new, F.desc("score")).select(*by, "track_id", "artist_id", "score", F.concat(F.lit("fresh:"), "source").alias("source"))
+    return best.unionByName(found).join(gone, [*by, "track_id"], "left_anti")
+
+
+def in_pool(tracks: DataFrame, pool: DataFrame, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """Those tracks that are familiar ones of a pool: multipliers of others are not asked for."""
+    return tracks.join(pool.where("source = 'familiar'").select(*by, "track_id"), [*by, "track_id"], "left_semi")
+
+
 def session_candidates(
     requests: DataFrame, taste: DataFrame, fresh: DataFrame, events: DataFrame, *, multipliers: DataFrame | None = None, fit: DataFrame | None = None, blocked: DataFrame | None = None,
     familiar: int = 200, new: int = 50, recent: int = 50, by: tuple[str, ...] = ("user_id",),
@@ -117,17 +137,7 @@ def session_candidates(
     tracks that were played last and the blocked ones. Lists are cut before recent tracks go, ties by track_id, so that a
     request has familiar + new candidates at most. A familiar score is taste * multiplier * fit, a fresh one score * fit.
     """
-
-    def first(df: DataFrame, n: int, *order) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order, "track_id"))
-        return df.withColumn("k", rank).where(F.col("k") <= n).drop("k")
-
-    last = first(events.groupBy(*by, "track_id").agg(F.max("started_at").alias("at")), recent, F.desc("at")).select(*by, "track_id")
-    out = blocked.select(*by, "track_id") if blocked is not None else last.limit(0)
-    gone = last.unionByName(out).distinct()
-    best = first(taste.where("score > 0"), familiar, F.desc("score")).select(*by, "track_id", "artist_id", "score", F.lit("familiar").alias("source"))
-    found = first(fresh, new, F.desc("score")).select(*by, "track_id", "artist_id", "score", F.concat(F.lit("fresh:"), "source").alias("source"))
-    pool = best.unionByName(found).join(gone, [*by, "track_id"], "left_anti")
+    pool = candidate_pool(taste, fresh, events, blocked=blocked, familiar=familiar, new=new, recent=recent, by=by)
     c = requests.select("request_id", *by, "mode", "snapshot_id").join(pool, [*by])
     if multipliers is not None:
         c = c.join(multipliers.select(*by, "snapshot_id", "track_id", "multiplier"), [*by, "snapshot_id", "track_id"], "left")

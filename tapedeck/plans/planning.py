@@ -54,8 +54,9 @@ def _fit(spark, sf_dir):
     return t.select(F.col("k").cast("string").alias("track_id"), F.posexplode(F.array(*map(F.lit, MODES))).alias("i", "mode")).select("track_id", "mode", (F.lit(0.7) + (F.col("track_id").cast("int") * 13 + F.col("i") * 7) % 8 / 10).alias("fit"))
 
 
-def _biases(spark, sf_dir):
-    return p.context_biases(_taste(spark, sf_dir), _snapshots(spark, sf_dir), _affinities(spark, sf_dir))
+def _biases(spark, sf_dir, pool=None):
+    taste = _taste(spark, sf_dir)
+    return p.context_biases(taste if pool is None else p.in_pool(taste, pool), _snapshots(spark, sf_dir), _affinities(spark, sf_dir))
 
 
 def _requests(spark, sf_dir):
@@ -64,8 +65,11 @@ def _requests(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     taste = _taste(spark, sf_dir)
-    blocked = taste.where("track_id = '13'")
-    return p.session_candidates(_requests(spark, sf_dir), taste, _fresh(spark, sf_dir), taste, multipliers=p.context_multiplier(_biases(spark, sf_dir)), fit=_fit(spark, sf_dir), blocked=blocked, familiar=25, new=12, recent=8)
+    how = {"blocked": taste.where("track_id = '13'"), "familiar": 25, "new": 12, "recent": 8}
+    fresh = _fresh(spark, sf_dir)
+    # contexts are weighed for tracks that may be drawn, and not for all that a listener has heard
+    biases = _biases(spark, sf_dir, p.candidate_pool(taste, fresh, taste, **how))
+    return p.session_candidates(_requests(spark, sf_dir), taste, fresh, taste, multipliers=p.context_multiplier(biases), fit=_fit(spark, sf_dir), **how)
 
 
 def _plan(spark, sf_dir):

@@ -152,3 +152,18 @@ def test_sessions_are_drawn_without_a_group_for_each_request(spark):
     rows = sorted(tuple(x) for x in got.collect())
     assert [x[:2] for x in rows] == [(1, 0), (1, 1), (1, 2), (2, 0)] and {x[2] for x in rows[:2]} == {"b", "c"} and rows[2][2:5] == ("a", None, "familiar") and rows[3][2:5] == ("d", None, "familiar")
     assert p.chances(1, "r", 2)("t") == p.chance(1, "r", 2, "t")
+
+
+def test_contexts_are_weighed_for_the_pool_only(spark):
+    taste = spark.range(60).selectExpr("id % 2 AS user_id", "concat('t', id div 2) AS track_id", "'a' AS artist_id", "cast(id div 2 AS double) AS score", "id AS started_at")
+    fresh = spark.createDataFrame([(0, "t1", "z", 5.0, "blog")], "user_id long, track_id string, artist_id string, score double, source string")
+    how = {"blocked": taste.where("track_id = 't20'"), "familiar": 12, "new": 2, "recent": 3}
+    kept = p.in_pool(taste, p.candidate_pool(taste, fresh, taste, **how))
+    assert sorted((r.user_id, r.track_id) for r in kept.collect()) == sorted((u, f"t{i}") for u in (0, 1) for i in range(18, 27) if i != 20)
+    requests = spark.createDataFrame([(7, 0, "driving", 5), (8, 1, "driving", 6)], "request_id long, user_id long, mode string, snapshot_id long")
+
+    def candidates(tracks):
+        times = tracks.selectExpr("user_id", "user_id + 5 AS snapshot_id", "track_id", "1 + started_at / 100D AS multiplier")
+        return sorted(tuple(r) for r in p.session_candidates(requests, taste, fresh, taste, multipliers=times, **how).collect())
+
+    assert candidates(kept) == candidates(taste) and (7, "t1", "z", 5.0, "fresh:blog") in candidates(kept)
