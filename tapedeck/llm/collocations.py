@@ -20,8 +20,9 @@ LONGEST = 5
 MAP_BITS = 26
 #: Spreads the 16 bits of an owner over those of a hash.
 OWNER = 2654435761
-#: Candidates in one trie (at most some 100 bytes each); more of them are dealt to further tries, each with its own pass.
-PER_TRIE = 500_000
+#: Candidates in one broadcast trie (at most some 100 bytes each). More of them are dealt by their first two words to tries
+#: of the tasks, of about a DEALT-th as many each; the texts are read once however many they are.
+PER_TRIE, DEALT = 500_000, 8
 #: Bytes of text that are cut into words at once.
 BLOCK = 4 << 20
 #: Hashes that a task holds before it hands on their counts.
@@ -257,15 +258,118 @@ def _counted(texts: DataFrame, found: DataFrame) -> DataFrame:
     return numbered.join(counts, "row").select("lang", "phrase", "a")
 
 
+def _keyed(batches):
+    """Of candidates (lang, phrase): key (the hash of the first two words), lang, phrase, n (0), h (the hash of all words)."""
+    for b in batches:
+        phrases = pc.split_pattern(b.column("phrase").cast(pa.large_string()), " ")
+        length = pc.list_value_length(phrases).to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens = hashes(pc.list_flatten(phrases))
+        starts = np.cumsum(length) - length
+        langs = b.column("lang").dictionary_encode()
+        which = langs.indices.to_numpy(zero_copy_only=False)
+        key, h = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            own = which == i
+            key[own] = _hashes(lang, tokens, starts[own], 2)
+            for n in range(2, LONGEST + 1):
+                some = own & (length == n)
+                h[some] = _hashes(lang, tokens, starts[some], n)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("lang"), b.column("phrase"), pa.array(np.zeros(b.num_rows, np.int64)), pa.array(h.view(np.int64))], ["key", "lang", "phrase", "n", "h"])
+
+
+def _places(shared):
+    """Of texts: at each place where a candidate may begin, the longest phrase that may be one, with its number of places (key, lang, phrase, n)."""
+    most = HELD
+
+    def summed(held):
+        return pa.concat_tables(held).group_by(["key", "lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["key", "lang", "phrase", "n"])
+
+    def run(batches):
+        held = []
+        for lang, w in _by_lang(batches):
+            tokens, bits = hashes(w.distinct)[w.codes], shared.value
+            at = np.flatnonzero(_runs(w, 2))
+            key = _hashes(lang, tokens, at, 2)
+            some = _marked(bits, key)
+            at, key = at[some], key[some]
+            longest = np.full(len(at), 2)
+            for n in range(3, LONGEST + 1):
+                inside = np.flatnonzero(_runs(w, n)[at])
+                longest[inside[_marked(bits, _hashes(lang, tokens, at[inside], n))]] = n
+            for n in range(2, LONGEST + 1):
+                own = np.flatnonzero(longest == n)
+                parts = [w.distinct.take(pa.array(w.codes[at[own] + j])) for j in range(n)]
+                phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).dictionary_encode()
+                which, first, count = np.unique(phrase.indices.to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
+                words = phrase.dictionary.take(pa.array(which)).cast(pa.string())
+                held.append(pa.table([pa.array(key[own][first].view(np.int64)), pa.array([lang] * len(which), pa.string()), words, pa.array(count.astype(np.int64))], names=["key", "lang", "phrase", "n"]))
+            if sum(t.num_rows for t in held) > most:
+                held = [summed(held)]
+                if held[0].num_rows > most // 2:
+                    yield from held.pop().to_batches(max_chunksize=100_000)
+        if held:
+            yield from summed(held).to_batches(max_chunksize=100_000)
+
+    return run
+
+
+def _count_part(batches):
+    """lang, phrase, a of a part of the candidates (rows whose n is 0; they come first), from the phrases at its places and one trie."""
+    own, held, words, t, n = [], [], None, None, None
+
+    def walk(table):
+        phrases = pc.split_pattern(table["phrase"].combine_chunks().cast(pa.large_string()), " ")
+        length = pc.list_value_length(phrases).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts, many = np.cumsum(length) - length, table["n"].to_numpy()
+        langs = pc.binary_join_element_wise(table["lang"].combine_chunks().cast(pa.large_string()), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))
+        codes, root = (pc.fill_null(pc.index_in(x, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (pc.list_flatten(phrases), langs))
+        at, states = t.step(np.zeros(len(root), np.int64), root)
+        for j in range(LONGEST):
+            inside = np.flatnonzero(length[at] > j)
+            at, states = at[inside], states[inside]
+            on, states = t.step(states, codes[starts[at] + j])
+            at = at[on]
+            rows = t.accept[states]
+            np.add.at(n, rows[rows >= 0], many[at[rows >= 0]])
+
+    for b in batches:
+        table = pa.Table.from_batches([b])
+        fresh = int(np.searchsorted(b.column("n").to_numpy(), 0, side="right"))
+        if fresh:
+            own.append(table.slice(0, fresh))
+        if fresh == b.num_rows or not own:
+            continue
+        if t is None:
+            own = [pa.concat_tables(own).sort_by([("lang", "ascending"), ("phrase", "ascending")])]
+            words, t = _trie_of(own[0])
+            n = np.zeros(t.n_rows, np.int64)
+        held.append(table.slice(fresh))
+        if sum(x.num_rows for x in held) > HELD // 4:
+            walk(pa.concat_tables(held))
+            held = []
+    if held:
+        walk(pa.concat_tables(held))
+    if t is not None:
+        found = pa.table([own[0]["lang"].combine_chunks(), own[0]["phrase"].combine_chunks(), pa.array(n)], names=["lang", "phrase", "a"])
+        yield from found.filter(pa.array(n > 0)).to_batches(max_chunksize=100_000)
+
+
+def _dealt(texts: DataFrame, found: DataFrame, number: int) -> DataFrame:
+    """lang, phrase, a: all places of each candidate. Candidates and places meet by their first two words, in tries of the tasks."""
+    spark = texts.sparkSession
+    own = stored(found.mapInArrow(_keyed, "key long, lang string, phrase string, n long, h long"), "keyed")
+    shared = spark.sparkContext.broadcast(_bitmap(own.select("h").unionByName(own.select(F.col("key").alias("h")))))
+    places = texts.mapInArrow(_places(shared), "key long, lang string, phrase string, n long")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-number * DEALT // PER_TRIE))
+    met = own.drop("h").unionByName(places).repartition(parts, "key").sortWithinPartitions("n")
+    return met.mapInArrow(_count_part, "lang string, phrase string, a long")
+
+
 def phrase_counts(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """lang, phrase, a of candidates: in as many tries as they need."""
+    """lang, phrase, a of candidates: from one broadcast trie, or from tries of the tasks if they are too many for it."""
     found = stored(found, "candidates")
-    tries = max(1, -(-found.count() // PER_TRIE))
-    out = None
-    for i in range(tries):
-        part = stored(_counted(texts, found.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(tries)) == i)), "counted")
-        out = part if out is None else out.unionByName(part)
-    return out
+    number = found.count()
+    return stored(_counted(texts, found) if number <= PER_TRIE else _dealt(texts, found, number), "counted")
 
 
 def collocations(docs: DataFrame, *, least: int = 100, top: int | None = 2000) -> DataFrame:

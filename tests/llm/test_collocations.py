@@ -63,6 +63,26 @@ def test_several_tries_and_flushes(spark, monkeypatch):
     assert got(spark, rows, 3) == want
 
 
+def test_texts_are_counted_in_one_pass_whatever_the_candidates(spark, monkeypatch):
+    """The passes over the texts don't grow with the number of candidates, and the rows are the same."""
+    rows = some_texts(3)
+    passes, real = [], type(spark.range(0)).mapInArrow
+
+    def counted(self, f, schema, *a, **b):
+        if self.columns == ["lang", "text"]:
+            passes.append(f)
+        return real(self, f, schema, *a, **b)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", counted)
+    wanted, seen = brute(rows, 3), []
+    for most in (10**6, 20):
+        monkeypatch.setattr(collocations, "PER_TRIE", most)
+        passes.clear()
+        assert got(spark, rows, 3) == wanted
+        seen.append(len(passes))
+    assert seen[0] == seen[1]
+
+
 def test_full_bitmap_changes_nothing(spark, monkeypatch):
     rows = some_texts(2)
     monkeypatch.setattr(collocations, "MAP_BITS", 6)
